@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandline.llm.media import op6_media_columns
 from strandline.llm.minhash_dedup import op10_near_duplicates
 from strandline.llm.mixing import op1_mix_sources
+from strandline.llm.packing import op4_packing
+from strandline.llm.substring_dedup import op7_substring_dedup
+from strandline.llm.suffix_dedup import op8_suffix_array_dedup
 from strandline.llm.url_filter import OP9_SQL, op9_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mix_sources,
+        op4_packing,
+        op6_media_columns,
+        op7_substring_dedup,
+        op8_suffix_array_dedup,
         op9_url_filter,
         op10_near_duplicates,
     )
