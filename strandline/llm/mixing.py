@@ -73,6 +73,22 @@ def mix_sources(docs: DataFrame, weights: list[float], share: float = 1.5, max_e
     return out.select("doc_id", "source", "size", "source_size", "target", "repetitions", "extra", taken)
 
 
+def mixed_documents(docs: DataFrame, weights: list[float], share: float = 1.5, max_epochs: float = 2.0, seed: int = 0) -> DataFrame:
+    """The rows of docs as often as the mix takes them, as whole documents; all columns stay."""
+    taken = mix_sources(docs, weights, share, max_epochs, seed, whole=True)
+    key = ["_id", "_source", "_size"]
+    taken = taken.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"))
+    taken = stage(taken.agg(F.sum(F.col("repetitions") + (F.col("extra") > 0).cast("long")).alias("_all"), F.count("*").alias("_rows")), "taken")
+    sized = docs.withColumn("_words", word_count())
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
+    found = sized.join(taken, same)
+    # Rows of one id, source and size share what is taken of them.
+    own = F.row_number().over(Window.partitionBy(*key).orderBy("text"))
+    several = found.filter("_rows > 1").withColumn("_own", own).withColumn("_all", F.expr("_all div _rows") + (F.col("_own") <= F.col("_all") % F.col("_rows")).cast("long")).drop("_own")
+    every = found.filter("_rows = 1").unionByName(several).filter("_all > 0")
+    return every.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_all")))).select(*docs.columns)
+
+
 #: The weights of the query.
 WEIGHTS = [3.0, 1.0, 2.0]
 

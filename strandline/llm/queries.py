@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandline.llm.language_id import op2_language_id
+from strandline.llm.license_scan import op3_license_scan
 from strandline.llm.media import op6_media_columns
 from strandline.llm.minhash_dedup import op10_near_duplicates
 from strandline.llm.mixing import op1_mix_sources
@@ -18,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mix_sources,
+        op2_language_id,
+        op3_license_scan,
         op4_packing,
         op6_media_columns,
         op7_substring_dedup,
