@@ -14,6 +14,7 @@ from strandline.llm.mixing import op1_mix_sources
 from strandline.llm.packing import op4_packing
 from strandline.llm.substring_dedup import op7_substring_dedup
 from strandline.llm.suffix_dedup import op8_suffix_array_dedup
+from strandline.llm.topk_search import op5_topk_search
 from strandline.llm.url_filter import OP9_SQL, op9_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_language_id,
         op3_license_scan,
         op4_packing,
+        op5_topk_search,
         op6_media_columns,
         op7_substring_dedup,
         op8_suffix_array_dedup,
