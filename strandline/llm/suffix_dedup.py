@@ -5,13 +5,12 @@ bytes of a suffix matter, so the suffix order of the corpus may be dealt out by
 the smallest hash of their K-byte grams (a minimiser). Neighbouring suffixes mostly share it, so what travels is one
 string for a run of suffixes. Two rounds:
 
-1. Which minimisers occur in several documents? Every task sends a minimiser once, with its smallest document;
-   where a task itself sees two documents, it answers for them at once. So a passage in a third of all documents
-   costs a row a task. Only hashes of 48 bits travel; a collision costs work, never a wrong result.
-2. For those, runs of suffixes go to their bucket, equal ones of a task once (all but the smallest document's are
-   known to be covered). A bucket sorts its suffixes by their first L bytes, finds the previous and the next position
-   in that order with a smaller document, and takes the longer common prefix: the longest previous factor. Suffixes
-   with one of L or more cover their first L bytes.
+1. Runs are compared by their minimiser (48 bits) and a hash of their bytes (56 bits more). Every task sends a run once,
+   with its smallest document, so a passage in a third of all documents costs a row a task. A run that is in a smaller
+   document too is covered. A run that isn't is asked for if its minimiser also has other runs and other documents.
+2. The runs asked for go to their bucket. It sorts their suffixes by their first L bytes, finds the previous and the
+   next position in that order with a smaller document, and takes the longer common prefix: the longest previous
+   factor. Suffixes with one of L or more cover their first L bytes.
 
 Then every document drops its covered bytes.
 
@@ -22,6 +21,7 @@ is removed. Rows that repeat a doc_id are judged each by its text against smalle
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,32 +58,37 @@ def window_least(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def runs_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of L-byte suffixes with one minimiser: text's number, first start, number of starts, minimiser (48 bits)."""
+def runs_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of L-byte suffixes with one minimiser: text's number, first start, number of starts, minimiser (48 bits), hash of all its bytes (56 bits)."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     bounds = np.concatenate([[0], np.cumsum(sizes)])
     data = np.frombuffer(b"".join(texts), np.uint8)
     empty = np.empty(0, np.int64)
     if len(data) < L:
-        return empty, empty, empty, np.empty(0, np.uint64)
-    least = window_least(gram_hashes(data, K), L - K + 1)
+        return empty, empty, empty, np.empty(0, np.uint64), np.empty(0, np.uint64)
+    h, back = prefix_hash(data), powers(len(data) + 1)[1]
+    m = len(data) - K + 1
+    least = window_least(mix((h[K:] - h[:m]) * back[:m]), L - K + 1)
     valid = np.ones(len(least), bool)
-    for back in range(1, L):  # starts whose L bytes leave their text
-        at = bounds[1:-1] - back
+    for n in range(1, L):  # starts whose L bytes leave their text
+        at = bounds[1:-1] - n
         valid[at[(at >= 0) & (at < len(least))]] = False
     cut = np.empty(len(least), bool)
     cut[0] = True
     np.not_equal(least[1:], least[:-1], out=cut[1:])
     inner = bounds[1:-1]
     cut[inner[inner < len(least)]] = True
-    cut[::LONGEST_RUN] = True
+    # Counted from the text's start, so that a text has the same runs in whatever batch it comes.
+    cut |= (np.arange(len(least)) - np.repeat(bounds[:-1], sizes)[: len(least)]) % LONGEST_RUN == 0
     cut |= np.concatenate([[True], valid[1:] != valid[:-1]])
     first = np.flatnonzero(cut)
     length = np.diff(np.append(first, len(least)))
     keep = valid[first]
     first, length = first[keep], length[keep]
     text = np.searchsorted(bounds, first, "right") - 1
-    return text, first - bounds[text], length, mix(least[first]) & _LOW48
+    size = length + L - 1
+    ident = mix((h[first + size] - h[first]) * back[first] + size.astype(np.uint64)) >> np.uint64(8)
+    return text, first - bounds[text], length, mix(least[first]) & _LOW48, ident
 
 
 def pieces(texts: list[bytes]) -> Iterator[tuple[int, list[bytes], int]]:
@@ -97,13 +102,13 @@ def pieces(texts: list[bytes]) -> Iterator[tuple[int, list[bytes], int]]:
             yield a, texts[a:b], 0
 
 
-def _pack48(keys: np.ndarray) -> bytes:
-    return np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _pack(values: np.ndarray, width: int) -> bytes:
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def _unpack48(blob: bytes) -> np.ndarray:
-    raw = np.zeros((len(blob) // 6, 8), np.uint8)
-    raw[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+def _unpack(blob: bytes, width: int) -> np.ndarray:
+    raw = np.zeros((len(blob) // width, 8), np.uint8)
+    raw[:, :width] = np.frombuffer(blob, np.uint8).reshape(-1, width)
     return raw.view(np.uint64).reshape(-1)
 
 
@@ -130,22 +135,19 @@ def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _first_round(buckets: int):
-    def flush(keys: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((docs, keys))
-        keys, docs = keys[order], docs[order]
-        fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])])
-        keys, docs = keys[fresh], docs[fresh]
-        head = np.concatenate([[True], keys[1:] != keys[:-1]])
-        group = np.cumsum(head) - 1
-        several = np.bincount(group) > 1
+    def flush(keys: np.ndarray, idents: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(mix(keys * np.uint64(0x9E3779B97F4A7C15) + idents))
+        keys, idents, docs = keys[order], idents[order], docs[order]
+        start = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (idents[1:] != idents[:-1])]))
+        least = np.minimum.reduceat(docs, start)
+        later = docs > np.repeat(least, np.diff(np.append(start, len(docs))))
         rows = []
-        one_keys, one_docs = keys[head], docs[head]
+        one_keys, one_idents = keys[start], idents[start]
         for b, at in _by_bucket((one_keys % np.uint64(buckets)).astype(np.int64)):
-            rows.append((b, 0, _shrunk(one_docs[at]), _pack48(one_keys[at]), several[at].astype(np.uint8).tobytes()))
-        known = several[group]
-        keys, docs = keys[known], docs[known]
-        for b, at in _by_bucket((mix(docs.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)) if len(keys) else ():
-            rows.append((b, 1, _shrunk(docs[at]), _pack48(keys[at]), b""))
+            rows.append((b, 0, _shrunk(least[at]), _pack(one_keys[at], 6), _pack(one_idents[at], 7)))
+        docs, idents = docs[later], idents[later]
+        for b, at in _by_bucket((mix(docs.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)) if len(docs) else ():
+            rows.append((b, 1, _shrunk(docs[at]), b"", _pack(idents[at], 7)))
         return _dealt(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,96 +155,94 @@ def _first_round(buckets: int):
         for batch in batches:
             texts, ids = byte_values(batch.column("text")), batch.column("doc_id").to_numpy(zero_copy_only=False)
             for a, some, _ in pieces(texts):
-                text, _, _, keys = runs_of(some)
+                text, _, _, keys, idents = runs_of(some)
                 if len(keys):
-                    held.append((keys, ids[a + text]))
+                    held.append((keys, idents, ids[a + text]))
                     size += len(keys)
-            if size > FLUSH:
-                yield flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                held, size = [], 0
+                if size > FLUSH:
+                    yield flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held, size = [], 0
         if held:
             yield flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return run
 
 
-def _per_owner(ids: np.ndarray, items: np.ndarray, pack) -> tuple[np.ndarray, list[bytes]]:
-    order = np.argsort(ids, kind="stable")
-    ids, items = ids[order], items[order]
-    edges = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1], [True]]))
-    return ids[edges[:-1]], [pack(items[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+_COVERED, _ASKED = np.uint64(0), np.uint64(1)
 
 
 def _first_answers(group: pa.Table) -> pa.Table:
-    """(doc_id, keys): the keys of each document that occur in another one too."""
+    """(doc_id, runs): for each document, runs (by hash) that are covered or asked for; the lowest byte says which."""
     cols = group.to_pydict()
-    sent = [(_grown(o), _unpack48(k), np.frombuffer(m, np.uint8)) for kind, o, k, m in zip(cols["kind"], cols["owners"], cols["keys"], cols["more"], strict=True) if kind == 0]
-    known = [(_grown(o), _unpack48(k)) for kind, o, k in zip(cols["kind"], cols["owners"], cols["keys"], strict=True) if kind == 1]
+    sent = [(_grown(o), _unpack(k, 6), _unpack(m, 7)) for kind, o, k, m in zip(cols["kind"], cols["owners"], cols["keys"], cols["more"], strict=True) if kind == 0]
+    known = [(_grown(o), _unpack(m, 7) << np.uint64(8)) for kind, o, m in zip(cols["kind"], cols["owners"], cols["more"], strict=True) if kind == 1]
     if sent:
-        docs, keys, more = (np.concatenate(x) for x in zip(*sent, strict=True))
-        order = np.argsort(keys, kind="stable")
-        docs, keys, more = docs[order], keys[order], more[order]
-        head = np.concatenate([[True], keys[1:] != keys[:-1]])
-        start = np.flatnonzero(head)
-        live = (np.minimum.reduceat(docs, start) != np.maximum.reduceat(docs, start)) | (np.maximum.reduceat(more, start) > 0)
-        live = live[np.cumsum(head) - 1] & (more == 0)
-        known.append((docs[live], keys[live]))
-    docs, keys = (np.concatenate(x) for x in zip(*known, strict=True)) if known else (np.empty(0, np.int64), np.empty(0, np.uint64))
+        docs, keys, idents = (np.concatenate(x) for x in zip(*sent, strict=True))
+        order = np.argsort(mix(keys * np.uint64(0x9E3779B97F4A7C15) + idents))
+        docs, keys, idents = docs[order], keys[order], idents[order]
+        start = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (idents[1:] != idents[:-1])]))
+        least = np.minimum.reduceat(docs, start)
+        later = docs > np.repeat(least, np.diff(np.append(start, len(docs))))
+        known.append((docs[later], idents[later] << np.uint64(8)))
+        docs, keys, idents = least, keys[start], idents[start]
+        order = np.argsort(keys)
+        docs, keys, idents = docs[order], keys[order], idents[order]
+        start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        asked = np.minimum.reduceat(docs, start) != np.maximum.reduceat(docs, start)
+        asked = np.repeat(asked, np.diff(np.append(start, len(docs))))
+        known.append((docs[asked], idents[asked] << np.uint64(8) | _ASKED))
+    docs, runs = (np.concatenate(x) for x in zip(*known, strict=True)) if known else (np.empty(0, np.int64), np.empty(0, np.uint64))
     if not len(docs):
-        return pa.table({"doc_id": pa.array([], pa.int64()), "keys": pa.array([], pa.binary())})
-    ids, blobs = _per_owner(docs, keys, _pack48)
-    return pa.table({"doc_id": pa.array(ids), "keys": pa.array(blobs, pa.binary())})
+        return pa.table({"doc_id": pa.array([], pa.int64()), "runs": pa.array([], pa.binary())})
+    order = np.argsort(docs, kind="stable")
+    docs, runs = docs[order], runs[order]
+    edges = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1], [True]]))
+    blobs = [runs[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return pa.table({"doc_id": pa.array(docs[edges[:-1]]), "runs": pa.array(blobs, pa.binary())})
 
 
 def _second_round(buckets: int):
-    import zlib
-
-    def flush(strings: dict[bytes, list[tuple]]) -> pa.RecordBatch:
-        rows, of = [], {}
-        done: dict[int, list[tuple]] = {}
-        for s, places in strings.items():
-            key, string = s[:8], s[8:]
-            least = min(p[0] for p in places)
-            sent = False
-            for doc, print_, start in places:
-                if doc != least:
-                    done.setdefault(doc % buckets, []).append((doc, print_, start, start + len(string)))
-                else:  # several places of the smallest document are all told what is found
-                    of.setdefault(int.from_bytes(key, "little") % buckets, []).append((doc, print_, start, b"" if sent else string))
-                    sent = True
-        for b, places in of.items():
-            ints = np.array([(d, p, s, len(t)) for d, p, s, t in places], np.int64)
-            rows.append((b, 0, ints.tobytes(), b"", zlib.compress(b"".join(p[3] for p in places), 1)))
-        for b, spans in done.items():
-            rows.append((b, 1, np.array(spans, np.int64).tobytes(), b"", b""))
+    def flush(asked: list[tuple], spans: list[np.ndarray]) -> pa.RecordBatch:
+        rows, dealt = [], {}
+        for key, *place, string in asked:
+            dealt.setdefault(key % buckets, []).append((*place, string))
+        for b, some in dealt.items():
+            ints = np.array([x[:3] + (len(x[3]),) for x in some], np.int64)
+            rows.append((b, 0, ints.tobytes(), b"", zlib.compress(b"".join(x[3] for x in some), 1)))
+        rows += [(int(x[0, 0]) % buckets, 1, x.tobytes(), b"", b"") for x in spans]
         return _dealt(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        strings: dict[bytes, list[tuple]] = {}
-        size = 0
+        asked, size = [], 0
         for batch in batches:
             texts, ids, prints = byte_values(batch.column("text")), batch.column("doc_id").to_pylist(), batch.column("print").to_pylist()
-            lists = batch.column("keys").to_pylist()
+            lists, spans = batch.column("runs").to_pylist(), []
             for a, some, offset in pieces(texts):
-                text, first, length, keys = runs_of(some)
-                ends = np.searchsorted(text, np.arange(len(some)), "right")
-                begin = np.searchsorted(text, np.arange(len(some)), "left")
+                text, first, length, keys, idents = runs_of(some)
+                bounds = np.searchsorted(text, np.arange(len(some) + 1))
                 for i, value in enumerate(some):
-                    live = np.sort(np.concatenate([_unpack48(k) for k in lists[a + i]]))
-                    part = slice(begin[i], ends[i])
-                    own = keys[part]
-                    at = np.minimum(np.searchsorted(live, own), len(live) - 1)
-                    hit = np.flatnonzero(live[at] == own)
+                    told = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in lists[a + i]]))
+                    part = slice(bounds[i], bounds[i + 1])
+                    own, f, n = idents[part] << np.uint64(8), first[part], length[part]
+                    if not len(own):
+                        continue
                     doc, print_ = ids[a + i], prints[a + i]
-                    for k, f, n in zip(own[hit].tolist(), first[part][hit].tolist(), length[part][hit].tolist(), strict=True):
-                        s = value[f : f + n + L - 1]
-                        strings.setdefault(k.to_bytes(8, "little") + s, []).append((doc, print_, offset + f))
-                        size += len(s) + 60
-                if size > 64 << 20:
-                    yield flush(strings)
-                    strings, size = {}, 0
-        if strings:
-            yield flush(strings)
+                    at = np.minimum(np.searchsorted(told, own), len(told) - 1)
+                    is_covered = told[at] == own
+                    if is_covered.any():
+                        s = merged(np.stack([f, f + n + L - 1], axis=1)[is_covered]) + offset
+                        spans.append(np.column_stack([np.full(len(s), doc), np.full(len(s), print_), s]))
+                    is_asked = told[np.minimum(np.searchsorted(told, own | _ASKED), len(told) - 1)] == own | _ASKED
+                    hit = np.flatnonzero(is_asked & ~is_covered)
+                    for k, x, m in zip(keys[part][hit].tolist(), f[hit].tolist(), n[hit].tolist(), strict=True):
+                        asked.append((k, doc, print_, offset + x, value[x : x + m + L - 1]))
+                        size += m + L + 100
+            if size > 32 << 20 or spans:
+                yield flush(asked if size > 32 << 20 else [], spans)
+            if size > 32 << 20:
+                asked, size = [], 0
+        if asked:
+            yield flush(asked, [])
 
     return run
 
@@ -309,35 +309,23 @@ def covered(data: np.ndarray, starts: np.ndarray, docs: np.ndarray) -> np.ndarra
 
 def _second_answers(group: pa.Table) -> pa.Table:
     """(doc_id, print, spans): covered [start, end) of each document."""
-    import zlib
-
     cols = group.to_pydict()
     spans = [np.frombuffer(o, np.int64).reshape(-1, 4) for kind, o in zip(cols["kind"], cols["owners"], strict=True) if kind == 1]
     sent = [(np.frombuffer(o, np.int64).reshape(-1, 4), zlib.decompress(m)) for kind, o, m in zip(cols["kind"], cols["owners"], cols["more"], strict=True) if kind == 0]
     if sent:
         places = np.concatenate([s[0] for s in sent])
         data = np.frombuffer(b"".join(s[1] for s in sent), np.uint8)
-        real = np.flatnonzero(places[:, 3] > 0)
-        begin = np.cumsum(places[real, 3]) - places[real, 3]
-        n = places[real, 3] - L + 1
-        which = np.repeat(np.arange(len(real)), n)
+        begin = np.cumsum(places[:, 3]) - places[:, 3]
+        n = places[:, 3] - L + 1
+        which = np.repeat(np.arange(len(places)), n)
         inside = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-        hit = np.flatnonzero(covered(data, begin[which] + inside, places[real, 0][which]))
-        if len(hit):
-            # Consecutive starts of a string make one span.
+        hit = np.flatnonzero(covered(data, begin[which] + inside, places[which, 0]))
+        if len(hit):  # consecutive starts of a string make one span
             cut = np.concatenate([[True], np.diff(hit) != 1]) | np.concatenate([[True], np.diff(which[hit]) != 0])
             first = np.flatnonzero(cut)
             last = np.append(first[1:], len(hit)) - 1
-            owner = real[which[hit[first]]]
-            found = np.stack([places[owner, 0], places[owner, 1], places[owner, 2] + inside[hit[first]], places[owner, 2] + inside[hit[last]] + L], axis=1)
-            spans.append(found)
-            # The further places of the same string: rows of length 0 that follow it.
-            nexts = np.append(real[1:], len(places))
-            for k in np.flatnonzero(nexts - real > 1):
-                own = found[owner == real[k]]
-                for j in range(real[k] + 1, nexts[k]):
-                    shift = places[j, 2] - places[real[k], 2]
-                    spans.append(np.column_stack([np.full((len(own), 1), places[j, 0]), np.full((len(own), 1), places[j, 1]), own[:, 2:] + shift]))
+            owner = which[hit[first]]
+            spans.append(np.stack([places[owner, 0], places[owner, 1], places[owner, 2] + inside[hit[first]], places[owner, 2] + inside[hit[last]] + L], axis=1))
     spans = np.concatenate(spans) if spans else np.empty((0, 4), np.int64)
     ids, prints, blobs = [], [], []
     if len(spans):
@@ -350,9 +338,8 @@ def _second_answers(group: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(ids, pa.int64()), "print": pa.array(prints, pa.int64()), "spans": pa.array(blobs, pa.binary())})
 
 
-def merged(blobs: list[bytes]) -> np.ndarray:
+def merged(s: np.ndarray) -> np.ndarray:
     """The union of spans as disjoint maximal ones in order."""
-    s = np.concatenate([np.frombuffer(b, np.int64).reshape(-1, 2) for b in blobs])
     s = s[np.argsort(s[:, 0], kind="stable")]
     reach = np.maximum.accumulate(s[:, 1])
     new = np.concatenate([[True], s[1:, 0] > reach[:-1]])
@@ -364,8 +351,8 @@ def covered_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text, found (list of print and spans, or null) for docs(doc_id, text, print) with ids."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     few, many = (int(min(max(8, size // x), MOST_BUCKETS)) for x in BUCKET_BYTES)
-    live = docs.mapInArrow(_first_round(few), _DEALT).groupBy("bucket").applyInArrow(_first_answers, "doc_id long, keys binary")
-    live = live.groupBy("doc_id").agg(F.collect_list("keys").alias("keys"))
+    live = docs.mapInArrow(_first_round(few), _DEALT).groupBy("bucket").applyInArrow(_first_answers, "doc_id long, runs binary")
+    live = live.groupBy("doc_id").agg(F.collect_list("runs").alias("runs"))
     sent = docs.join(live, "doc_id").mapInArrow(_second_round(many), _DEALT)
     spans = sent.groupBy("bucket").applyInArrow(_second_answers, "doc_id long, print long, spans binary")
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("print", "spans")).alias("found"))
@@ -377,7 +364,7 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for text, print_, found in zip(byte_values(batch.column("text")), batch.column("print").to_pylist(), batch.column("found").to_pylist(), strict=True):
             own = [f["spans"] for f in found or [] if f["print"] == print_]
-            spans = merged(own).tolist() if own else []
+            spans = merged(np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in own])).tolist() if own else []
             at, kept = 0, hashlib.sha256()
             for a, b in spans:
                 kept.update(text[at:a])
@@ -391,7 +378,9 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_bytes(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs(doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("print"))
+    if docs.schema["doc_id"].dataType.simpleString() != "bigint":
+        docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("print"))  # nothing else: both joins use one exchange of this
     known = covered_spans(docs.filter("doc_id is not null"))
     nameless = docs.filter("doc_id is null").withColumn("found", F.lit(None).cast("array<struct<print:bigint,spans:binary>>"))
     return known.unionByName(nameless).mapInArrow(_cleaned, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
