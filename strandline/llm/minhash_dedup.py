@@ -7,11 +7,11 @@ a single shingle, and two sets agree in a coordinate with the probability of the
 coordinates give candidate buckets. With 32 bands of 4 a pair of similarity 0.8 misses all buckets with a
 probability below 1e-7.
 
-Texts of one and the same set form a class first, so thousands of copies cost one row each. Classes in a bucket are
-compared with the bucket's smallest class only; links are confirmed on the full sets and contracted to components.
-This star step repeats while it finds links. What is left are buckets that still hold several components: there the
-pairs across components are compared too (by sketch agreement first, then on full sets), so no link between
-components is lost. No bucket is capped.
+Texts of one and the same set form a class first, so thousands of copies cost one row each. Within a bucket, sketches
+are compared: classes that agree in LEAST_AGREEMENT coordinates are joined to clusters (a pair at 0.8 fails that with a
+probability below 1e-7). Within a cluster the full sets are compared, and that alone makes links. Both comparisons run
+in blocks of at most BLOCK classes, every two blocks of a bucket or cluster together, and walk from class to
+class, so a block returns what connects its classes and never its pairs. No bucket or cluster is capped.
 
 Defined results: a null or wordless text has no shingles and its own component. A row with a null doc_id belongs to
 the component of its class, and is kept only if no row with an id is there. Rows that repeat a doc_id are judged
@@ -20,7 +20,7 @@ alike. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +31,10 @@ from strandline.llm.common import batch_words, byte_values, chunks, forget, mix,
 
 T, BANDS, ROWS = 128, 32, 4
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: Of 128 coordinates, pairs at 0.8 agree in 102 on average with a deviation below 4.6; 58 is more than nine deviations less.
-LEAST_AGREEMENT = 58
+#: Of 128 coordinates, pairs at 0.8 agree in 102 on average with a deviation of 4.5.
+LEAST_AGREEMENT = 77
+#: Classes in a block, and shingles at most (on average).
+BLOCK, BLOCK_GRAMS = 512, 1 << 21
 
 
 def distinct_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,17 +91,17 @@ def band_keys(sketches: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.
 def _sketched(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ids = byte_values(batch.column("text")), batch.column("doc_id")
+            texts, ids, prints = byte_values(batch.column("text")), batch.column("doc_id"), batch.column("print")
             for a, b in chunks(texts):
                 grams, sizes = distinct_sets(texts[a:b], k)
                 ends = np.cumsum(sizes)
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(grams ^ np.uint64(c)))]) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
                 sig = [(s[ends] - s[ends - sizes]).view(np.int64) for s in sums]
                 s = sketch(grams, sizes)
-                short = (s >> np.uint64(48)).astype(np.uint16)
+                short = (s >> np.uint64(56)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array(sizes), *map(pa.array, sig), ragged(band_keys(s).view(np.int64).ravel(), np.full(b - a, BANDS)), pa.array([x.tobytes() for x in short], pa.binary())],
-                    names=["doc_id", "n_shingles", "sig0", "sig1", "bands", "marks"],
+                    [ids.slice(a, b - a), prints.slice(a, b - a), pa.array(sizes), *map(pa.array, sig), ragged(band_keys(s).view(np.int64).ravel(), np.full(b - a, BANDS)), pa.array([x.tobytes() for x in short], pa.binary())],
+                    names=["doc_id", "print", "n_shingles", "sig0", "sig1", "bands", "marks"],
                 )
 
     return run
@@ -116,12 +118,119 @@ def _sets(k: int):
     return run
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose sketches agree in enough coordinates."""
-    for batch in batches:
-        m = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, T) for c in ("marks_a", "marks_b")]
-        good = pa.array((m[0] == m[1]).sum(axis=1) >= LEAST_AGREEMENT) if batch.num_rows else pa.array([], pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], names=["a", "b"])
+def _grouped(walk: Callable[[pa.Table], np.ndarray], keys: list[str]):
+    """Streams rows that are sorted by keys; walk gets each group of several rows and returns pairs (a, b) of nodes."""
+
+    def pairs(groups: list[np.ndarray]) -> pa.RecordBatch:
+        both = np.concatenate(groups) if groups else np.empty((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in keys], axis=1)
+            edges = np.concatenate([[0], np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1, [batch.num_rows]])
+            found = []
+            if held and tuple(k[0]) != last:
+                found.append(walk(pa.Table.from_batches(held)))
+                held = []
+            table_ = pa.Table.from_batches([batch])
+            for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                if b == batch.num_rows:  # may go on in the next batch
+                    held.append(batch.slice(a))
+                elif i == 0 and held:
+                    found.append(walk(pa.Table.from_batches([*held, batch.slice(a, b - a)])))
+                    held = []
+                elif b - a > 1:
+                    found.append(walk(table_.slice(a, b - a)))
+            last = tuple(k[-1])
+            yield pairs(found)
+        if held:
+            yield pairs([walk(pa.Table.from_batches(held))])
+
+    return run
+
+
+def _walked(nodes: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Pairs that connect nodes as all links would: each node is compared with the ones not reached yet."""
+    out, rest = [], np.arange(len(nodes))
+    front: list[int] = []
+    while len(rest):
+        if not front:
+            front, rest = [int(rest[0])], rest[1:]
+        i = front.pop()
+        if not len(rest):
+            break
+        hit = near(i, rest)
+        new = rest[hit]
+        rest = rest[~hit]
+        front += new.tolist()
+        out.append(np.column_stack([np.full(len(new), nodes[i]), nodes[new]]))
+    return np.concatenate(out) if out else np.empty((0, 2), np.int64)
+
+
+def _by_sketch(percent: int):
+    def walk(group: pa.Table) -> np.ndarray:
+        if group.num_rows < 2:
+            return np.empty((0, 2), np.int64)
+        nodes, n = (group.column(c).to_numpy() for c in ("node", "n_shingles"))
+        marks = np.frombuffer(b"".join(group.column("marks").to_pylist()), np.uint8).reshape(-1, T)
+
+        def near(i: int, rest: np.ndarray) -> np.ndarray:
+            size = 100 * np.minimum(n[i], n[rest]) >= percent * np.maximum(n[i], n[rest])
+            return size & ((marks[rest] == marks[i]).sum(axis=1) >= LEAST_AGREEMENT)
+
+        return _walked(nodes, near)
+
+    return walk
+
+
+def _by_set(percent: int):
+    def walk(group: pa.Table) -> np.ndarray:
+        if group.num_rows < 2:
+            return np.empty((0, 2), np.int64)
+        nodes = group.column("node").to_numpy()
+        lists = group.column("grams").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        flat = lists.flatten().to_numpy()
+        n = lists.value_lengths().to_numpy().astype(np.int64)
+        ends = np.cumsum(n)
+        _, flat = np.unique(flat, return_inverse=True)
+        mine = np.zeros(int(flat.max()) + 1 if len(flat) else 0, np.int32)
+
+        def near(i: int, rest: np.ndarray) -> np.ndarray:
+            fit = 100 * np.minimum(n[i], n[rest]) >= percent * np.maximum(n[i], n[rest])
+            some = rest[fit]
+            if len(some):
+                own = flat[ends[i] - n[i] : ends[i]]
+                mine[own] = 1
+                sizes = n[some]
+                stops = np.cumsum(sizes)
+                common = np.add.reduceat(mine[flat[np.repeat(ends[some] - stops, sizes) + np.arange(stops[-1])]], stops - sizes)
+                mine[own] = 0
+                fit[fit] = 100 * common >= percent * (n[i] + sizes - common)
+            return fit
+
+        return _walked(nodes, near)
+
+    return walk
+
+
+def in_blocks(df: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
+    """df with columns i, j: every two rows of a key meet in at least one (key, i, j). sizes: key and its number of blocks."""
+    few = df.join(sizes, key).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
+    return few.withColumn("other", other).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("own", "other", "blocks")
+
+
+def compared(df: DataFrame, key: str, walk: Callable[[pa.Table], np.ndarray], payload: list[str]) -> DataFrame:
+    """The pairs that walk finds in each (key, i, j)."""
+    keys = [key, "i", "j"]
+    dealt = df.select(*keys, "node", *payload).repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(_grouped(walk, keys), "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -143,68 +252,42 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of doc ids whose full shingle sets reach the similarity."""
-    nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = docs.select("doc_id", "text").join(nodes, "doc_id", "left_semi").mapInArrow(_sets(k), "node long, grams array<long>")
-    left = sets.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
-    right = sets.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
-    both = F.size(F.array_intersect("ga", "gb"))
-    return pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * (F.size("ga") + F.size("gb") - both)).select("a", "b").distinct()
-
-
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = stage(docs.mapInArrow(_sketched(k), "doc_id long, n_shingles long, sig0 long, sig1 long, bands array<long>, marks binary"), "sketches")
+    """doc_id, print (xxhash64 of text), n_shingles, component_id, kept for each row of docs(doc_id, text)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("print"))
+    rows = stage(docs.mapInArrow(_sketched(k), "doc_id long, print long, n_shingles long, sig0 long, sig1 long, bands array<long>, marks binary"), "sketches")
     key = ["n_shingles", "sig0", "sig1"]
     # Only rows with the class's smallest id carry its bands: what a shuffle moves of thousands of copies are their ids.
     classes = stage(rows.filter("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("node")), "classes")
     nodes = stage(rows.join(classes.filter("node is not null").withColumnRenamed("node", "doc_id"), [*key, "doc_id"], "left_semi").dropDuplicates([*key, "doc_id"]).select(F.col("doc_id").alias("node"), "n_shingles", "bands", "marks"), "nodes")
     members = nodes.select("node", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
-    members = stage(members.join(shared, "band"), "members")
+    buckets = members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    placed = in_blocks(members, "band", buckets).join(nodes.select("node", "n_shingles", "marks"), "node")
+    alike = compared(placed, "band", _by_sketch(percent), ["n_shingles", "marks"])
+    clusters = components(alike)
+
+    texts = docs.join(clusters.withColumnRenamed("node", "doc_id"), "doc_id")
+    sets = texts.select("doc_id", "text").mapInArrow(_sets(k), "node long, grams array<long>").join(clusters, "node").join(nodes.select("node", "n_shingles"), "node")
+    loads = clusters.join(nodes, "node").groupBy("comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("grams"))
+    loads = loads.select("comp", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("grams") / BLOCK_GRAMS)).alias("blocks"))
+    links = compared(in_blocks(sets.filter(F.size("grams") == F.col("n_shingles")), "comp", loads), "comp", _by_set(percent), ["grams"])
+    comp = components(links)
+
+    ids = classes.join(comp, "node", "left").select(*key, F.coalesce("comp", "node").alias("node"))
+    out = rows.select("doc_id", "print", *key).join(ids.withColumnRenamed("node", "class_id"), key, "left")
+    own = F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "print", "n_shingles", own.alias("component_id"), F.when(F.col("doc_id").isNull(), own.isNull()).otherwise(F.col("doc_id") == own).alias("kept"))
 
-    comp, links = None, None
-    while True:
-        at = members.withColumn("comp", F.col("node")) if comp is None else members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        at = stage(at, "buckets")
-        hubs = at.groupBy("band").agg(F.min(F.struct("comp", "node")).alias("hub"), F.max("comp").alias("top")).filter("hub.comp < top").select("band", "hub")
-        star = at.join(hubs, "band").filter("comp <> hub.comp").select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
-        found = stage(confirmed(star, docs, k, percent), "confirmed")
-        grew = bool(found.take(1))
-        if grew:
-            links = found if links is None else links.unionByName(found)
-            comp = components(links)
-            continue
-        rest = at.join(hubs.select("band"), "band", "left_semi")
-        short = nodes.select(F.col("node"), F.col("n_shingles").alias("n"), "marks")
-        pairs = (
-            rest.select("band", F.col("node").alias("a"), F.col("comp").alias("ca"))
-            .join(rest.select("band", F.col("node").alias("b"), F.col("comp").alias("cb")), "band")
-            .filter("a < b and ca <> cb")
-            .select("a", "b")
-            .distinct()
-        )
-        pairs = (
-            pairs.join(short.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("marks").alias("marks_a")), "a")
-            .join(short.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("marks").alias("marks_b")), "b")
-            .filter(F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb"))
-            .mapInArrow(_agreeing, "a long, b long")
-        )
-        found = stage(confirmed(stage(pairs, "pairs"), docs, k, percent), "confirmed")
-        if not found.take(1):
-            break
-        links = found if links is None else links.unionByName(found)
-        comp = components(links)
-        break
 
-    ids = classes if comp is None else classes.join(comp, "node", "left").select(*key, F.coalesce("comp", "node").alias("node"))
-    out = rows.select("doc_id", *key).join(ids.withColumnRenamed("node", "class_id"), key, "left")
-    own = F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.when(F.col("doc_id").isNull(), own.isNull()).otherwise(F.col("doc_id") == own).alias("kept"))
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each group of near copies; all columns stay."""
+    keep = near_duplicates(docs, k, percent).filter("kept").groupBy("doc_id", "print").agg(F.count("*").alias("n"))
+    keep = stage(keep.select(F.col("doc_id").alias("_id"), F.col("print").alias("_print"), F.col("n").alias("_n")), "kept")
+    found = docs.withColumn("_text", F.xxhash64("text")).join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_print")))
+    once, often = found.filter("_n = 1"), found.filter("_n > 1").dropDuplicates(["_id", "_print"])
+    return once.unionByName(often).select(*docs.columns)
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's component of near copies: four words, 100 * intersection >= 80 * union."""
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("print")
