@@ -27,21 +27,35 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm.common import CHUNK_BYTES, table
 
-POOL = 1024
+POOL = 256
 #: Words whose ids a worker remembers; beyond that it forgets them and starts anew.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 800_000
+
+
+class _Index(dict):
+    """Word -> number; a word that is asked for the first time gets the next one."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
 
 
 class WordEncoder:
-    """Ids by a tokenizer of lower-cased words without white space.
+    """Ids by a tokenizer of lower-cased words without white space, whose last token of a word ends with a mark.
 
-    Such a tokenizer treats each pre-token alone, so the ids of a word are remembered. Texts with other characters
-    than printable Latin-1 and plain line ends, or with special tokens, go to the library as they are.
+    Such a tokenizer treats each pre-token alone, so the ids of a word are remembered; new words are encoded together,
+    with spaces between them. Texts with other characters than printable Latin-1 and plain line ends, or with special
+    tokens, go to the library as they are.
     """
 
     PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]*")
     LETTERS, DIGITS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
     WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^\s{LETTERS}{DIGITS}]+")
+    MARK = "</w>"
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -49,25 +63,29 @@ class WordEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(self.MARK)]] = True
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = _Index()
         self.flat, self.starts = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.index) > WORDS_KEPT:
-            self.forget()
-        new = [w for w in dict.fromkeys(words) if w not in self.index]
-        if not new:
-            return
-        found = [x.ids for x in self.library.encode_batch(new, add_special_tokens=False)]
-        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        self.flat = np.concatenate([self.flat, np.array([i for x in found for i in x], np.uint32)])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+    def _learn(self) -> None:
+        new, self.index.new = self.index.new, []
+        parts = [" ".join(new[i : i + 2000]) for i in range(0, len(new), 2000)]
+        ids = [np.array(x.ids, np.uint32) for x in self.library.encode_batch(parts, add_special_tokens=False)]
+        ids = np.concatenate(ids) if ids else np.empty(0, np.uint32)
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(new):
+            raise ValueError("the tokenizer does not mark the ends of words")
+        self.starts = np.concatenate([self.starts, len(self.flat) + stops])
+        self.flat = np.concatenate([self.flat, ids])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.index) > WORDS_KEPT:
+            self.forget()
         out: list[np.ndarray | None] = [None] * len(texts)
         words, counts, plain = [], [], []
         for i, t in enumerate(texts):
@@ -78,11 +96,11 @@ class WordEncoder:
                 plain.append(i)
             else:
                 out[i] = np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32)
-        self._learn(words)
         at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        size = self.starts[at + 1] - self.starts[at] if len(at) else np.empty(0, np.int64)
+        self._learn()
+        size = self.starts[at + 1] - self.starts[at]
         ends = np.cumsum(size)
-        ids = self.flat[np.repeat(self.starts[at] - (ends - size), size) + np.arange(ends[-1])] if len(at) and ends[-1] else np.empty(0, np.uint32)
+        ids = self.flat[np.repeat(self.starts[at] - (ends - size), size) + np.arange(ends[-1])] if len(at) else np.empty(0, np.uint32)
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)] if counts else np.zeros(1, np.int64)
         for j, i in enumerate(plain):
             out[i] = ids[bounds[j] : bounds[j + 1]]
@@ -126,28 +144,47 @@ class Packer:
             return int(min(n, left[2]))
         return int(min(n, np.searchsorted(np.cumsum(piece[4]), left[2], "right")))
 
+    def _demand(self, piece: tuple) -> tuple[float, float, float]:
+        n = len(piece[3]) / self.tokens
+        return n, 1 / self.segments, n * self.tokens / self.loss if piece[4] is None else float(piece[4].sum()) / self.loss
+
     def _pack(self, keep: int) -> None:
         """Fills sequences until at most `keep` pieces are left in the pool."""
-        while len(self.pool) > keep:
-            demand = np.array([(len(p[3]), 1, self._loss(p)) for p in self.pool], np.float64) / self.limits
-            there = np.ones(len(demand), bool)
+        pool, here = self.pool, len(self.pool)
+        demand = np.full((2 * here + 64, 3), np.inf)  # of pieces that are gone: infinite
+        demand[:here] = [self._demand(p) for p in pool]
+        while here > keep:
             left, taken = np.ones(3), []
-            while there.any():
-                fits = there & (demand <= left + 1e-12).all(axis=1)
-                if not fits.any():
+            while True:
+                fits = np.flatnonzero((demand <= left + 1e-12).all(axis=1))
+                if not len(fits):
                     break
-                best = int(np.argmax(np.where(fits, demand @ left, -1)))
-                taken.append(self.pool[best])
+                best = int(fits[np.argmax(demand[fits] @ left)])
+                taken.append(pool[best])
                 left = left - demand[best]
-                there[best] = False
-            rest = [p for p, t in zip(self.pool, there, strict=True) if t]
+                demand[best] = np.inf
+                here -= 1
             space = np.rint(left * self.limits)
-            if space[0] and rest:  # nothing fits whole: the piece of which most fits is cut
-                best = max(range(len(rest)), key=lambda i: self._fitting(rest[i], space))
-                if n := self._fitting(rest[best], space):
-                    head, rest[best] = self._cut(rest[best], n)
+            back: list[tuple] = []
+            if space[0] and here:  # nothing fits whole: the longest piece is cut
+                rest = np.flatnonzero(demand[:, 0] < np.inf)
+                best = int(rest[np.argmax(demand[rest, 0])])
+                if n := self._fitting(pool[best], space):
+                    head, tail = self._cut(pool[best], n)
                     taken.append(head)
-            self.pool = rest + self._ended(taken)
+                    back.append(tail)
+                    demand[best] = np.inf
+                    here -= 1
+            back += self._ended(taken)
+            if len(pool) + len(back) > len(demand):
+                kept = [pool[i] for i in np.flatnonzero(demand[:, 0] < np.inf)]
+                self.pool = kept + back
+                return self._pack(keep)
+            for p in back:
+                demand[len(pool)] = self._demand(p)
+                pool.append(p)
+                here += 1
+        self.pool = [pool[i] for i in np.flatnonzero(demand[:, 0] < np.inf)]
 
     def _ended(self, taken: list[tuple]) -> list[tuple]:
         """Emits the sequence, up to a power of two if it isn't full; returns what comes after that."""
