@@ -14,8 +14,8 @@ in blocks of at most BLOCK classes, every two blocks of a bucket or cluster toge
 class, so a block returns what connects its classes and never its pairs. No bucket or cluster is capped.
 
 Defined results: a null or wordless text has no shingles and its own component. A row with a null doc_id belongs to
-the component of its class, and is kept only if no row with an id is there. Rows that repeat a doc_id are judged
-alike. Extra columns are ignored.
+the component of its class (rows of one shingle set) and links nothing else; it is kept only if no row with an id is
+in its class. Rows that repeat a doc_id are one node and judged alike. Extra columns are ignored.
 """
 
 from __future__ import annotations
