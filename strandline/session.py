@@ -1,4 +1,4 @@
-"""Sessions: shipping this package to the executors."""
+"""Sessions: shipping this package to the executors, and batches that fit their memory."""
 
 from __future__ import annotations
 
@@ -12,8 +12,19 @@ _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _shipped: set[str] = set()
 
 
+#: Rows and bytes of an Arrow batch, where the session has Spark's defaults: texts are long, and a worker holds a batch several times.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
+
+
+def small_batches(spark: SparkSession) -> None:
+    for key, (default, value) in BATCHES.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, value)
+
+
 def ship(spark: SparkSession) -> None:
     """Lets Python workers on all executors import this package, once an application."""
+    small_batches(spark)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
