@@ -25,36 +25,62 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm.common import CHUNK_BYTES, table
+from strandline.llm.common import CHUNK_BYTES, mix, powers, prefix_hash, table
 
 POOL = 256
-#: Words whose ids a worker remembers; beyond that it forgets them and starts anew.
-WORDS_KEPT = 800_000
-
-
-class _Index(dict):
-    """Word -> number; a word that is asked for the first time gets the next one."""
-
-    def __init__(self):
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        self.new.append(word)
-        return n
+#: Words whose ids a worker remembers (some 16 bytes each and their ids); beyond that it forgets them and starts anew.
+WORDS_KEPT = 1_000_000
+_SPACE, _LETTER, _DIGIT, _OTHER = range(4)
+
+
+def _classes() -> np.ndarray:
+    out = np.full(256, _OTHER, np.uint8)
+    out[[9, 10, 13, 32]] = _SPACE
+    out[[*b"0123456789", 0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE]] = _DIGIT
+    letters = [*range(97, 123), 0xAA, 0xB5, 0xBA, *range(0xDF, 0xF7), *range(0xF8, 0x100)]
+    out[letters] = _LETTER
+    return out
+
+
+_CLASS = _classes()
+#: What may follow an apostrophe as one token with it.
+_TAILS = [b"s", b"t", b"re", b"ve", b"m", b"ll", b"d"]
+
+
+def pre_tokens(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the pre-tokens of lower-case Latin-1 that ends with a space: an apostrophe with its tail, letters, one digit, other runs."""
+    cls = _CLASS[data]
+    start = np.empty(len(cls), bool)
+    start[0] = True
+    np.not_equal(cls[1:], cls[:-1], out=start[1:])
+    quote = np.flatnonzero((data == 39) & start)
+    start |= cls == _DIGIT
+    quote = quote[quote + 3 < len(data)]
+    if len(quote):
+        after = np.zeros(len(quote), np.int64)
+        for tail in reversed(_TAILS):
+            fits = np.ones(len(quote), bool)
+            for j, c in enumerate(tail, 1):
+                fits &= data[quote + j] == c
+            after[fits] = len(tail)
+        quote, after = quote[after > 0], after[after > 0]
+        start[quote + 1] = False
+        behind = quote + after + 1
+        start[behind[cls[behind] == _LETTER]] = True
+    word = cls != _SPACE
+    ends = np.flatnonzero((start[1:] | ~word[1:]) & word[:-1]) + 1
+    return np.flatnonzero(start & word), ends
 
 
 class WordEncoder:
     """Ids by a tokenizer of lower-cased words without white space, whose last token of a word ends with a mark.
 
-    Such a tokenizer treats each pre-token alone, so the ids of a word are remembered; new words are encoded together,
-    with spaces between them. Texts with other characters than printable Latin-1 and plain line ends, or with special
-    tokens, go to the library as they are.
+    Such a tokenizer treats each pre-token alone, so the ids of a word are remembered under its 64-bit hash; new words
+    are encoded together, with spaces between them. Texts with other characters than printable Latin-1 and plain line
+    ends, or with special tokens, go to the library as they are.
     """
 
     PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]*")
-    LETTERS, DIGITS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
-    WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^\s{LETTERS}{DIGITS}]+")
     MARK = "</w>"
 
     def __init__(self, path: str):
@@ -69,41 +95,71 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.index = _Index()
+        # Two sorted tables of hashes with the numbers of their words: a large one, and a small one that is merged into it.
+        self.tables = [(np.empty(0, np.uint64), np.empty(0, np.int32)) for _ in range(2)]
         self.flat, self.starts = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
-    def _learn(self) -> None:
-        new, self.index.new = self.index.new, []
-        parts = [" ".join(new[i : i + 2000]) for i in range(0, len(new), 2000)]
-        ids = [np.array(x.ids, np.uint32) for x in self.library.encode_batch(parts, add_special_tokens=False)]
-        ids = np.concatenate(ids) if ids else np.empty(0, np.uint32)
+    def _numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of words; -1 for unknown ones."""
+        out = np.full(len(hashes), -1, np.int64)
+        for known, number in self.tables:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                hit = known[at] == hashes
+                out[hit] = number[at[hit]]
+        return out
+
+    def _learn(self, words: list[bytes], hashes: np.ndarray) -> np.ndarray:
+        """Encodes new words (their hashes in rising order); returns their numbers."""
+        parts = [b" ".join(words[i : i + 2000]).decode("latin-1") for i in range(0, len(words), 2000)]
+        ids = np.concatenate([np.array(x.ids, np.uint32) for x in self.library.encode_batch(parts, add_special_tokens=False)])
         stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) != len(new):
+        if len(stops) != len(words):
             raise ValueError("the tokenizer does not mark the ends of words")
+        number = np.arange(len(self.starts) - 1, len(self.starts) - 1 + len(words), dtype=np.int32)
         self.starts = np.concatenate([self.starts, len(self.flat) + stops])
         self.flat = np.concatenate([self.flat, ids])
+        known = np.concatenate([self.tables[1][0], hashes])
+        order = np.argsort(known)
+        self.tables[1] = known[order], np.concatenate([self.tables[1][1], number])[order]
+        if len(known) > WORDS_KEPT // 10:
+            known = np.concatenate([self.tables[0][0], self.tables[1][0]])
+            order = np.argsort(known)
+            self.tables[0] = known[order], np.concatenate([self.tables[0][1], self.tables[1][1]])[order]
+            self.tables[1] = np.empty(0, np.uint64), np.empty(0, np.int32)
+        return number
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.index) > WORDS_KEPT:
+        if len(self.starts) > WORDS_KEPT:
             self.forget()
-        out: list[np.ndarray | None] = [None] * len(texts)
-        words, counts, plain = [], [], []
+        out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
+        plain, pieces = [], []
         for i, t in enumerate(texts):
             if self.PLAIN.fullmatch(t) and not any(s in t for s in self.special):
-                w = self.WORD.findall(t.lower())
-                words += w
-                counts.append(len(w))
                 plain.append(i)
+                pieces.append(t.lower().encode("latin-1"))
             else:
                 out[i] = np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32)
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        self._learn()
-        size = self.starts[at + 1] - self.starts[at]
-        ends = np.cumsum(size)
-        ids = self.flat[np.repeat(self.starts[at] - (ends - size), size) + np.arange(ends[-1])] if len(at) else np.empty(0, np.uint32)
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)] if counts else np.zeros(1, np.int64)
+        joined = b" ".join(pieces) + b" "
+        data = np.frombuffer(joined, np.uint8)
+        start, end = pre_tokens(data)
+        if not len(start):
+            return out
+        h = prefix_hash(data)
+        size = end - start
+        hashes, first, inverse = np.unique(mix((h[end] - h[start]) * powers(len(data) + 1)[1][start] + size.astype(np.uint64)), return_index=True, return_inverse=True)
+        number = self._numbers(hashes)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            number[new] = self._learn([joined[a:b] for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)], hashes[new])
+        at = number[inverse]
+        n = self.starts[at + 1] - self.starts[at]
+        stop = np.cumsum(n)
+        ids = self.flat[np.repeat(self.starts[at] - (stop - n), n) + np.arange(stop[-1])]
+        bounds = np.concatenate([[0], np.cumsum([len(x) + 1 for x in pieces])])
+        cut = np.concatenate([[0], stop])[np.searchsorted(start, bounds)]
         for j, i in enumerate(plain):
-            out[i] = ids[bounds[j] : bounds[j + 1]]
+            out[i] = ids[cut[j] : cut[j + 1]]
         return out
 
 
@@ -151,6 +207,8 @@ class Packer:
     def _pack(self, keep: int) -> None:
         """Fills sequences until at most `keep` pieces are left in the pool."""
         pool, here = self.pool, len(self.pool)
+        if not here:
+            return
         demand = np.full((2 * here + 64, 3), np.inf)  # of pieces that are gone: infinite
         demand[:here] = [self._demand(p) for p in pool]
         while here > keep:
