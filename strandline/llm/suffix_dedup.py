@@ -36,7 +36,7 @@ L, K = 50, 25
 BUCKET_BYTES = 16 << 20, 2 << 20
 MOST_BUCKETS = 1 << 22
 LONGEST_RUN = 4096
-FLUSH = 1 << 22
+FLUSH = 1 << 20
 _LOW48 = np.uint64((1 << 48) - 1)
 _DEALT = "bucket int, kind int, owners binary, keys binary, more binary"
 
