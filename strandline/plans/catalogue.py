@@ -13,7 +13,7 @@ from strandline.operators import aggregates as ag
 from strandline.operators import bootstrap as bs
 from strandline.operators import calendars as cal
 from strandline.operators import correlation as co
-from strandline.operators import ewm, fx, panel, portfolio, regimes, replay, returns, risk, rolling, signals, unsmoothing, weights
+from strandline.operators import ewm, figures, fx, panel, portfolio, regimes, replay, reports, returns, risk, rolling, signals, unsmoothing, weights
 from strandline.operators import performance as pf
 from strandline.plans import panels as p
 from strandline.plans import sql as s
@@ -363,3 +363,91 @@ register("date_functions", lambda sp, d: p.px(sp, d).select("ts").distinct().sel
 register("signal_map_laplace", lambda sp, d: p.monthly_returns(sp, d).withColumn("value", x.laplace_weight(F.col("value"), 0.0, 0.1)), s.q(s.PX, s.ME, s.MR, f"SELECT ts, asset, CASE WHEN value < 0 THEN {s.r('exp(value / 0.1) - 1')} ELSE {s.r('1 - exp(-value / 0.1)')} END AS value FROM mr"))
 register("signal_map_normal", lambda sp, d: p.monthly_returns(sp, d).withColumn("value", x.normal_weight(F.col("value"), 0.0, 0.1)))
 register("signal_map_exp_tail", lambda sp, d: p.monthly_returns(sp, d).withColumn("value", x.exp_tail_weight(F.col("value"), 0.0, 0.1, 5.0, 5.0, 2.0, 2.0)), s.q(s.PX, s.ME, s.MR, f"SELECT ts, asset, {s.r('greatest(-1, least(1, CASE WHEN value > 0.1 THEN 0.5 * exp(-(value - 0.1) * 2) WHEN value < -0.1 THEN -0.5 * exp((value + 0.1) * 2) ELSE 5 * value END))')} AS value FROM mr"))
+
+# --- figures and reports -------------------------------------------------------------------------------------
+
+_XY = (s.PX, s.BENCH, s.calendar("ME"), s.asof("px", "cal", "m"), s.asof("bench", "cal", "bm"), s.MR, s.REGIME, "xy AS (SELECT mr.ts, asset, value AS y, x FROM mr JOIN reg ON reg.ts = mr.ts)")
+_IQR = "value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)"
+register("figure_box", lambda sp, d: figures.box(p.read(sp, d, "events").select("event_type", "value"), "value", "event_type"), s.q("q AS (SELECT event_type, count(*) AS n, avg(value) AS mean, quantile_cont(value, 0.25) AS q1, median(value) AS md, quantile_cont(value, 0.75) AS q3 FROM events GROUP BY 1)", f"SELECT q.event_type, any_value(n) AS n, {s.r('any_value(mean)')} AS mean, {s.r('any_value(q1)')} AS q1, {s.r('any_value(md)')} AS median, {s.r('any_value(q3)')} AS q3, {s.r(f'min(value) FILTER ({_IQR})')} AS low, {s.r(f'max(value) FILTER ({_IQR})')} AS high FROM events JOIN q ON q.event_type = events.event_type GROUP BY 1"))
+register("figure_error_bars", lambda sp, d: figures.error_bars(p.read(sp, d, "events"), "value", "event_type"), f"SELECT event_type, {s.r('avg(value)')} AS mean, {s.r('stddev_samp(value) / sqrt(count(value))')} AS error FROM events GROUP BY 1")
+register("figure_density", lambda sp, d: figures.density(p.monthly_returns(sp, d), 20), s.q(s.PX, s.ME, s.MR, "z AS (SELECT asset, min(value) AS lo, max(value) AS hi, stddev_samp(value) * count(*) ** (-0.2::DOUBLE) AS h, count(*) AS n FROM mr GROUP BY 1), gr AS (SELECT asset, h, n, lo + i * (hi - lo) / 19 AS x FROM z, range(20) t(i))", f"SELECT mr.asset, {s.r('x')} AS x, {s.r('sum(exp(-0.5 * ((x - value) / h) ** 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi()))')} AS y FROM mr JOIN gr ON gr.asset = mr.asset GROUP BY mr.asset, x"))
+register("figure_histogram_2d", lambda sp, d: figures.histogram_2d(_xy(sp, d), "x", "y", (-1.0, 1.0, -1.0, 1.0), 8), s.q(*_XY, "SELECT CAST(least(floor((x + 1) / 0.25), 7) AS INTEGER) AS ix, CAST(least(floor((y + 1) / 0.25), 7) AS INTEGER) AS iy, count(*) AS n FROM xy WHERE x BETWEEN -1 AND 1 AND y BETWEEN -1 AND 1 GROUP BY 1, 2"))
+register("figure_qq", lambda sp, d: figures.qq(p.monthly_returns(sp, d)))
+register("figure_xy_qq", lambda sp, d: figures.xy_qq(p.monthly_returns(sp, d).filter("asset = 'A'"), p.monthly_returns(sp, d).filter("asset = 'N'"), 5), s.q(s.PX, s.ME, s.MR, " UNION ALL ".join(f"SELECT {k / 4}::DOUBLE AS p, {s.r(f'quantile_cont(value, {k / 4}) FILTER (asset = {chr(39)}A{chr(39)})')} AS x, {s.r(f'quantile_cont(value, {k / 4}) FILTER (asset = {chr(39)}N{chr(39)})')} AS y FROM mr" for k in range(5))))
+register("figure_scatter", lambda sp, d: figures.scatter(_xy(sp, d), "asset"), s.q(*_XY, "f AS (SELECT asset, regr_intercept(y, x) AS a, regr_slope(y, x) AS b, regr_r2(y, x) AS r2, count(*) AS n, avg(x) AS mx, var_pop(x) AS vx, regr_syy(y, x) AS syy FROM xy GROUP BY 1)", f"SELECT ts, xy.asset, {s.r('x')} AS x, {s.r('y')} AS y, {s.r('a + b * x')} AS fit, {s.r('1.96 * sqrt(syy * (1 - r2) / (n - 2)) * sqrt(1.0::DOUBLE / n + (x - mx) ** 2 / (n * vx))')} AS band FROM xy JOIN f ON f.asset = xy.asset"))
+register("figure_stacked", lambda sp, d: figures.stacked(p.w_prio(sp, d)), s.q(s.PRIO, s.WPRIO, f"SELECT ts, asset, {s.r('value')} AS value, {s.r('sum(value) OVER (PARTITION BY ts ORDER BY asset)')} AS top, {s.r('sum(value) OVER (PARTITION BY ts)')} AS total FROM wprio"))
+register("figure_legend_stats", lambda sp, d: figures.legend_stats(p.monthly_returns(sp, d)).drop("missing"), s.q(s.PX, s.ME, s.MR, f"SELECT asset, {s.r('arg_min(value, ts)')} AS first, {s.r('avg(value)')} AS avg, {s.r('arg_max(value, ts)')} AS last, {s.r('min(value)')} AS min, {s.r('max(value)')} AS max, {s.r('stddev_samp(value)')} AS std, {s.r('skewness(value)')} AS skew, {s.r('kurtosis(value)')} AS kurt, {s.r('avg(value) / stddev_samp(value)')} AS t_stat FROM mr GROUP BY 1"))
+register("figure_top_bottom", lambda sp, d: figures.top_bottom(returns.total_return(p.px_supp(sp, d)).select("asset", F.col("total_return").alias("value")).filter("value is not null"), 5), s.q(s.SUPP, "tr AS (SELECT asset, arg_max(value, ts) / arg_min(value, ts) - 1 AS value FROM supp GROUP BY 1 HAVING count(*) > 1)", f"(SELECT asset, {s.r('tr.value')} AS value, 'top' AS side FROM tr ORDER BY tr.value DESC, asset LIMIT 5) UNION ALL (SELECT asset, {s.r('tr.value')} AS value, 'bottom' AS side FROM tr ORDER BY tr.value, asset LIMIT 5)"))
+register("figure_best_worst", lambda sp, d: figures.best_worst(p.px(sp, d), "ME", 3), s.q(s.PX, s.ME, s.MR, "n AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY value DESC, ts) AS b, row_number() OVER (PARTITION BY asset ORDER BY value, ts) AS w FROM mr)", f"SELECT ts, asset, {s.r('value')} AS value, CASE WHEN b <= 3 THEN 'best' ELSE 'worst' END AS side FROM n WHERE b <= 3 OR w <= 3"))
+register("figure_drawdown_paths", lambda sp, d: figures.drawdown_paths(p.monthly(sp, d), 2))
+register("figure_quantile_table", lambda sp, d: figures.quantile_table(_xy(sp, d), "x", "y", 4), s.q(*_XY, "e AS (SELECT quantile_cont(x, 0.25) AS a, quantile_cont(x, 0.5) AS b, quantile_cont(x, 0.75) AS c FROM xy)", f"SELECT CASE WHEN x <= a THEN 'Q1' WHEN x <= b THEN 'Q2' WHEN x <= c THEN 'Q3' ELSE 'Q4' END AS bin, count(*) AS n, {s.r('avg(xy.x)')} AS x, {s.r('avg(y)')} AS mean, {s.r('stddev_samp(y)')} AS std FROM xy, e GROUP BY 1"))
+register("figure_periodic_table", lambda sp, d: figures.periodic_table(p.px(sp, d), "ME"), s.q(s.PX, s.ME, s.MR, f"SELECT asset, CAST(ts AS VARCHAR) AS period, {s.r('value')} AS value FROM mr UNION ALL SELECT asset, 'Total', {s.r('product(1 + value) - 1')} FROM mr GROUP BY 1"))
+register("figure_annual_matrix", lambda sp, d: figures.annual_matrix(p.px(sp, d)), s.q(s.PX, "y AS (SELECT asset, CAST(year(ts) AS INTEGER) AS y, arg_max(value, ts) AS v, max(ts) AS t FROM px GROUP BY 1, 2), z AS (SELECT a.asset, a.y AS first_year, b.y AS last_year, (b.v / a.v) ** (1.0::DOUBLE / (date_diff('day', a.t, b.t) / 365.25::DOUBLE)) - 1 AS v FROM y a JOIN y b ON a.asset = b.asset AND a.y < b.y)", f"SELECT asset, first_year, last_year, {s.r('v')} AS value FROM z"))
+register("figure_regime_regressions", lambda sp, d: figures.regime_regressions(p.monthly_returns(sp, d), _bench_returns(sp, d), regimes.quantile_regimes(_bench_returns(sp, d))), s.q(*_XY, f"SELECT xy.asset, regime, {s.r('regr_intercept(y, xy.x)')} AS alpha, {s.r('regr_slope(y, xy.x)')} AS beta, {s.r('regr_r2(y, xy.x)')} AS r2, count(*) AS n FROM xy JOIN reg ON reg.ts = xy.ts GROUP BY 1, 2"))
+register("figure_price_history", lambda sp, d: figures.price_history(p.px_supp(sp, d)).withColumn("longest_gap", F.col("longest_gap").cast("long")), s.q(s.SUPP, "g AS (SELECT *, date_diff('day', lag(ts) OVER (PARTITION BY asset ORDER BY ts), ts) AS gap FROM supp)", "SELECT asset, min(ts) AS start, max(ts) AS \"end\", count(*) AS n, max(gap) AS longest_gap FROM g GROUP BY 1"))
+register("figure_heat_shades", lambda sp, d: figures.heat_shades(p.monthly_returns(sp, d), "value", 5, "asset"), s.q(s.PX, s.ME, s.MR, f"SELECT ts, asset, {s.r('value')} AS value, CAST(least(floor((value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) * 5), 4) AS INTEGER) AS shade FROM mr WINDOW w AS (PARTITION BY asset)"))
+register("figure_labels", lambda sp, d: figures.labels(pf.ra_perf_table(p.px(sp, d))))
+
+
+def _prio_groups(sp: SparkSession, d: str) -> DataFrame:
+    return p.w_prio(sp, d).select("asset").distinct().withColumn("grp", F.when(F.col("asset") < "3", "high").otherwise("low"))
+
+
+def _prio_bench(sp: SparkSession, d: str) -> DataFrame:
+    return p.px_prio(sp, d).groupBy("ts").agg(F.avg("value").alias("value")).select("ts", F.lit("bench").alias("asset"), "value")
+
+
+def _two(sp: SparkSession, d: str) -> DataFrame:
+    a = p.w_prio(sp, d).withColumn("portfolio", F.lit("a"))
+    b = weights.equal_weight(p.w_prio(sp, d)).withColumn("portfolio", F.lit("b"))
+    return portfolio.backtest(p.px_prio(sp, d), a.unionByName(b).select("portfolio", "ts", "asset", "value"))
+
+
+for name in ("performance", "regimes", "correlation", "rolling_sharpe", "periods", "scatter"):
+    register(f"factsheet_{name}", lambda sp, d, name=name: reports.factsheet(p.px(sp, d), p.bench(sp, d), "monthly")[name])
+for name in ("attribution", "turnover", "performance", "group_exposures"):
+    register(f"strategy_factsheet_{name}", lambda sp, d, name=name: reports.strategy(_ledger(sp, d), _prio_groups(sp, d), _prio_bench(sp, d), reports.make_config("monthly"))[name])
+for name in ("brinson_totals", "tracking", "ewm_tracking", "active_weights"):
+    register(f"strategy_benchmark_{name}", lambda sp, d, name=name: reports.strategy_benchmark(_two(sp, d), "a", "b", _prio_groups(sp, d), reports.make_config("monthly"))[name])
+register("multi_strategy_performance", lambda sp, d: reports.multi_strategy(_two(sp, d), _prio_bench(sp, d), reports.make_config("monthly"))["performance"])
+register("weight_changes", lambda sp, d: reports.weight_changes(_ledger(sp, d)))
+
+# --- factor models, signals, further risk --------------------------------------------------------------------
+
+
+def _loadings(sp: SparkSession, d: str) -> DataFrame:
+    """Betas of priorities on two factors, on the last date."""
+    w = _weights_now(sp, d)
+    k = F.substring("asset", 1, 1).cast("double")
+    return w.select("ts", "asset", F.lit("f1").alias("factor"), (1 + 0.1 * k).alias("beta")).unionByName(w.select("ts", "asset", F.lit("f2").alias("factor"), (0.5 - 0.1 * k).alias("beta")))
+
+
+def _factor_cov(sp: SparkSession, d: str) -> DataFrame:
+    one = _weights_now(sp, d).select("ts").distinct()
+    rows = sp.createDataFrame([("f1", "f1", 0.04), ("f1", "f2", 0.01), ("f2", "f1", 0.01), ("f2", "f2", 0.02)], "asset_i string, asset_j string, cov double")
+    return one.crossJoin(F.broadcast(rows)).select("ts", "asset_i", "asset_j", "cov")
+
+
+def _residual(sp: SparkSession, d: str) -> DataFrame:
+    return _weights_now(sp, d).select("ts", "asset", (0.01 * F.substring("asset", 1, 1).cast("double")).alias("var"))
+
+
+_FACTOR = (s.PRIO, s.WPRIO, "wn AS (SELECT ts, asset, value AS w, CAST(asset[1] AS DOUBLE) AS k FROM wprio WHERE ts = (SELECT max(ts) FROM wprio)), e AS (SELECT any_value(ts) AS ts, sum(w * (1 + 0.1 * k)) AS e1, sum(w * (0.5 - 0.1 * k)) AS e2, sum(w * w * 0.01 * k) AS rv FROM wn)")
+register("factor_exposures", lambda sp, d: risk.factor_exposures(_loadings(sp, d), _weights_now(sp, d)), s.q(*_FACTOR, f"SELECT ts, 'f1' AS asset, {s.r('e1')} AS value FROM e UNION ALL SELECT ts, 'f2', {s.r('e2')} FROM e"))
+register("factor_risk", lambda sp, d: risk.factor_risk(_loadings(sp, d), _factor_cov(sp, d), _residual(sp, d), _weights_now(sp, d)), s.q(*_FACTOR, "v AS (SELECT ts, 0.04::DOUBLE * e1 * e1 + 0.02 * e1 * e2 + 0.02 * e2 * e2 AS sv, rv FROM e)", f"SELECT ts, {s.r('sqrt(sv)')} AS systematic, {s.r('sqrt(rv)')} AS residual, {s.r('sqrt(sv + rv)')} AS total FROM v"))
+register("factor_contributions", lambda sp, d: risk.factor_contributions(_loadings(sp, d), _factor_cov(sp, d), _residual(sp, d), _weights_now(sp, d)), s.q(*_FACTOR, "v AS (SELECT ts, e1 * (0.04::DOUBLE * e1 + 0.01 * e2) AS a, e2 * (0.01::DOUBLE * e1 + 0.02 * e2) AS b, rv FROM e)", f"SELECT ts, 'f1' AS factor, {s.r('a / (a + b + rv)')} AS value FROM v UNION ALL SELECT ts, 'f2', {s.r('b / (a + b + rv)')} FROM v UNION ALL SELECT ts, 'idiosyncratic', {s.r('rv / (a + b + rv)')} FROM v"))
+register("marginal_active_risk", lambda sp, d: risk.marginal_active_risk(_loadings(sp, d), _factor_cov(sp, d), _residual(sp, d), _weights_now(sp, d), _equal(sp, d)))
+register("group_tracking_error", lambda sp, d: risk.group_tracking_error(_cov(sp, d), _weights_now(sp, d), _equal(sp, d), _prio_groups(sp, d)), s.q(*_COV, "gg AS (SELECT *, CASE WHEN asset < '3' THEN 'high' ELSE 'low' END AS grp FROM wn)", f"SELECT (SELECT max(ts) FROM prio) AS ts, a.grp, {s.r('sqrt(sum(a.d * c * b.d))')} AS value FROM cv JOIN gg a ON a.asset = i JOIN gg b ON b.asset = j AND b.grp = a.grp GROUP BY 2"))
+register("benchmark_loadings", lambda sp, d: risk.benchmark_loadings(_cov(sp, d), _equal(sp, d)), s.q(*_COV, "z AS (SELECT i AS asset, sum(c * b.q) AS s FROM cv JOIN wn b ON b.asset = j GROUP BY 1), v AS (SELECT sum(a.q * c * b.q) AS v FROM cv JOIN wn a ON a.asset = i JOIN wn b ON b.asset = j)", f"SELECT (SELECT max(ts) FROM prio) AS ts, asset, {s.r('s / v')} AS value FROM z, v"))
+register("independent_var", lambda sp, d: risk.independent_var(returns.to_returns(p.px_prio(sp, d)).filter("value is not null"), p.w_prio(sp, d), 12))
+register("information_ratio", lambda sp, d: risk.information_ratio(p.monthly_returns(sp, d), 12.0), s.q(s.PX, s.ME, s.MR, f"SELECT asset, {s.r('stddev_samp(value) * sqrt(12.0::DOUBLE)')} AS te, {s.r('avg(value) * sqrt(12.0::DOUBLE) / stddev_samp(value)')} AS ir FROM mr GROUP BY 1"))
+register("signal_changes", lambda sp, d: co.ols(signals.signal_changes(p.px_prio(sp, d), p.w_prio(sp, d)), "asset"), s.q(s.PRIO, s.WPRIO, "c AS (SELECT prio.asset, prio.value - lag(prio.value) OVER w AS x, wprio.value - lag(wprio.value) OVER w AS y FROM prio JOIN wprio ON wprio.ts = prio.ts AND wprio.asset = prio.asset WINDOW w AS (PARTITION BY prio.asset ORDER BY prio.ts))", f"SELECT asset, {s.r('regr_intercept(y, x)')} AS alpha, {s.r('regr_slope(y, x)')} AS beta, {s.r('regr_r2(y, x)')} AS r2, CAST(regr_count(y, x) AS BIGINT) AS n FROM c GROUP BY 1"))
+register("current_signal_by_group", lambda sp, d: signals.current_by_group(p.px_supp(sp, d), p.groups(sp, d)), s.q(s.SUPP, s.GROUPS, f"SELECT supp.asset, {s.r('arg_max(value, ts)')} AS value, any_value(grp) AS grp FROM supp JOIN g ON g.asset = supp.asset GROUP BY 1"))
+_SCORES = "z AS (SELECT ts, asset, (value - avg(value) OVER w) / nullif(stddev_pop(value) OVER w, 0) AS a, value / max(value) OVER w AS b FROM supp WINDOW w AS (PARTITION BY ts))"
+register("composite_score", lambda sp, d: weights.composite_score([weights.cross_score(p.px_supp(sp, d)), weights.max_score(p.px_supp(sp, d))]), s.q(s.SUPP, _SCORES, f"SELECT ts, asset, {s.r('CASE WHEN a IS NULL THEN b ELSE (a + b) / 2 END')} AS value FROM z"))
+register("select_top", lambda sp, d: weights.select_top([weights.max_score(p.px_supp(sp, d)), p.px_supp(sp, d).withColumn("value", -F.col("value"))], 0.4), s.q(s.SUPP, "z AS (SELECT ts, asset, value / max(value) OVER (PARTITION BY ts) AS a, -value AS b FROM supp), e AS (SELECT ts, quantile_cont(a, 0.4) AS ea, quantile_cont(b, 0.4) AS eb FROM z GROUP BY 1)", "SELECT z.ts, asset FROM z JOIN e ON e.ts = z.ts WHERE a >= ea AND b >= eb"))
+register("backfill_prices", lambda sp, d: panel.backfill_prices(p.monthly(sp, d).filter("ts >= date '1996-01-01'"), p.monthly(sp, d).filter("ts < date '1996-02-01'").withColumn("value", F.col("value") * 2)), s.q(s.PX, s.ME, "nw AS (SELECT * FROM m WHERE ts >= DATE '1996-01-01'), od AS (SELECT ts, asset, value * 2 AS value FROM m WHERE ts < DATE '1996-02-01'), f AS (SELECT asset, min(ts) AS t, arg_min(value, ts) AS v FROM nw GROUP BY 1), a AS (SELECT od.asset, arg_max(od.value, od.ts) AS o FROM od JOIN f ON f.asset = od.asset AND od.ts <= f.t GROUP BY 1)", f"SELECT ts, asset, {s.r('value')} AS value FROM nw UNION ALL SELECT od.ts, od.asset, {s.r('od.value * f.v / a.o')} FROM od JOIN f ON f.asset = od.asset JOIN a ON a.asset = od.asset WHERE od.ts < f.t"))
+register("append_series", lambda sp, d: panel.append_series(p.monthly(sp, d).filter("ts >= date '1996-01-01'"), p.monthly(sp, d).filter("ts < date '1996-06-01'")), s.q(s.PX, s.ME, f"SELECT ts, asset, {s.r('value')} AS value FROM m"))
+register("fixed_maturity_rolls", lambda sp, d: cal.roll_schedule(p.px(sp, d).select("ts").distinct(), cal.schedule(cal.date_range(p.px(sp, d)), "Q-3FRI"), 5), s.q(s.PX, s.calendar("Q-3FRI"), "SELECT px.ts, min(cal.ts) AS expiry FROM (SELECT DISTINCT ts FROM px) px JOIN cal ON date_diff('day', px.ts, cal.ts) >= 5 GROUP BY 1"))
+register("train_live_samples", lambda sp, d: cal.train_live(cal.schedule(cal.date_range(p.px(sp, d)), "QE"), 4), s.q(s.PX, s.calendar("QE"), "z AS (SELECT lag(ts, 4) OVER w AS start, ts AS train_end, lead(ts) OVER w AS live_end FROM cal WINDOW w AS (ORDER BY ts))", "SELECT * FROM z WHERE start IS NOT NULL AND live_end IS NOT NULL"))
+register("net_nav_of_prices", lambda sp, d: returns.net_of_fees(returns.to_returns(p.monthly(sp, d), zero_first=True), 0.01, 0.1, "QE"))
