@@ -47,7 +47,7 @@ def _ordered(step: Callable[[tuple, float], tuple[tuple, dict]], start: tuple):
             rows.append({"ts": t, "asset": key[0], **out})
         state.update((pickle.dumps((held, core, at)),))
         if held:
-            state.setTimeoutTimestamp(int(max(x[0] for x in held).timestamp() * 1000) + 1)
+            state.setTimeoutTimestamp(max(int(min(x[0] for x in held).timestamp() * 1000), state.getCurrentWatermarkMs()) + 1)
         if rows:
             yield pd.DataFrame(rows)
 
