@@ -83,7 +83,7 @@ def repeated_units(docs: DataFrame) -> DataFrame:
     """doc_id, print and later: the starts of units that are not their digest's first occurrence."""
     units = docs.mapInArrow(_units, "doc_id long, print long, start long, digest long")
     rank = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id"), F.col("print"), F.col("start"))
-    first = units.groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).filter("first <> last").select("digest", "first")
+    first = units.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
     later = units.join(first, "digest").filter(rank > F.col("first"))
     return later.groupBy("doc_id", "print").agg(F.collect_set("start").alias("later"))
 
