@@ -17,6 +17,7 @@ from strandline.operators import ewm, figures, fx, panel, portfolio, regimes, re
 from strandline.operators import performance as pf
 from strandline.plans import panels as p
 from strandline.plans import sql as s
+from strandline.streaming import stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,7 +27,8 @@ DIGITS = 6
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     """Sums of doubles depend on their order, so results are rounded: half away from zero on the scaled double, without negative zero."""
     scale = 10.0**digits
-    round_ = lambda v: F.signum(v) * F.floor(F.abs(v) * scale + 0.5).cast("double") / scale + 0.0
+    near = lambda v: F.signum(v) * F.floor(F.least(F.abs(v), F.lit(1e12)) * scale + 0.5).cast("double") / scale + 0.0
+    round_ = lambda v: F.when(F.abs(v) < 1e12, near(v)).otherwise(v)
     return df.select(*(round_(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
@@ -270,8 +272,8 @@ def _equal(sp: SparkSession, d: str) -> DataFrame:
 
 _COV = (s.PRIO, s.WPRIO, s.COV)
 register("portfolio_vol", lambda sp, d: risk.portfolio_vol(_cov(sp, d), _weights_now(sp, d)), s.q(*_COV, f"SELECT (SELECT max(ts) FROM prio) AS ts, {s.r('sqrt(sum(a.w * c * b.w))')} AS value FROM cv JOIN wn a ON a.asset = i JOIN wn b ON b.asset = j"))
-register("tracking_error", lambda sp, d: risk.tracking_error(_cov(sp, d), _weights_now(sp, d), _equal(sp, d)), s.q(*_COV, f"SELECT (SELECT max(ts) FROM prio) AS ts, {s.r('sqrt(sum(a.d * c * b.d))')} AS value FROM cv JOIN wn a ON a.asset = i JOIN wn b ON b.asset = j"))
-register("marginal_te", lambda sp, d: risk.marginal_tracking_error(_cov(sp, d), _weights_now(sp, d), _equal(sp, d)), s.q(*_COV, "e AS (SELECT i AS asset, any_value(a.d) * sum(c * b.d) AS e FROM cv JOIN wn a ON a.asset = i JOIN wn b ON b.asset = j GROUP BY 1)", f"SELECT (SELECT max(ts) FROM prio) AS ts, asset, {s.r('e / sqrt(sum(e) OVER ())')} AS value FROM e"))
+register("tracking_error", lambda sp, d: risk.tracking_error(_cov(sp, d), _weights_now(sp, d), _equal(sp, d)), s.q(*_COV, f"SELECT (SELECT max(ts) FROM prio) AS ts, {s.r('sqrt(greatest(sum(a.d * c * b.d), 0))')} AS value FROM cv JOIN wn a ON a.asset = i JOIN wn b ON b.asset = j"))
+register("marginal_te", lambda sp, d: risk.marginal_tracking_error(_cov(sp, d), _weights_now(sp, d), _equal(sp, d)), s.q(*_COV, "e AS (SELECT i AS asset, any_value(a.d) * sum(c * b.d) AS e FROM cv JOIN wn a ON a.asset = i JOIN wn b ON b.asset = j GROUP BY 1)", f"SELECT (SELECT max(ts) FROM prio) AS ts, asset, {s.r('CASE WHEN sum(e) OVER () > 0 THEN e / sqrt(sum(e) OVER ()) ELSE 0 END')} AS value FROM e"))
 register("risk_contribution", lambda sp, d: risk.contribution_ratios(_cov(sp, d), _weights_now(sp, d)), s.q(*_COV, "e AS (SELECT i AS asset, any_value(a.w) * sum(c * b.w) AS e FROM cv JOIN wn a ON a.asset = i JOIN wn b ON b.asset = j GROUP BY 1)", f"SELECT (SELECT max(ts) FROM prio) AS ts, asset, {s.r('e / sum(e) OVER ()')} AS value FROM e"))
 register("group_risk", lambda sp, d: risk.by_group(risk.contribution_ratios(_cov(sp, d), _weights_now(sp, d)), _weights_now(sp, d).select("asset", F.when(F.col("asset") < "3", "high").otherwise("low").alias("grp"))), s.q(*_COV, "e AS (SELECT i AS asset, any_value(a.w) * sum(c * b.w) AS e FROM cv JOIN wn a ON a.asset = i JOIN wn b ON b.asset = j GROUP BY 1), sh AS (SELECT asset, e / sum(e) OVER () AS v FROM e)", f"SELECT (SELECT max(ts) FROM prio) AS ts, CASE WHEN asset < '3' THEN 'high' ELSE 'low' END AS grp, {s.r('sum(v)')} AS value FROM sh GROUP BY 2"))
 register("benchmark_beta", lambda sp, d: risk.benchmark_beta(_cov(sp, d), _weights_now(sp, d), _equal(sp, d)), s.q(*_COV, f"SELECT (SELECT max(ts) FROM prio) AS ts, {s.r('sum(a.w * c * b.q) / sum(a.q * c * b.q)')} AS value FROM cv JOIN wn a ON a.asset = i JOIN wn b ON b.asset = j"))
@@ -437,7 +439,7 @@ register("factor_exposures", lambda sp, d: risk.factor_exposures(_loadings(sp, d
 register("factor_risk", lambda sp, d: risk.factor_risk(_loadings(sp, d), _factor_cov(sp, d), _residual(sp, d), _weights_now(sp, d)), s.q(*_FACTOR, "v AS (SELECT ts, 0.04::DOUBLE * e1 * e1 + 0.02 * e1 * e2 + 0.02 * e2 * e2 AS sv, rv FROM e)", f"SELECT ts, {s.r('sqrt(sv)')} AS systematic, {s.r('sqrt(rv)')} AS residual, {s.r('sqrt(sv + rv)')} AS total FROM v"))
 register("factor_contributions", lambda sp, d: risk.factor_contributions(_loadings(sp, d), _factor_cov(sp, d), _residual(sp, d), _weights_now(sp, d)), s.q(*_FACTOR, "v AS (SELECT ts, e1 * (0.04::DOUBLE * e1 + 0.01 * e2) AS a, e2 * (0.01::DOUBLE * e1 + 0.02 * e2) AS b, rv FROM e)", f"SELECT ts, 'f1' AS factor, {s.r('a / (a + b + rv)')} AS value FROM v UNION ALL SELECT ts, 'f2', {s.r('b / (a + b + rv)')} FROM v UNION ALL SELECT ts, 'idiosyncratic', {s.r('rv / (a + b + rv)')} FROM v"))
 register("marginal_active_risk", lambda sp, d: risk.marginal_active_risk(_loadings(sp, d), _factor_cov(sp, d), _residual(sp, d), _weights_now(sp, d), _equal(sp, d)))
-register("group_tracking_error", lambda sp, d: risk.group_tracking_error(_cov(sp, d), _weights_now(sp, d), _equal(sp, d), _prio_groups(sp, d)), s.q(*_COV, "gg AS (SELECT *, CASE WHEN asset < '3' THEN 'high' ELSE 'low' END AS grp FROM wn)", f"SELECT (SELECT max(ts) FROM prio) AS ts, a.grp, {s.r('sqrt(sum(a.d * c * b.d))')} AS value FROM cv JOIN gg a ON a.asset = i JOIN gg b ON b.asset = j AND b.grp = a.grp GROUP BY 2"))
+register("group_tracking_error", lambda sp, d: risk.group_tracking_error(_cov(sp, d), _weights_now(sp, d), _equal(sp, d), _prio_groups(sp, d)), s.q(*_COV, "gg AS (SELECT *, CASE WHEN asset < '3' THEN 'high' ELSE 'low' END AS grp FROM wn)", f"SELECT (SELECT max(ts) FROM prio) AS ts, a.grp, {s.r('sqrt(greatest(sum(a.d * c * b.d), 0))')} AS value FROM cv JOIN gg a ON a.asset = i JOIN gg b ON b.asset = j AND b.grp = a.grp GROUP BY 2"))
 register("benchmark_loadings", lambda sp, d: risk.benchmark_loadings(_cov(sp, d), _equal(sp, d)), s.q(*_COV, "z AS (SELECT i AS asset, sum(c * b.q) AS s FROM cv JOIN wn b ON b.asset = j GROUP BY 1), v AS (SELECT sum(a.q * c * b.q) AS v FROM cv JOIN wn a ON a.asset = i JOIN wn b ON b.asset = j)", f"SELECT (SELECT max(ts) FROM prio) AS ts, asset, {s.r('s / v')} AS value FROM z, v"))
 register("independent_var", lambda sp, d: risk.independent_var(returns.to_returns(p.px_prio(sp, d)).filter("value is not null"), p.w_prio(sp, d), 12))
 register("information_ratio", lambda sp, d: risk.information_ratio(p.monthly_returns(sp, d), 12.0), s.q(s.PX, s.ME, s.MR, f"SELECT asset, {s.r('stddev_samp(value) * sqrt(12.0::DOUBLE)')} AS te, {s.r('avg(value) * sqrt(12.0::DOUBLE) / stddev_samp(value)')} AS ir FROM mr GROUP BY 1"))
@@ -451,3 +453,22 @@ register("append_series", lambda sp, d: panel.append_series(p.monthly(sp, d).fil
 register("fixed_maturity_rolls", lambda sp, d: cal.roll_schedule(p.px(sp, d).select("ts").distinct(), cal.schedule(cal.date_range(p.px(sp, d)), "Q-3FRI"), 5), s.q(s.PX, s.calendar("Q-3FRI"), "SELECT px.ts, min(cal.ts) AS expiry FROM (SELECT DISTINCT ts FROM px) px JOIN cal ON date_diff('day', px.ts, cal.ts) >= 5 GROUP BY 1"))
 register("train_live_samples", lambda sp, d: cal.train_live(cal.schedule(cal.date_range(p.px(sp, d)), "QE"), 4), s.q(s.PX, s.calendar("QE"), "z AS (SELECT lag(ts, 4) OVER w AS start, ts AS train_end, lead(ts) OVER w AS live_end FROM cal WINDOW w AS (ORDER BY ts))", "SELECT * FROM z WHERE start IS NOT NULL AND live_end IS NOT NULL"))
 register("net_nav_of_prices", lambda sp, d: returns.net_of_fees(returns.to_returns(p.monthly(sp, d), zero_first=True), 0.01, 0.1, "QE"))
+
+# --- streams: the events table read as a stream to its end ---------------------------------------------------
+
+
+def _stream(sp: SparkSession, d: str) -> DataFrame:
+    schema = p.read(sp, d, "events").schema
+    return sp.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("asset"), "value")
+
+
+def drained(df: DataFrame, name: str) -> DataFrame:
+    """Runs a stream over what is there, into memory; for tables of test size."""
+    run = df.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return df.sparkSession.table(name)
+
+
+register("stream_bars", lambda sp, d: drained(stateful.bars(_stream(sp, d), "1 day", "1 hour"), "stream_bars").withColumn("ts", F.col("ts").cast("date")), s.q(s.BARS, f"SELECT ts, asset, {', '.join(f'{s.r(c)} AS {c}' for c in ('open', 'high', 'low', 'close'))}, n FROM bars WHERE ts + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"))
+register("stream_ewm", lambda sp, d: drained(stateful.ewm(_stream(sp, d), 20, "1 hour"), "stream_ewm"))
+register("stream_drawdown", lambda sp, d: drained(stateful.drawdown(_stream(sp, d), "1 hour"), "stream_drawdown"))

@@ -147,3 +147,25 @@ def test_outside_normal_quantile_and_weight(spark):
     df = spark.createDataFrame([(0.001,), (0.025,), (0.5,), (0.975,)], "p double")
     assert [r[0] for r in df.select(normal_quantile(F.col("p"))).collect()] == pytest.approx([-3.0902323, -1.9599640, 0.0, 1.9599640], abs=1e-6)
     assert spark.createDataFrame([(1.959964,)], "v double").select(x.normal_weight(F.col("v"))).first()[0] == pytest.approx(0.95, abs=1e-6)
+
+
+def test_containers(spark):
+    from strandline.functions import containers as c
+
+    assert c.intersection("abc", "cxb") == ["c", "b"] and c.difference("abc", "cxb") == ["x"] and c.union("ab", "bc") == ["a", "b", "c"]
+    assert list(c.flat({"a": [1, (2, "xy")], "b": 3})) == [1, 2, "xy", 3] and c.first_to([1, 2, 3], 3) == [3, 1, 2]
+    assert c.repeated("abca") == ["a"] and c.number_in("A3") == (3, "A") and c.halves({1: 1, 2: 2, 3: 3}) == ({1: 1, 2: 2}, {3: 3})
+    assert c.Dots(a=1).a == 1 and c.by_name(c.ValueType, "percent") is c.ValueType.PERCENT
+    for bad in (lambda: c.require_subset("ab", "c"), lambda: c.require_unique("aa")):
+        with pytest.raises(ValueError):
+            bad()
+    df = c.Shown("Return", c.ValueType.PERCENT).tag(spark.createDataFrame([("a", 0.5)], "asset string, r double"), "r")
+    assert c.text_table(c.as_text(df)).split() == ["asset", "Return", "a", "50.00%"]
+
+
+def test_append_and_overlap(spark):
+    new, old = frame(spark, [1.0, 2.0, 3.0]), frame(spark, [9.0, 2.5]).unionByName(spark.createDataFrame([(D[8], "a", 7.0)], panel.SCHEMA))
+    assert values(panel.append_series(new, old)) == [1.0, 2.0, 3.0, 7.0]
+    r = panel.overlap_difference(new, old).first()
+    assert (r.max_diff, r.n_overlap) == (8.0, 2)
+    assert panel.duplicates(new.unionByName(old)).count() == 2
