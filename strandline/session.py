@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -28,12 +30,14 @@ def ship(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
-    path = os.path.join(tempfile.mkdtemp(prefix="strandline-"), "strandline.zip")
+    folder = tempfile.mkdtemp(prefix="strandline-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # Spark serves the file until then
+    path = os.path.join(folder, "strandline.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
-        for folder, _, names in os.walk(os.path.join(_ROOT, "strandline")):
+        for at, _, names in os.walk(os.path.join(_ROOT, "strandline")):
             for name in names:
                 if name.endswith(".py"):
-                    full = os.path.join(folder, name)
+                    full = os.path.join(at, name)
                     out.write(full, os.path.relpath(full, _ROOT))
     context.addPyFile(path)
     _shipped.add(context.applicationId)
