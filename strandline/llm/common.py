@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; a local one only where the session names none (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if found is None and spark.sparkContext.master.startswith("local["):
+    if found is None and re.match(r"local($|\[)", spark.sparkContext.master):
         return "file://" + os.path.join(tempfile.gettempdir(), "strandline-shared")
     if found is None:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
