@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import byte_values, chunks, table
+from strandline.llm.common import byte_values, chunks, give_back, table
 
 BITS, GRAM, SEGMENT = 15, 4, 64
 MAX_LANGUAGES = 256
@@ -202,6 +202,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.3) -> DataFr
                 lang, score, _ = predict(sent.value, texts[a:b])
                 keep += [x != UNDECIDED and s >= least for x, s in zip(lang, score.tolist(), strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import batch_words, byte_values, chunks, forget, mix, ragged, shingles, stage, table
+from strandline.llm.common import batch_words, byte_values, chunks, forget, give_back, mix, ragged, shingles, stage, table
 
 T, BANDS, ROWS = 128, 32, 4
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -103,6 +103,7 @@ def _sketched(k: int):
                     [ids.slice(a, b - a), prints.slice(a, b - a), pa.array(sizes), *map(pa.array, sig), ragged(band_keys(s).view(np.int64).ravel(), np.full(b - a, BANDS)), pa.array([x.tobytes() for x in short], pa.binary())],
                     names=["doc_id", "print", "n_shingles", "sig0", "sig1", "bands", "marks"],
                 )
+        give_back()
 
     return run
 

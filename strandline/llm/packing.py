@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm.common import CHUNK_BYTES, mix, powers, prefix_hash, table
+from strandline.llm.common import CHUNK_BYTES, give_back, mix, powers, prefix_hash, table
 
 POOL = 256
 #: Words whose ids a worker remembers (some 16 bytes each and their ids); beyond that it forgets them and starts anew.
@@ -300,6 +300,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end: int = 2, tokens: int =
             yield _rows(packer.take())
         packer.finish()
         yield _rows(packer.take())
+        give_back()
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(f"{n} long" for n in NAMES))
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import SPACED, batch_words_of, byte_values, chunks, mix, powers, table
+from strandline.llm.common import SPACED, batch_words_of, byte_values, chunks, give_back, mix, powers, table
 
 MIN_WORDS, MIN_LINE = 20, 10
 #: A shorter unit is hashed together with the words of its line that follow.
@@ -77,6 +77,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             u = Units(texts[a:b])
             rows = pa.array(a + u.text)
             yield pa.RecordBatch.from_arrays([ids.take(rows), prints.take(rows), pa.array(u.start.astype(np.int64)), pa.array(u.hash.view(np.int64))], names=["doc_id", "print", "start", "digest"])
+    give_back()
 
 
 def repeated_units(docs: DataFrame) -> DataFrame:
