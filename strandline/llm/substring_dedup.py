@@ -1,11 +1,12 @@
-"""Substring dedup by hashing the units of lines and paragraphs.
+"""Substring dedup by hashing units of words and whole lines.
 
-A line is cut into units: sentences, and longer ones after words whose hash says so (about every twelfth), so a
+A text is cut into units: sentences, and longer ones after words whose hash says so (about every twelfth), so a
 passage has the same units wherever it stands, even in the middle of a line. A unit is normalised (A-Z lower-cased,
-white space as one space) and hashed; a short one together with what follows in its line. Per digest the first
-occurrence in the order of (doc_id, start) stays. In a document, occurrences that are not the first form runs of
-neighbouring units; runs of at least MIN_WORDS words go, and whole lines of at least MIN_LINE words, with white space
-up to the next unit. Single repeated short units, which prose has by chance, stay.
+white space and line breaks as one space) and hashed with what follows, LEAST_HASHED words at least, over line breaks
+too: verse, lists and tables count as any other text. Lines of at least LEAST_LINE words are hashed as a whole as
+well. Per digest the first occurrence in the order of (doc_id, start) stays. Words of occurrences that are not the
+first form runs; runs of at least MIN_WORDS words with a unit in them go, and whole lines of at least MIN_LINE words,
+with white space up to the next word. Single repeated short units, which prose has by chance, stay.
 
 Digests are aggregated before they are joined back, and only digests with several occurrences are joined, so copies
 by the thousand cost one row each and no group meets in one task.
@@ -28,8 +29,12 @@ from pyspark.sql import functions as F
 from strandline.llm.common import SPACED, batch_words_of, byte_values, chunks, give_back, mix, powers, table
 
 MIN_WORDS, MIN_LINE = 20, 10
-#: A shorter unit is hashed together with the words of its line that follow.
-LEAST_HASHED = 8
+#: A unit is hashed with as many words at least; a text with fewer has none.
+LEAST_HASHED = 10
+#: Shorter lines are not hashed as a whole.
+LEAST_LINE = 3
+#: The start of a line, as a whole, is given with this offset: its first unit starts there too.
+LINE = 1 << 40
 #: One word in so many ends a unit although its sentence goes on.
 CUT_EVERY = 12
 _ENDS = np.zeros(256, bool)
@@ -37,7 +42,7 @@ _ENDS[[ord(c) for c in ".!?:;"]] = True
 
 
 class Units:
-    """The units of several texts: text's number, start and end in it, words, hash."""
+    """Units, then whole lines, of several texts: text's number, start (of a line: LINE more), hash, first and last word."""
 
     def __init__(self, texts: list[bytes]):
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -49,25 +54,45 @@ class Units:
         edge = np.diff(inside)
         starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         hashes, _ = batch_words_of(joined, bounds, SPACED)
-        breaks = np.flatnonzero(data == 10)
-        line = np.searchsorted(breaks, starts)
-        last = _ENDS[data[ends - 1]] if len(ends) else np.empty(0, bool)
-        close = last | (hashes % np.uint64(CUT_EVERY) == 0)
-        if len(close):
-            close[:-1] |= line[1:] != line[:-1]
-            close[-1] = True
-        at = np.flatnonzero(close)
-        first = np.concatenate([[0], at[:-1] + 1]) if len(at) else at
-        self.words, self.line = at - first + 1, line[first]
-        line_end = np.searchsorted(line, self.line, "right")
-        stop = np.maximum(at + 1, np.minimum(first + LEAST_HASHED, line_end))
-        self.hashed, self.whole = stop - first, line_end - np.searchsorted(line, self.line)
+        #: Places of all words; text i has those from begin[i] to begin[i + 1].
+        self.words = starts
+        begin = np.searchsorted(starts, bounds)
         up, down = powers(len(hashes) + 1)
-        prefix = np.concatenate([[np.uint64(0)], np.cumsum(hashes * up[:-1])])
-        self.hash = mix((prefix[stop] - prefix[first]) * down[first] + self.hashed.astype(np.uint64))
-        self.text = np.searchsorted(bounds, starts[first], "right") - 1
-        self.start = starts[first] - bounds[self.text]
-        self.end = ends[at] - bounds[self.text]
+        self._prefix, self._down = np.concatenate([[np.uint64(0)], np.cumsum(hashes * up[:-1])]), down
+        line = np.searchsorted(np.flatnonzero(data == 10), starts)
+        first = self._cuts(hashes, _ENDS[data[ends - 1]] if len(ends) else np.empty(0, bool), line, begin)
+        end = begin[np.searchsorted(begin, first, "right")]
+        stop = np.minimum(np.append(first[1:], len(starts)), end)
+        stop = np.minimum(np.maximum(stop, first + LEAST_HASHED), end)
+        top = np.flatnonzero(np.diff(line, prepend=-1))
+        tail = np.append(top[1:], len(starts))[: len(top)]
+        long = tail - top >= LEAST_LINE
+        top, tail = top[long], tail[long]
+        self.whole = np.repeat([False, True], [len(first), len(top)])
+        self.hash = np.concatenate([self._digest(first, stop), mix(self._digest(top, tail) + np.uint64(LINE))])
+        self.first, self.stop = np.concatenate([first, top]), np.concatenate([stop, tail])
+        self.text = np.searchsorted(bounds, starts[self.first], "right") - 1
+        self.start = starts[self.first] - bounds[self.text] + np.where(self.whole, LINE, 0)
+
+    def _digest(self, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return mix((self._prefix[stop] - self._prefix[first]) * self._down[first] + (stop - first).astype(np.uint64))
+
+    def covered(self, which: np.ndarray) -> np.ndarray:
+        """For each word, whether one of these units or lines has it."""
+        n = len(self.words) + 1
+        return np.cumsum(np.bincount(self.first[which], minlength=n) - np.bincount(self.stop[which], minlength=n))[:-1] > 0
+
+    def _cuts(self, hashes: np.ndarray, last: np.ndarray, line: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """The first words of units, and the last place in each text that has LEAST_HASHED words."""
+        cut = np.zeros(len(hashes), bool)
+        cut[1:] = last[:-1] | (hashes[:-1] % np.uint64(CUT_EVERY) == 0) | (line[1:] != line[:-1])
+        sizes = np.diff(begin)
+        some = np.flatnonzero(sizes >= LEAST_HASHED)
+        cut[begin[some]] = True
+        place, end = np.arange(len(hashes)), np.repeat(begin[1:], sizes)
+        cut &= place + LEAST_HASHED <= end
+        cut[begin[some + 1] - LEAST_HASHED] = True
+        return np.flatnonzero(cut)
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,19 +118,19 @@ def spans_of(text: bytes, later: list[int], units: Units | None = None) -> tuple
     """What goes of a text, as (start, end) in bytes; how many units it has and how many go."""
     u = units or Units([text])
     hit = np.isin(u.start, np.array(later, np.int64))
-    go = np.zeros(len(hit), bool)
-    edges = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
-    for a, b in zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1), strict=True):
-        go[a:b] = u.words[a:b].sum() >= MIN_WORDS and u.hashed[a:b].max() >= LEAST_HASHED
-    if len(hit):
-        first = np.flatnonzero(np.diff(u.line, prepend=-1))
-        full = np.logical_and.reduceat(hit, first) & (u.whole[first] >= MIN_LINE)
-        go |= np.repeat(full, np.diff(np.append(first, len(hit))))
-    edges = np.diff(np.concatenate([[0], go.astype(np.int8), [0]]))
-    spans, gone = [], int(go.sum())
-    for a, b in zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1), strict=True):
-        spans.append((int(u.start[a]), int(u.start[b]) if b < len(u.start) else len(text)))
-    return spans, len(u.start), gone
+    of_unit, of_line = u.covered(hit & ~u.whole), u.covered(hit & u.whole)
+    go = u.covered(hit & u.whole & (u.stop - u.first >= MIN_LINE))
+    for a, b in _runs(of_unit | of_line):
+        if b - a >= MIN_WORDS and of_unit[a:b].any():
+            go[a:b] = True
+    spans = [(int(u.words[a]), int(u.words[b]) if b < len(u.words) else len(text)) for a, b in _runs(go)]
+    left = np.concatenate([[0], np.cumsum(~go)])
+    return spans, len(u.start), int((left[u.first] == left[u.stop]).sum())
+
+
+def _runs(flags: np.ndarray) -> Iterator[tuple[int, int]]:
+    edges = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
+    return zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1), strict=True)
 
 
 def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from strandline.llm.substring_dedup import MIN_LINE, MIN_WORDS, Units, remove_repeats, spans_of, substring_spans, without
 
@@ -57,3 +58,44 @@ def test_stage_keeps_columns_nulls_and_rows(docs, rows):
 
 def test_empty(nothing):
     assert substring_spans(nothing).collect() == [] and remove_repeats(nothing).collect() == []
+
+
+def shared_words(texts, least=20):
+    """Words of each text that lie in a run of `least` words that an earlier place has too; word by word, without hashes."""
+    seen, out = set(), []
+    for t in texts:
+        w = t.lower().split()
+        grams = [tuple(w[i : i + least]) for i in range(len(w) - least + 1)]
+        again = set()
+        for i, g in enumerate(grams):
+            if g in seen:
+                again.update(range(i, i + least))
+            seen.add(g)
+        out.append(again)
+    return out
+
+
+def gone_words(text, spans):
+    """Places of the words that the spans take."""
+    b, out, at = text.encode(), set(), 0
+    for i, w in enumerate(b.split()):
+        at = b.index(w, at)
+        out |= {i} if any(s <= at < e for s, e in spans) else set()
+        at += len(w)
+    return out
+
+
+def test_passages_in_short_lines_go(spark):
+    rng = random.Random(11)
+    texts = []
+    for n in (20, 24, 50, 400):
+        for size in (3, 4, 5, 6, 7):
+            lines = [" ".join(f"w{rng.randrange(300)}" for _ in range(size)) for _ in range(-(-n // size))]
+            own = [[" ".join(f"own{rng.randrange(10**9)}" for _ in range(size)) for _ in range(4)] for _ in range(4)]
+            texts += ["\n".join(own[0] + lines + own[1]), "\n".join(own[2] + lines + own[3]), "\n".join(lines)]
+    texts.append("\n".join(["Erheed. Titionly."] * 18))
+    got = {r.doc_id: r for r in substring_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, want in enumerate(shared_words(texts)):
+        gone = gone_words(texts[i], [tuple(s) for s in got[i].spans])
+        assert want <= gone, (i, sorted(want - gone))
+        assert not any(w.startswith("own") for j, w in enumerate(texts[i].split()) if j in gone)
