@@ -3,10 +3,10 @@
 A text is cut into units: sentences, and longer ones after words whose hash says so (about every twelfth), so a
 passage has the same units wherever it stands, even in the middle of a line. A unit is normalised (A-Z lower-cased,
 white space and line breaks as one space) and hashed with what follows, LEAST_HASHED words at least, over line breaks
-too: verse, lists and tables count as any other text. Lines of at least LEAST_LINE words are hashed as a whole as
+too: verse, lists and tables count as any other text. Lines of at least MIN_LINE words are hashed as a whole as
 well. Per digest the first occurrence in the order of (doc_id, start) stays. Words of occurrences that are not the
 first form runs; runs of at least MIN_WORDS words with a unit in them go, and whole lines of at least MIN_LINE words,
-with white space up to the next word. Single repeated short units, which prose has by chance, stay.
+with white space up to the next word. Single repeated lines of one or two words, which prose has by chance, stay.
 
 Digests are aggregated before they are joined back, and only digests with several occurrences are joined, so copies
 by the thousand cost one row each and no group meets in one task.
@@ -28,11 +28,9 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import SPACED, batch_words_of, byte_values, chunks, give_back, mix, powers, table
 
-MIN_WORDS, MIN_LINE = 20, 10
+MIN_WORDS, MIN_LINE = 20, 3
 #: A unit is hashed with as many words at least; a text with fewer has none.
 LEAST_HASHED = 10
-#: Shorter lines are not hashed as a whole.
-LEAST_LINE = 3
 #: The start of a line, as a whole, is given with this offset: its first unit starts there too.
 LINE = 1 << 40
 #: One word in so many ends a unit although its sentence goes on.
@@ -66,7 +64,7 @@ class Units:
         stop = np.minimum(np.maximum(stop, first + LEAST_HASHED), end)
         top = np.flatnonzero(np.diff(line, prepend=-1))
         tail = np.append(top[1:], len(starts))[: len(top)]
-        long = tail - top >= LEAST_LINE
+        long = tail - top >= MIN_LINE
         top, tail = top[long], tail[long]
         self.whole = np.repeat([False, True], [len(first), len(top)])
         self.hash = np.concatenate([self._digest(first, stop), mix(self._digest(top, tail) + np.uint64(LINE))])
@@ -119,7 +117,7 @@ def spans_of(text: bytes, later: list[int], units: Units | None = None) -> tuple
     u = units or Units([text])
     hit = np.isin(u.start, np.array(later, np.int64))
     of_unit, of_line = u.covered(hit & ~u.whole), u.covered(hit & u.whole)
-    go = u.covered(hit & u.whole & (u.stop - u.first >= MIN_LINE))
+    go = of_line.copy()
     for a, b in _runs(of_unit | of_line):
         if b - a >= MIN_WORDS and of_unit[a:b].any():
             go[a:b] = True

@@ -99,3 +99,19 @@ def test_passages_in_short_lines_go(spark):
         gone = gone_words(texts[i], [tuple(s) for s in got[i].spans])
         assert want <= gone, (i, sorted(want - gone))
         assert not any(w.startswith("own") for j, w in enumerate(texts[i].split()) if j in gone)
+
+
+def test_later_lines_of_three_words_go_and_shorter_ones_stay(spark):
+    lines = ["One two.", "Only.", "All rights reserved.", "a line of four", "Nine words that stand in many of the documents."]
+    texts = ["\n".join(f"own{i} text{j} of{i} its{j} own{i}\n{line}" for j, line in enumerate(lines)) + f"\nend{i} of{i} it{i}" for i in range(6)]
+    seen = set()
+    got = {r.doc_id: r for r in substring_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        want, at = set(), 0
+        for line in t.split("\n"):
+            n = len(line.split())
+            if n >= 3 and line in seen:
+                want.update(range(at, at + n))
+            seen.add(line)
+            at += n
+        assert gone_words(t, [tuple(s) for s in got[i].spans]) == want and bool(want) == (i > 0)
