@@ -1,12 +1,15 @@
 """Substring dedup by hashing units of words and whole lines.
 
-A text is cut into units: sentences, and longer ones after words whose hash says so (about every twelfth), so a
-passage has the same units wherever it stands, even in the middle of a line. A unit is normalised (A-Z lower-cased,
-white space and line breaks as one space) and hashed with what follows, LEAST_HASHED words at least, over line breaks
-too: verse, lists and tables count as any other text. Lines of at least MIN_LINE words are hashed as a whole as
-well. Per digest the first occurrence in the order of (doc_id, start) stays. Words of occurrences that are not the
-first form runs; runs of at least MIN_WORDS words with a unit in them go, and whole lines of at least MIN_LINE words,
-with white space up to the next word. Single repeated lines of one or two words, which prose has by chance, stay.
+A unit is UNIT words (A-Z lower-cased, white space and line breaks as one space). Of the units at all places of a text
+those stay that have the least hash of WINDOW neighbouring ones (winnowing), and the text's first: about one place in
+five, never more than WINDOW apart, so units that stay follow each other without a gap. Two texts that share
+UNIT + WINDOW - 1 words anywhere share a unit, and of a longer passage all but WINDOW - 1 words at either end at most,
+which lie in no unit that both have: a passage of MIN_WORDS + 2 * (WINDOW - 1) = 38 words is always found.
+Lines are hashed as a whole as well, so a passage of whole lines has exact edges.
+
+Per digest the first occurrence in the order of (doc_id, start) stays. Words of occurrences that are not the first form
+runs; runs of at least MIN_WORDS words with a unit in them go, and whole lines of at least MIN_LINE words, with white
+space up to the next word. Shorter repeated lines outside such runs, which prose has by chance, stay.
 
 Digests are aggregated before they are joined back, and only digests with several occurrences are joined, so copies
 by the thousand cost one row each and no group meets in one task.
@@ -23,20 +26,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.common import SPACED, batch_words_of, byte_values, chunks, give_back, mix, powers, table
 
 MIN_WORDS, MIN_LINE = 20, 3
-#: A unit is hashed with as many words at least; a text with fewer has none.
-LEAST_HASHED = 10
+#: Words of a unit, and how many neighbouring units one is chosen from. A window must not reach the next text: WINDOW <= UNIT.
+UNIT, WINDOW = 10, 10
 #: The start of a line, as a whole, is given with this offset: its first unit starts there too.
 LINE = 1 << 40
-#: One word in so many ends a unit although its sentence goes on.
-CUT_EVERY = 12
-_ENDS = np.zeros(256, bool)
-_ENDS[[ord(c) for c in ".!?:;"]] = True
 
 
 class Units:
@@ -50,7 +49,7 @@ class Units:
         inside = np.zeros(len(data) + 2, np.int8)
         inside[1:-1] = SPACED[data]
         edge = np.diff(inside)
-        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        starts = np.flatnonzero(edge == 1)
         hashes, _ = batch_words_of(joined, bounds, SPACED)
         #: Places of all words; text i has those from begin[i] to begin[i + 1].
         self.words = starts
@@ -58,14 +57,10 @@ class Units:
         up, down = powers(len(hashes) + 1)
         self._prefix, self._down = np.concatenate([[np.uint64(0)], np.cumsum(hashes * up[:-1])]), down
         line = np.searchsorted(np.flatnonzero(data == 10), starts)
-        first = self._cuts(hashes, _ENDS[data[ends - 1]] if len(ends) else np.empty(0, bool), line, begin)
-        end = begin[np.searchsorted(begin, first, "right")]
-        stop = np.minimum(np.append(first[1:], len(starts)), end)
-        stop = np.minimum(np.maximum(stop, first + LEAST_HASHED), end)
+        first = self._chosen(begin)
+        stop = first + UNIT
         top = np.flatnonzero(np.diff(line, prepend=-1))
         tail = np.append(top[1:], len(starts))[: len(top)]
-        long = tail - top >= MIN_LINE
-        top, tail = top[long], tail[long]
         self.whole = np.repeat([False, True], [len(first), len(top)])
         self.hash = np.concatenate([self._digest(first, stop), mix(self._digest(top, tail) + np.uint64(LINE))])
         self.first, self.stop = np.concatenate([first, top]), np.concatenate([stop, tail])
@@ -80,17 +75,30 @@ class Units:
         n = len(self.words) + 1
         return np.cumsum(np.bincount(self.first[which], minlength=n) - np.bincount(self.stop[which], minlength=n))[:-1] > 0
 
-    def _cuts(self, hashes: np.ndarray, last: np.ndarray, line: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        """The first words of units, and the last place in each text that has LEAST_HASHED words."""
-        cut = np.zeros(len(hashes), bool)
-        cut[1:] = last[:-1] | (hashes[:-1] % np.uint64(CUT_EVERY) == 0) | (line[1:] != line[:-1])
-        sizes = np.diff(begin)
-        some = np.flatnonzero(sizes >= LEAST_HASHED)
-        cut[begin[some]] = True
-        place, end = np.arange(len(hashes)), np.repeat(begin[1:], sizes)
-        cut &= place + LEAST_HASHED <= end
-        cut[begin[some + 1] - LEAST_HASHED] = True
-        return np.flatnonzero(cut)
+    def _chosen(self, begin: np.ndarray) -> np.ndarray:
+        """The first words of the units that have the least hash in some window, and of each text's first unit."""
+        n, sizes = len(self.words), np.diff(begin)
+        some = sizes >= UNIT
+        if not some.any():
+            return np.empty(0, np.int64)
+        valid = np.arange(n) + UNIT <= np.repeat(begin[1:], sizes)
+        place = np.flatnonzero(valid)
+        value = np.full(n, np.iinfo(np.uint64).max)
+        value[place] = self._digest(place, place + UNIT)
+        least = np.where(valid, _sliding(value, np.minimum), np.uint64(0))
+        chosen = valid & (_sliding(least[::-1], np.maximum)[::-1] == value)
+        chosen[begin[:-1][some]] = True
+        return np.flatnonzero(chosen)
+
+
+def _sliding(values: np.ndarray, best) -> np.ndarray:  # noqa: ANN001
+    """The best of each value and the WINDOW - 1 after it (fewer at the end)."""
+    out, done = values.copy(), 1
+    while done < WINDOW:
+        step = min(done, WINDOW - done)
+        out[: len(out) - step] = best(out[: len(out) - step], out[step:])
+        done += step
+    return out
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,6 +111,12 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
+def _print() -> Column:
+    """Tells rows of one doc_id apart by 32 bits, rows without by 64: that is less to shuffle with each unit."""
+    whole = F.xxhash64("text")
+    return F.when(F.col("doc_id").isNull(), whole).otherwise(whole.bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
 def repeated_units(docs: DataFrame) -> DataFrame:
     """doc_id, print and later: the starts of units that are not their digest's first occurrence."""
     units = docs.mapInArrow(_units, "doc_id long, print long, start long, digest long")
@@ -117,7 +131,7 @@ def spans_of(text: bytes, later: list[int], units: Units | None = None) -> tuple
     u = units or Units([text])
     hit = np.isin(u.start, np.array(later, np.int64))
     of_unit, of_line = u.covered(hit & ~u.whole), u.covered(hit & u.whole)
-    go = of_line.copy()
+    go = u.covered(hit & u.whole & (u.stop - u.first >= MIN_LINE))
     for a, b in _runs(of_unit | of_line):
         if b - a >= MIN_WORDS and of_unit[a:b].any():
             go[a:b] = True
@@ -158,7 +172,7 @@ def substring_spans(docs: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_units", "n_removed", "spans", "kept_sha256"])
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("print"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _print().alias("print"))
     return _judged(docs).mapInArrow(run, "doc_id long, n_units long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string")
 
 
@@ -172,7 +186,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
         return pd.Series([t if t is None or x is None else without(b := t.encode(), spans_of(b, x)[0]).decode() for t, x in zip(text, later, strict=True)])
 
-    judged = _judged(docs.withColumn("print", F.xxhash64("text")))
+    judged = _judged(docs.withColumn("print", _print()))
     done = judged.withColumn("_clean", F.when(F.col("_later").isNull(), F.col("text")).otherwise(cleaned("text", "_later")))
     gone = (F.length(F.trim("_clean")) == 0) & (F.length(F.trim("text")) > 0)
     return done.filter(~F.coalesce(gone, F.lit(False))).select(*(F.col("_clean").alias("text") if c == "text" else F.col(c) for c in columns))

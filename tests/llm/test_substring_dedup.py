@@ -115,3 +115,19 @@ def test_later_lines_of_three_words_go_and_shorter_ones_stay(spark):
             seen.add(line)
             at += n
         assert gone_words(t, [tuple(s) for s in got[i].spans]) == want and bool(want) == (i > 0)
+
+
+def test_passages_without_marks_are_found_wherever_they_stand(spark):
+    rng = random.Random(12)
+    texts, least = [], []
+    for n in (38, 51, 60, 80):
+        for _ in range(60):
+            passage = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+            for _ in range(2):
+                own = [[f"own{rng.randrange(10**9)}" for _ in range(rng.randrange(60))] for _ in range(2)]
+                texts.append(" ".join(own[0] + passage + own[1]))
+            least += [0, n - 18]
+    got = {r.doc_id: r for r in substring_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, (t, want) in enumerate(zip(texts, shared_words(texts), strict=True)):
+        gone = gone_words(t, [tuple(s) for s in got[i].spans])
+        assert gone <= want and len(gone) >= least[i], (i, len(gone), len(want))
