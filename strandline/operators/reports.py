@@ -155,7 +155,10 @@ def factsheet(data: DataFrame, benchmark: DataFrame, reporting: str = "monthly",
 
 
 def draw(table: DataFrame, kind: str, path: str, x: str = "ts", y: str = "value", hue: str | None = "asset", limit: int = 100_000) -> None:
-    """A line, bar or scatter figure of a small table, on the driver; needs matplotlib."""
+    """A line, bar or scatter figure of a table of at most `limit` rows, on the driver; needs matplotlib."""
+    rows = table.select(*[c for c in (x, y, hue) if c]).limit(limit + 1).toPandas().sort_values(x)
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rows to draw: aggregate them first")
     try:
         import matplotlib
 
@@ -163,7 +166,6 @@ def draw(table: DataFrame, kind: str, path: str, x: str = "ts", y: str = "value"
         import matplotlib.pyplot as plt
     except ImportError as e:
         raise RuntimeError("figures need matplotlib") from e
-    rows = table.select(*[c for c in (x, y, hue) if c]).limit(limit).toPandas().sort_values(x)
     fig, ax = plt.subplots()
     plot: dict[str, Callable] = {"line": ax.plot, "bar": ax.bar, "scatter": ax.scatter}
     for name, part in rows.groupby(hue) if hue else [(y, rows)]:
