@@ -3,14 +3,18 @@
 A byte goes if it is covered by an L-byte string that also starts in a document with a smaller id. Only the first L
 bytes of a suffix matter, so the suffix order of the corpus may be dealt out by any function of those L bytes: here
 the smallest hash of their K-byte grams (a minimiser). Neighbouring suffixes mostly share it, so what travels is one
-string for a run of suffixes. Two rounds:
-
-1. Runs are compared by their minimiser (48 bits) and a hash of their bytes (56 bits more). Every task sends a run once,
-   with its smallest document, so a passage in a third of all documents costs a row a task. A run that is in a smaller
-   document too is covered. A run that isn't is asked for if its minimiser also has other runs and other documents.
-2. The runs asked for go to their bucket. It sorts their suffixes by their first L bytes, finds the previous and the
-   next position in that order with a smaller document, and takes the longer common prefix: the longest previous
-   factor. Suffixes with one of L or more cover their first L bytes.
+string for a run of suffixes. Grams that are frequent in a sample of bounded size are a minimiser only of strings that
+have no other: so a common phrase in many contexts doesn't bring them all to one bucket. That concerns the dealing
+alone; the result is the same whatever the sample has.
+
+1. Copies are aggregated before anything is compared. Of runs that are equal as a whole (104 bits of two hashes), only
+   the one in the smallest document is compared further; the others have a previous factor as long as themselves, and
+   are covered. Every task sends a run once, so a passage in a third of all documents costs a row a task. Runs whose
+   minimiser has no other document can have no previous factor and go no further.
+2. The remaining runs go to the bucket of their minimiser. It puts their suffixes in the order of their first L bytes,
+   with the common prefix of neighbours, finds the previous and the next position in that order with a smaller document,
+   and the least common prefix on the way to each. The longer of the two is the longest previous factor (up to L).
+   Suffixes whose factor reaches L cover their first L bytes.
 
 Then every document drops its covered bytes.
 
@@ -32,9 +36,11 @@ from pyspark.sql import functions as F
 from strandline.llm.common import byte_values, chunks, mix, powers, prefix_hash, table
 
 L, K = 50, 25
-#: Bytes of input (as stored) for each bucket of the first and of the second round.
-BUCKET_BYTES = 16 << 20, 2 << 20
-MOST_BUCKETS = 1 << 22
+#: Bytes of input (as stored) for each bucket of the first and of the second round, and of the sample for frequent grams.
+BUCKET_BYTES, SAMPLE_BYTES = (8 << 20, 2 << 20), 64 << 20
+MOST_BUCKETS, MOST_PARTITIONS = 1 << 22, 1 << 17
+#: Frequent grams are the minimisers of at least that many runs of the sample; so many of them at most are told apart.
+FREQUENT, MOST_FREQUENT = 256, 8192
 LONGEST_RUN = 4096
 FLUSH = 1 << 20
 _LOW48 = np.uint64((1 << 48) - 1)
@@ -58,8 +64,27 @@ def window_least(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def runs_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of L-byte suffixes with one minimiser: text's number, first start, number of starts, minimiser (48 bits), hash of all its bytes (56 bits)."""
+class Frequent:
+    """Grams that are minimisers only where there is no other."""
+
+    def __init__(self, grams: np.ndarray):
+        self.grams = np.sort(grams)
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[grams & np.uint64(0xFFFFF)] = True
+
+    def last(self, values: np.ndarray) -> np.ndarray:
+        """Gram hashes in their order, those of frequent grams above all others."""
+        if not len(self.grams):
+            return values
+        at = np.flatnonzero(self.maybe[values & np.uint64(0xFFFFF)])
+        found = self.grams[np.minimum(np.searchsorted(self.grams, values[at]), len(self.grams) - 1)] == values[at]
+        values = values >> np.uint64(1)
+        values[at[found]] |= np.uint64(1 << 63)
+        return values
+
+
+def runs_of(texts: list[bytes], frequent: Frequent | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of L-byte suffixes with one minimiser: text's number, first start, number of starts, minimiser (48 bits; 64 if frequent is None), hash of all its bytes (56 bits)."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     bounds = np.concatenate([[0], np.cumsum(sizes)])
     data = np.frombuffer(b"".join(texts), np.uint8)
@@ -68,7 +93,8 @@ def runs_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         return empty, empty, empty, np.empty(0, np.uint64), np.empty(0, np.uint64)
     h, back = prefix_hash(data), powers(len(data) + 1)[1]
     m = len(data) - K + 1
-    least = window_least(mix((h[K:] - h[:m]) * back[:m]), L - K + 1)
+    grams = mix((h[K:] - h[:m]) * back[:m])
+    least = window_least(grams if frequent is None else frequent.last(grams), L - K + 1)
     valid = np.ones(len(least), bool)
     for n in range(1, L):  # starts whose L bytes leave their text
         at = bounds[1:-1] - n
@@ -88,7 +114,7 @@ def runs_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     text = np.searchsorted(bounds, first, "right") - 1
     size = length + L - 1
     ident = mix((h[first + size] - h[first]) * back[first] + size.astype(np.uint64)) >> np.uint64(8)
-    return text, first - bounds[text], length, mix(least[first]) & _LOW48, ident
+    return text, first - bounds[text], length, least[first] if frequent is None else mix(least[first]) & _LOW48, ident
 
 
 def pieces(texts: list[bytes]) -> Iterator[tuple[int, list[bytes], int]]:
@@ -134,7 +160,21 @@ def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(bucket[order[a]]), order[a:b]
 
 
-def _first_round(buckets: int):
+def _common_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for _, some, _ in pieces(byte_values(batch.column("text"))):
+            gram, n = np.unique(runs_of(some)[3], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(gram[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["gram", "n"])
+
+
+def frequent_grams(docs: DataFrame, size: int) -> Frequent:
+    """From a sample of some SAMPLE_BYTES of the input."""
+    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, size // SAMPLE_BYTES))) == 0).select("text")
+    counts = some.mapInArrow(_common_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
+    return Frequent(counts.orderBy(F.col("n").desc(), "gram").limit(MOST_FREQUENT).select("gram").toArrow().column("gram").to_numpy().view(np.uint64))
+
+
+def _first_round(buckets: int, frequent: Frequent):
     def flush(keys: np.ndarray, idents: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
         order = np.argsort(mix(keys * np.uint64(0x9E3779B97F4A7C15) + idents))
         keys, idents, docs = keys[order], idents[order], docs[order]
@@ -155,7 +195,7 @@ def _first_round(buckets: int):
         for batch in batches:
             texts, ids = byte_values(batch.column("text")), batch.column("doc_id").to_numpy(zero_copy_only=False)
             for a, some, _ in pieces(texts):
-                text, _, _, keys, idents = runs_of(some)
+                text, _, _, keys, idents = runs_of(some, frequent)
                 if len(keys):
                     held.append((keys, idents, ids[a + text]))
                     size += len(keys)
@@ -201,7 +241,7 @@ def _first_answers(group: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(docs[edges[:-1]]), "runs": pa.array(blobs, pa.binary())})
 
 
-def _second_round(buckets: int):
+def _second_round(buckets: int, frequent: Frequent):
     def flush(asked: list[tuple], spans: list[np.ndarray]) -> pa.RecordBatch:
         rows, dealt = [], {}
         for key, *place, string in asked:
@@ -218,7 +258,7 @@ def _second_round(buckets: int):
             texts, ids, prints = byte_values(batch.column("text")), batch.column("doc_id").to_pylist(), batch.column("print").to_pylist()
             lists, spans = batch.column("runs").to_pylist(), []
             for a, some, offset in pieces(texts):
-                text, first, length, keys, idents = runs_of(some)
+                text, first, length, keys, idents = runs_of(some, frequent)
                 bounds = np.searchsorted(text, np.arange(len(some) + 1))
                 for i, value in enumerate(some):
                     told = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in lists[a + i]]))
@@ -247,8 +287,8 @@ def _second_round(buckets: int):
     return run
 
 
-def suffix_order(data: np.ndarray, starts: np.ndarray, docs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The starts in the order of their first n bytes, then of their documents; and a number for each that equal ones share.
+def suffix_order(data: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The starts in the order of their first n bytes, equal ones in the given order; and how many of n bytes each has in common with the one before.
 
     Starts of one hash form a class; bytes are compared to make sure, and only one start of a class is sorted.
     """
@@ -261,36 +301,51 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, docs: np.ndarray, n: int)
     for at in {*range(0, n - 7, 8), n - 8}:
         mine = w[starts + at]
         same &= mine == mine[leader][cls]
-    if not same.all():  # two strings of one hash: order all by their bytes
-        grams = view[starts].copy().view(f"S{n}").reshape(-1)
-        _, cls = np.unique(grams, return_inverse=True)
-        return np.lexsort((docs, cls)), cls
-    grams = view[starts[leader]].copy().view(f"S{n}").reshape(-1)
+    if not same.all():  # two strings of one hash: classes by their bytes
+        _, leader, cls = np.unique(view[starts].copy().view(f"S{n}").reshape(-1), return_index=True, return_inverse=True)
+    grams = view[starts[leader]]
+    by_bytes = np.argsort(grams.copy().view(f"S{n}").reshape(-1), kind="stable")
     rank = np.empty(len(leader), np.int64)
-    rank[np.argsort(grams)] = np.arange(len(leader))
-    cls = rank[cls]
-    return np.lexsort((docs, cls)), cls
+    rank[by_bytes] = np.arange(len(leader))
+    order = np.argsort(rank[cls], kind="stable")
+    sorted_ = rank[cls][order]
+    grams = grams[by_bytes]
+    differs = grams[1:] != grams[:-1]
+    between = np.concatenate([[0], np.where(differs.any(axis=1), differs.argmax(axis=1), n)])
+    lcp = np.where(np.diff(sorted_, prepend=-1) == 0, n, between[sorted_])
+    return order, lcp
 
 
-def smaller_neighbours(values: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each position the previous and the next one of its class with a smaller value; -1 if there is none."""
+def smaller_neighbours(values: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each position of a suffix order, the previous one with a smaller value and the common prefix with it, then the next one and that; -1 and 0 if there is none.
+
+    lcp: the common prefix of each position with the one before.
+    """
     out = []
-    for v, c in ((values, cls), (values[::-1], cls[::-1])):
-        p = np.arange(-1, len(v) - 1)
-        p[np.concatenate([[True], c[1:] != c[:-1]])] = -1
-        while True:
-            bad = np.flatnonzero((p >= 0) & (v[p] >= v))
-            if not len(bad):
-                break
-            p[bad] = p[p[bad]]
-        out.append(p)
-    prev, nxt = out
+    for v, c in ((values, lcp), (values[::-1], np.concatenate([[0], lcp[:0:-1]]))):
+        p, common = np.arange(-1, len(v) - 1), c.copy()
+        bad = np.flatnonzero((p >= 0) & (v[p] >= v))
+        while len(bad):  # over all in between, whose values are not smaller either
+            via = p[bad]
+            p[bad], common[bad] = p[via], np.minimum(common[bad], common[via])
+            bad = bad[(p[bad] >= 0) & (v[p[bad]] >= v[bad])]
+        out += [p, np.where(p >= 0, common, 0)]
+    prev, prev_common, nxt, nxt_common = out
     nxt = nxt[::-1]
-    return prev, np.where(nxt >= 0, len(values) - 1 - nxt, -1)
+    return prev, prev_common, np.where(nxt >= 0, len(values) - 1 - nxt, -1), nxt_common[::-1]
+
+
+def previous_factors(data: np.ndarray, starts: np.ndarray, docs: np.ndarray, n: int = L) -> np.ndarray:
+    """For each start the length, up to n, of the longest prefix of its suffix that also starts (among the starts) in a smaller document."""
+    order, lcp = suffix_order(data, starts, n)
+    _, before, _, after = smaller_neighbours(docs[order], lcp)
+    out = np.empty(len(starts), np.int64)
+    out[order] = np.maximum(before, after)
+    return out
 
 
 def covered(data: np.ndarray, starts: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """For each start: is its longest previous factor (with a smaller document) at least L?"""
+    """For each start: is its longest previous factor at least L? Only starts whose first L bytes occur twice are put in order."""
     out = np.zeros(len(starts), bool)
     h = gram_hashes(data, L)[starts]
     order = np.argsort(h)
@@ -299,11 +354,8 @@ def covered(data: np.ndarray, starts: np.ndarray, docs: np.ndarray) -> np.ndarra
     some[order[1:][twin]] = True
     some[order[:-1][twin]] = True
     at = np.flatnonzero(some)
-    if not len(at):
-        return out
-    order, cls = suffix_order(data, starts[at], docs[at], L)
-    prev, nxt = smaller_neighbours(docs[at][order], cls[order])
-    out[at[order]] = (prev >= 0) | (nxt >= 0)
+    if len(at):
+        out[at] = previous_factors(data, starts[at], docs[at]) >= L
     return out
 
 
@@ -350,10 +402,15 @@ def merged(s: np.ndarray) -> np.ndarray:
 def covered_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text, found (list of print and spans, or null) for docs(doc_id, text, print) with ids."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:  # Spark doesn't know it
+        size = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * (64 << 20)
     few, many = (int(min(max(8, size // x), MOST_BUCKETS)) for x in BUCKET_BYTES)
-    live = docs.mapInArrow(_first_round(few), _DEALT).groupBy("bucket").applyInArrow(_first_answers, "doc_id long, runs binary")
+    frequent = frequent_grams(docs, size)
+    # As many partitions as buckets: what a task reads is a few buckets, however large the input.
+    runs = docs.mapInArrow(_first_round(few, frequent), _DEALT).repartition(min(few, MOST_PARTITIONS), "bucket")
+    live = runs.groupBy("bucket").applyInArrow(_first_answers, "doc_id long, runs binary")
     live = live.groupBy("doc_id").agg(F.collect_list("runs").alias("runs"))
-    sent = docs.join(live, "doc_id").mapInArrow(_second_round(many), _DEALT)
+    sent = docs.join(live, "doc_id").mapInArrow(_second_round(many, frequent), _DEALT).repartition(min(many, MOST_PARTITIONS), "bucket")
     spans = sent.groupBy("bucket").applyInArrow(_second_answers, "doc_id long, print long, spans binary")
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("print", "spans")).alias("found"))
     return docs.join(spans, "doc_id", "left")

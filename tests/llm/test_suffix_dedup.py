@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from strandline.llm.suffix_dedup import repeated_bytes, smaller_neighbours
+from strandline.llm.suffix_dedup import Frequent, previous_factors, repeated_bytes, runs_of, smaller_neighbours, suffix_order
 
 
 def brute(rows):
@@ -49,8 +49,49 @@ def test_empty(nothing):
     assert repeated_bytes(nothing).collect() == []
 
 
-def test_neighbours():
-    v, c = np.array([3, 1, 2, 2, 5, 0, 7]), np.array([0, 0, 0, 0, 1, 1, 1])
-    prev, nxt = smaller_neighbours(v, c)
-    assert prev.tolist() == [-1, -1, 1, 1, -1, -1, 5]
-    assert nxt.tolist() == [1, -1, -1, -1, 5, -1, -1]
+def test_frequent_grams_do_not_change_the_result(spark, monkeypatch):
+    """A phrase in many contexts: its grams are found, are a minimiser only of strings without others, and the result is the same."""
+    rng = random.Random(6)
+    phrase = "a phrase that stands in very many documents, of some eighty bytes, in every context"
+    rows = [(i, "".join(rng.choice("abcdefgh ") for _ in range(80)) + phrase + "".join(rng.choice("abcdefgh ") for _ in range(80))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in repeated_bytes(df).collect()), key=str) == brute(rows)
+    texts = [t.encode() for _, t in rows]
+    gram, n = np.unique(runs_of(texts)[3], return_counts=True)
+    frequent = Frequent(gram[n >= 256])
+    assert len(frequent.grams)
+    keys = {g: set() for g in range(len(texts))}
+    text, first, length, key, _ = runs_of(texts, frequent)
+    for t, a, m, x in zip(text, first, length, key, strict=True):
+        keys[t].add(int(x))
+        if any(80 <= s and s + 50 <= 80 + len(phrase) for s in range(a, a + m)):
+            keys[t].discard(int(x))
+    shared = set.intersection(*keys.values())
+    assert not shared  # strings that leave the phrase have minimisers of their own
+
+
+def test_neighbours_and_their_common_prefixes():
+    v, c = np.array([3, 1, 2, 2, 5, 0, 7]), np.array([0, 4, 9, 5, 2, 1, 8])
+    prev, before, nxt, after = smaller_neighbours(v, c)
+    assert prev.tolist() == [-1, -1, 1, 1, 3, -1, 5]
+    assert before.tolist() == [0, 0, 9, 5, 2, 0, 8]
+    assert nxt.tolist() == [1, 5, 5, 5, 5, -1, -1]
+    assert after.tolist() == [4, 1, 1, 1, 1, 0, 0]
+
+
+def test_previous_factors_need_both_neighbours():
+    """Lengths against all pairs of starts; neither the previous nor the next smaller document is enough."""
+    rng = np.random.default_rng(9)
+    data = rng.integers(97, 99, 1500).astype(np.uint8)
+    starts = np.sort(rng.choice(len(data) - 12, 400, replace=False))
+    docs = rng.integers(0, 60, 400)
+    want = []
+    for s, d in zip(starts, docs, strict=True):
+        other = starts[docs < d]
+        same = data[other[:, None] + np.arange(12)] == data[s : s + 12]
+        want.append(int(np.where(same.all(axis=1), 12, same.argmin(axis=1)).max(initial=0)))
+    assert previous_factors(data, starts, docs, 12).tolist() == want
+    order, lcp = suffix_order(data, starts, 12)
+    _, before, _, after = smaller_neighbours(docs[order], lcp)
+    full = np.array(want)[order] == 12
+    assert (full & (before < 12)).any() and (full & (after < 12)).any()
