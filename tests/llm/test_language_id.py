@@ -1,9 +1,13 @@
+import math
 import random
 import zlib
 
 import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from strandline.llm.language_id import UNDECIDED, Model, held_out, identify, infer, keep_identified, op2_language_id
+from strandline.llm import language_id
+from strandline.llm.language_id import UNDECIDED, Model, held_out, identify, infer, keep_identified, op2_language_id, predict
 
 
 def two_languages(spark, n=120):
@@ -54,8 +58,63 @@ def test_stage_keeps_columns_and_clean_documents(spark, docs, rows):
 
 
 def test_one_language_only():
-    pi, score = infer(np.array([[-3.0], [-4.0]]), np.array([0, 1]))
-    assert pi.tolist() == [[1.0], [1.0]] and score.tolist() == [1.0, 1.0]
+    pi, score, value = infer(np.array([[-3.0], [-4.0], [-5.0]]), np.array([0, 1]))
+    assert pi.tolist() == [[1.0], [1.0]] and score.tolist() == [1.0, 1.0] and value.tolist() == [-3.0, -9.0]
+
+
+def test_six_languages_in_one_text(spark):
+    rng = random.Random(8)
+    vocab = {x * 2: ["".join(rng.choice("bcdfghjklmnpqrstvwxz"[3 * i : 3 * i + 5] + "aeiou") for _ in range(6)) for _ in range(30)] for i, x in enumerate("abcdef")}
+    rows = [(i, " ".join(rng.choice(words) for _ in range(60)), lang) for i, (lang, words) in enumerate(list(vocab.items()) * 20)]
+    model = Model.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    text = " ".join(" ".join(rng.choice(words) for _ in range(80)) for words in vocab.values())
+    lang, score, sets, fits = predict(model, [text.encode(), b"0x9f$ ## \xc3\xbf\xc3\xbf%% qqqq \xe4\xb8\xad\xe6\x96\x87 wwww;;" * 3])
+    shares = dict(x.split(":") for x in sets[0].split(","))
+    assert sorted(shares) == sorted(vocab) and all(0.1 < float(x) < 0.25 for x in shares.values())
+    assert 0.1 < score[0] < 0.25 and fits.tolist() == [True, False]
+
+
+def test_many_languages_hash_to_fewer_grams(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MODEL", 1 << 16)
+    rng = random.Random(3)
+    vocab = {f"l{i:02}": ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(10)] for i in range(40)}
+    rows = [(i, " ".join(rng.choice(words) for _ in range(40)), lang) for i, (lang, words) in enumerate(vocab.items())]
+    model = Model.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.logs.size <= 1 << 16 and predict(model, [t.encode() for _, t, _ in rows])[0] == [lang for *_, lang in rows]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 5), st.lists(st.integers(1, 9), min_size=1, max_size=6), st.integers(0, 1 << 30))
+def test_sets_equal_those_of_plain_expectation_maximisation(langs, sizes, seed):
+    """Text by text, every language tried, in plain Python."""
+    rng = np.random.default_rng(seed)
+    logs = rng.normal(-30, 8, (sum(sizes), langs))
+    bounds = np.cumsum(sizes) - sizes
+    pi, _, value = infer(logs, bounds)
+    for t, (a, n) in enumerate(zip(bounds, sizes, strict=True)):
+        part = logs[a : a + n].tolist()
+        chosen = [max(range(langs), key=lambda x: (sum(r[x] for r in part), -x))]
+        share, best = {chosen[0]: 1.0}, sum(r[chosen[0]] for r in part)
+        while n > 1:
+            tried = []
+            for new in set(range(langs)) - set(chosen):
+                p = dict.fromkeys([*chosen, new], 1 / (len(chosen) + 1))
+                for _ in range(12):
+                    sums = dict.fromkeys(p, 0.0)
+                    for r in part:
+                        top = max(r)
+                        joint = {x: p[x] * math.exp(r[x] - top) for x in p}
+                        for x in p:
+                            sums[x] += joint[x] / max(sum(joint.values()), 1e-300)
+                    p = {x: sums[x] / n for x in p}
+                ll = sum(max(r) + math.log(max(sum(p[x] * math.exp(r[x] - max(r)) for x in p), 1e-300)) for r in part)
+                tried.append((ll, -new, p))
+            if not tried or max(tried)[0] - best <= 0.5 * math.log(n + 1) + 3.0:
+                break
+            best, new, share = max(tried, key=lambda x: x[:2])
+            chosen.append(-new)
+        assert abs(value[t] - best) < 1e-6 * abs(best)
+        assert all(abs(pi[t, x] - share.get(x, 0)) < 1e-6 for x in range(langs))
 
 
 def test_query_columns(spark):
