@@ -6,6 +6,9 @@ share of its limit). When nothing fits any more, the best piece is cut so that t
 longer than a sequence is cut into whole sequences first. A sequence that cannot be filled (the end of the input, the
 segment or loss limit) ends at a power of two, so that it needs no padding, and its tail goes back to the pool.
 
+Where all tokens bear loss and the limits are equal, as in the registered query, only the token limit binds, and the
+heuristic is best fit by length; instruction data with parts that bear no loss (exchanges) makes all three bind.
+
 Every task packs its own part of the input with a pool of bounded size: nothing is shuffled, and no bin waits for
 another task. At the end of a task at most one sequence of each power of two is short.
 
@@ -24,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strandline.llm.common import CHUNK_BYTES, give_back, mix, powers, prefix_hash, table
 
@@ -73,7 +77,7 @@ def pre_tokens(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class WordEncoder:
-    """Ids by a tokenizer of lower-cased words without white space, whose last token of a word ends with a mark.
+    """Ids by a tokenizer (its JSON) of lower-cased words without white space, whose last token of a word ends with a mark.
 
     Such a tokenizer treats each pre-token alone, so the ids of a word are remembered under its 64-bit hash; new words
     are encoded together, with spaces between them. Texts with other characters than printable Latin-1 and plain line
@@ -83,11 +87,11 @@ class WordEncoder:
     PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]*")
     MARK = "</w>"
 
-    def __init__(self, path: str):
+    def __init__(self, tokenizer: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
+        self.library = Tokenizer.from_str(tokenizer)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -276,33 +280,74 @@ class Packer:
 
 
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[int, WordEncoder] = {}
+
+
+def _encoder(tokenizer: str) -> WordEncoder:
+    """One for each file in a worker."""
+    key = zlib.crc32(tokenizer.encode())
+    if key not in _encoders:
+        _encoders[key] = WordEncoder(tokenizer)
+    return _encoders[key]
+
+
+def _spans(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Runs [a, b) of texts that have about CHUNK_BYTES characters; a longer one is alone."""
+    at = 0
+    while at < len(sizes):
+        to, size = at, 0
+        while to < len(sizes) and (to == at or size < CHUNK_BYTES):
+            size += sizes[to]
+            to += 1
+        yield at, to
+        at = to
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end: int = 2, tokens: int = 4096, segments: int = 4096, loss: int = 4096) -> DataFrame:
-    """The pieces of all docs(doc_id, text). tokenizer: a file that every executor has. All tokens of a text bear loss."""
+    """The pieces of all docs(doc_id, text), whose tokens all bear loss, or of docs(doc_id, parts).
+
+    parts: array<struct<text string, loss boolean>>, in order; the tokens of a part bear loss if it says so, and the end
+    mark as the last part does. A null part, text or loss is an empty text without loss. A table that has a text is
+    packed by it, whatever parts it has. tokenizer: a file on the driver; its content is sent to the executors.
+    """
+    with open(tokenizer, encoding="utf-8") as f:
+        sent = docs.sparkSession.sparkContext.broadcast(f.read())
+    by_parts = "text" not in docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.setdefault(tokenizer, None) or WordEncoder(tokenizer)
-        _encoders[tokenizer] = encoder
+        encoder = _encoder(sent.value)
         packer = Packer(tokens, segments, loss, TaskContext.get().partitionId() << 36)
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            at = 0
-            while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and (to == at or size < CHUNK_BYTES):
-                    size += len(texts[to] or "")
-                    to += 1
-                for key, x in zip(ids[at:to], encoder.encode([t or "" for t in texts[at:to]]), strict=True):
-                    packer.add(key, np.append(x, np.uint32(end)))
-                at = to
+            ids = batch.column("doc_id").to_pylist()
+            if by_parts:
+                lists = [[x or {"text": None, "loss": None} for x in parts or []] for parts in batch.column("parts").to_pylist()]
+                texts, bears = [[x["text"] or "" for x in parts] for parts in lists], [[bool(x["loss"]) for x in parts] for parts in lists]
+            else:
+                texts, bears = [[t or ""] for t in batch.column("text").to_pylist()], None
+            for a, b in _spans([sum(map(len, x)) for x in texts]):
+                encoded = iter(encoder.encode([t for parts in texts[a:b] for t in parts]))
+                for i in range(a, b):
+                    own = [next(encoded) for _ in texts[i]]
+                    mask = None if bears is None else np.repeat([*bears[i], bool(bears[i]) and bears[i][-1]], [*map(len, own), 1])
+                    packer.add(ids[i], np.concatenate([*own, np.array([end], np.uint32)]), mask)
             yield _rows(packer.take())
         packer.finish()
         yield _rows(packer.take())
         give_back()
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(f"{n} long" for n in NAMES))
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "parts" if by_parts else "text").mapInArrow(run, ", ".join(f"{n} long" for n in NAMES))
+
+
+def exchanges(conversations: DataFrame, answers: str = "assistant") -> DataFrame:
+    """doc_id and parts for pack_documents: every answer of conversations(conv_id, turn, role, text) after the turn before it.
+
+    Only the answer bears loss. Turns are joined by conversation and number, so a long conversation isn't gathered
+    anywhere. A turn that several rows have comes with each of them; an answer without a turn before it stands alone.
+    """
+    own = conversations.filter(F.col("role") == answers).select("conv_id", "turn", "text")
+    before = conversations.select("conv_id", (F.col("turn") + 1).alias("turn"), F.struct("text", F.lit(False).alias("loss")).alias("asked"))
+    answer = F.struct(F.col("text"), F.lit(True).alias("loss"))
+    return own.join(before, ["conv_id", "turn"], "left").select(F.col("conv_id").cast("long").alias("doc_id"), F.array_compact(F.array("asked", answer)).alias("parts"))
 
 
 def _rows(rows: Iterable[tuple]) -> pa.RecordBatch:

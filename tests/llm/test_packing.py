@@ -3,12 +3,13 @@ import zlib
 import numpy as np
 import pytest
 
-from strandline.llm.packing import Packer, WordEncoder, pack_documents, tokenizer_path
+from strandline.llm.packing import Packer, WordEncoder, exchanges, pack_documents, tokenizer_path
 
 
 @pytest.fixture(scope="module")
 def encoder():
-    return WordEncoder(tokenizer_path())
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        return WordEncoder(f.read())
 
 
 def test_words_equal_library(encoder, rows):
@@ -66,3 +67,36 @@ def test_all_limits_hold_at_once():
 
 def test_empty(nothing):
     assert pack_documents(nothing, tokenizer_path()).collect() == []
+
+
+@pytest.mark.parametrize(("limits", "binds"), [((256, 99, 256), 0), ((256, 3, 256), 1), ((256, 99, 60), 2)])
+def test_each_limit_binds_for_conversations(spark, encoder, limits, binds):
+    """Exchanges of a table of conversations, with one conversation of a third of all rows, null texts and repeated turns."""
+    rng = np.random.default_rng(4)
+    words = ["alpha", "beta", "gamma", "delta", "some", "other", "word"]
+    rows = [(i if i % 3 else 1, t, "assistant" if t % 2 else "user", None if i == 7 else " ".join(rng.choice(words, int(rng.integers(1, 30))))) for i in range(60) for t in range(2 * (i + 1) if i % 3 == 0 else 0, 2 * (i + 1) + 2 if i % 3 == 0 else 2)]
+    rows += [(500, 0, "assistant", "alone"), (501, 0, "user", "nobody answers"), (502, 0, "user", "twice"), (502, 0, "user", "asked"), (502, 1, "assistant", "yes"), (None, 1, "assistant", "no id")]
+    got = exchanges(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    parts = {}
+    for r in got.collect():
+        parts.setdefault(r.doc_id, []).append([(p.text, p.loss) for p in r.parts])
+    assert parts[500] == [[("alone", True)]] and 501 not in parts and len(parts[502]) == 2 and parts[None] == [[("no id", True)]]
+    assert len(parts[1]) == 1 + 20  # the large one, in pairs
+    examples = spark.createDataFrame([(i, [p.asDict() for p in r.parts]) for i, r in enumerate(got.collect())], "doc_id long, parts array<struct<text: string, loss: boolean>>")
+    masks = {}
+    for r in examples.collect():
+        flags = [f for p in r.parts for f in [p.loss] * len(encoder.library.encode(p.text or "", add_special_tokens=False).ids)]
+        masks[r.doc_id] = np.array([*flags, r.parts[-1].loss])
+    seqs = {}
+    for r in pack_documents(examples, tokenizer_path(), 2, *limits).collect():
+        assert r.doc_tokens == len(masks[r.doc_id])
+        seqs.setdefault(r.sequence_id, []).append((r.length, 1, int(masks[r.doc_id][r.start : r.start + r.length].sum())))
+    sums = np.array([np.sum(v, axis=0) for v in seqs.values()])
+    assert (sums <= limits).all() and sums[:, 0].sum() == sum(map(len, masks.values()))
+    assert [bool((sums[:, i] == limits[i]).any()) for i in range(3)] == [i == binds for i in range(3)]
+
+
+def test_null_parts(spark):
+    rows = [(1, None), (2, []), (3, [None, {"text": None, "loss": True}, {"text": "a", "loss": None}])]
+    got = pack_documents(spark.createDataFrame(rows, "doc_id long, parts array<struct<text: string, loss: boolean>>"), tokenizer_path()).collect()
+    assert sorted((r.doc_id, r.doc_tokens) for r in got) == [(1, 1), (2, 1), (3, 2)]
