@@ -49,6 +49,12 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """Spark's estimate of the bytes that df reads; where it has none, 64 MB a shuffle partition."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * (64 << 20)
+
+
 # --- bytes ---------------------------------------------------------------------------------------------------
 
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import byte_values, chunks, mix, powers, prefix_hash, table
+from strandline.llm.common import byte_values, chunks, mix, powers, prefix_hash, stored_bytes, table
 
 L, K = 50, 25
 #: Bytes of input (as stored) for each bucket of the first and of the second round, and of the sample for frequent grams.
@@ -401,9 +401,7 @@ def merged(s: np.ndarray) -> np.ndarray:
 
 def covered_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text, found (list of print and spans, or null) for docs(doc_id, text, print) with ids."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= 1 << 60:  # Spark doesn't know it
-        size = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * (64 << 20)
+    size = stored_bytes(docs)
     few, many = (int(min(max(8, size // x), MOST_BUCKETS)) for x in BUCKET_BYTES)
     frequent = frequent_grams(docs, size)
     # As many partitions as buckets: what a task reads is a few buckets, however large the input.

@@ -1,7 +1,11 @@
 import hashlib
 import random
+import re
 
-from strandline.llm.substring_dedup import MIN_LINE, MIN_WORDS, Units, remove_repeats, spans_of, substring_spans, without
+import pytest
+
+from strandline.llm import substring_dedup
+from strandline.llm.substring_dedup import MIN_LINE, MIN_WORDS, Units, _print, frequent_digests, remove_repeats, spans_of, substring_spans, without
 
 
 def brute(rows):
@@ -131,3 +135,39 @@ def test_passages_without_marks_are_found_wherever_they_stand(spark):
     for i, (t, want) in enumerate(zip(texts, shared_words(texts), strict=True)):
         gone = gone_words(t, [tuple(s) for s in got[i].spans])
         assert gone <= want and len(gone) >= least[i], (i, len(gone), len(want))
+
+
+@pytest.mark.parametrize("by", ["lines", "paragraphs"])
+def test_later_lines_and_paragraphs_go_whole(spark, docs, rows, by):
+    """The rule in plain Python, without hashes or the module's own units: what is left, word by word."""
+    rng = random.Random(14)
+    pool = [" ".join(rng.choice(["a", "B", "c", "dd"]) for _ in range(rng.randrange(1, 4))) for _ in range(12)]
+    every = [(r[0], r[1]) for r in rows if r[0] is not None] + [(1000 + i, "".join(rng.choice(pool).upper() + rng.choice(["\n", "\n\n", " \n \t\n", "\r\n", " "]) for _ in range(8))) for i in range(40)]
+    every = list(dict.fromkeys(r for r in every if r[0] != 507))
+    seen, want = set(), {}
+    for d, t in sorted(every):
+        parts = re.split(r"\n" if by == "lines" else r"\n[ \t\r\x0b\x0c]*\n[ \t\r\x0b\x0c\n]*", t or "")
+        kept = []
+        for part in parts:
+            words = re.findall(r"[^\x20\x09-\x0D]+", part)
+            key = tuple(re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in words)
+            if key and key not in seen:
+                kept += words
+            seen.add(key)
+        want[d] = kept
+    df = spark.createDataFrame(every, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in substring_spans(df, by).collect()}
+    left = {d: re.findall(r"[^\x20\x09-\x0D]+", without((t or "").encode(), [tuple(x) for x in got[d]]).decode()) for d, t in every}
+    assert left == want
+
+
+def test_frequent_digests_are_dealt_out_with_the_same_result(spark, docs, monkeypatch):
+    line = "One line that very many of the documents have."
+    every = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(1000 + i, f"{line}\nown{i} words{i} here{i}\n{line}") for i in range(200)], "doc_id long, text string"))
+    plain = sorted(substring_spans(every).collect(), key=str)
+    monkeypatch.setattr(substring_dedup, "SALTED", 20)
+    monkeypatch.setattr(substring_dedup, "FREQUENT", 5)
+    digests, groups = frequent_digests(every.withColumn("print", _print()), "words")
+    assert len(digests) >= 1 and groups.max() > 10
+    assert sorted(substring_spans(every).collect(), key=str) == plain
+    assert {r.n_removed for r in plain if r.doc_id is not None and r.doc_id > 1000} == {2}
