@@ -19,8 +19,8 @@ def test_stages_in_order_and_decisions_take_effect(spark):
     model = Model.learn(before.filter(~held_out()).select("text", "lang"))
     kept = {r.doc_id for r in after.collect()}
     for r in before.collect():
-        lang, score, _ = predict(model, [(r.text or "").encode()])
-        assert (r.doc_id in kept) == (lang[0] != "und" and score[0] >= 0.3)
+        lang, _, _, fits = predict(model, [(r.text or "").encode()])
+        assert (r.doc_id in kept) == fits[0] and (fits[0] <= (lang[0] != "und"))
     before, after = seen["minhash_dedup"]
     rows = [(r.doc_id, r.text, None, None) for r in before.collect()]
     assert {r.doc_id for r in after.collect()} == {d for d, _, comp in components(rows, 5) if d == comp}
