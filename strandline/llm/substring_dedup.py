@@ -62,8 +62,8 @@ class Units:
         starts = np.flatnonzero(edge == 1)
         hashes, _ = batch_words_of(joined, bounds, SPACED)
         #: Places of all words; text i has those from begin[i] to begin[i + 1].
-        self.words = starts
-        begin = np.searchsorted(starts, bounds)
+        self.words, self.bounds = starts, bounds
+        self.begin = begin = np.searchsorted(starts, bounds)
         up, self._down = powers(len(hashes) + 1)
         zero = [np.uint64(0)]
         self._prefix, more = (np.concatenate([zero, np.cumsum(x * up[:-1])]) for x in (hashes, mix(hashes)))
@@ -188,21 +188,39 @@ def repeated_units(docs: DataFrame, by: str = "words") -> DataFrame:
 
 def spans_of(text: bytes, later: list[int], units: Units | None = None, by: str = "words") -> tuple[list[tuple[int, int]], int, int]:
     """What goes of a text, as (start, end) in bytes; how many units it has and how many go."""
-    u = units or Units([text], by)
-    hit = np.isin(u.start, np.array(later, np.int64))
+    return spans_of_all([text], [later], units, by)[0]
+
+
+def spans_of_all(texts: list[bytes], later: list[list[int]], units: Units | None = None, by: str = "words") -> list[tuple[list[tuple[int, int]], int, int]]:
+    """The same for several texts at once."""
+    u = units or Units(texts, by)
+    told = np.repeat(np.arange(len(texts)), [len(x) for x in later]) << 42 | np.concatenate([np.empty(0, np.int64), *(np.array(x, np.int64) for x in later)])
+    hit = np.isin(u.text << 42 | u.start, told)
     of_unit, of_line = u.covered(hit & ~u.whole), u.covered(hit & u.whole)
     go = u.covered(hit & u.whole & (u.stop - u.first >= (MIN_LINE if by == "words" else 1)))
-    for a, b in _runs(of_unit | of_line):
-        if b - a >= MIN_WORDS and of_unit[a:b].any():
-            go[a:b] = True
-    spans = [(int(u.words[a]), int(u.words[b]) if b < len(u.words) else len(text)) for a, b in _runs(go)]
+    a, b = _runs(of_unit | of_line, u.begin)
+    some = np.concatenate([[0], np.cumsum(of_unit)])
+    long = (b - a >= MIN_WORDS) & (some[b] > some[a])
+    n = len(go) + 1
+    go |= np.cumsum(np.bincount(a[long], minlength=n) - np.bincount(b[long], minlength=n))[:-1] > 0
+    a, b = _runs(go, u.begin)
+    text = np.searchsorted(u.begin, a, "right") - 1
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    end = np.where(b < u.begin[text + 1], np.append(u.words, 0)[b] - u.bounds[text], sizes[text])
+    spans = list(zip((u.words[a] - u.bounds[text]).tolist(), end.tolist(), strict=True))
+    cut = np.searchsorted(text, np.arange(len(texts) + 1)).tolist()
     left = np.concatenate([[0], np.cumsum(~go)])
-    return spans, len(u.start), int((left[u.first] == left[u.stop]).sum())
+    gone = left[u.first] == left[u.stop]
+    counts = (np.bincount(x, minlength=len(texts)).tolist() for x in (u.text, u.text[gone]))
+    return [(spans[i:j], n, g) for i, j, n, g in zip(cut[:-1], cut[1:], *counts, strict=True)]
 
 
-def _runs(flags: np.ndarray) -> Iterator[tuple[int, int]]:
-    edges = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
-    return zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1), strict=True)
+def _runs(flags: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words of runs of flagged words, and the words after them; a run ends with its text."""
+    inner = np.zeros(len(flags) + 1, bool)
+    inner[begin] = True
+    f = np.concatenate([[False], flags, [False]])
+    return np.flatnonzero(f[1:] & (~f[:-1] | inner)), np.flatnonzero(f[:-1] & (~f[1:] | inner))
 
 
 def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -225,9 +243,10 @@ def substring_spans(docs: DataFrame, by: str = "words") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, later in zip(byte_values(batch.column("text")), batch.column("_later").to_pylist(), strict=True):
-                spans, n, gone = spans_of(text, later or [], by=by)
-                out.append((n, gone, [{"start": a, "end": b} for a, b in spans], hashlib.sha256(without(text, spans)).hexdigest()))
+            texts, later = byte_values(batch.column("text")), batch.column("_later").to_pylist()
+            for i, j in chunks(texts):
+                for text, (spans, n, gone) in zip(texts[i:j], spans_of_all(texts[i:j], [x or [] for x in later[i:j]], by=by), strict=True):
+                    out.append((n, gone, [{"start": a, "end": b} for a, b in spans], hashlib.sha256(without(text, spans)).hexdigest()))
             cols = list(zip(*out, strict=True)) or [[]] * 4
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_units", "n_removed", "spans", "kept_sha256"])
@@ -244,7 +263,13 @@ def remove_repeats(docs: DataFrame, by: str = "words") -> DataFrame:
     def cleaned(text, later):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        return pd.Series([t if t is None or x is None else without(b := t.encode(), spans_of(b, x, by=by)[0]).decode() for t, x in zip(text, later, strict=True)])
+        out = text.tolist()
+        some = [i for i, (t, x) in enumerate(zip(out, later, strict=True)) if t is not None and x is not None]
+        texts = [out[i].encode() for i in some]
+        for i, j in chunks(texts):
+            for k, (spans, *_) in zip(some[i:j], spans_of_all(texts[i:j], [later.iloc[x] for x in some[i:j]], by=by), strict=True):
+                out[k] = without(out[k].encode(), spans).decode()
+        return pd.Series(out)
 
     judged = _judged(docs.withColumn("print", _print()), by)
     done = judged.withColumn("_clean", F.when(F.col("_later").isNull(), F.col("text")).otherwise(cleaned("text", "_later")))
