@@ -127,16 +127,19 @@ def laplace_weight(x: Column, loc: float = 0.0, scale: float = 1.0) -> Column:
     return F.when(z < 0, F.exp(z) - 1).otherwise(1 - F.exp(-z))
 
 
-def exp_tail_weight(x: Column, loc: float = 0.0, tail_level: float = 1.0, slope_right: float = 0.5, slope_left: float = 0.5, decay_right: float | None = None, decay_left: float | None = None) -> Column:
-    """Linear response up to the tail level, then exponential decay where one is given."""
-    z = x - loc
-    right = F.lit(slope_right) * F.least(z, F.lit(tail_level))
-    if decay_right is not None:
-        right = F.when(z > tail_level, slope_right * tail_level * F.exp(-(z - tail_level) * decay_right)).otherwise(slope_right * z)
-    left = F.lit(slope_left) * F.greatest(z, F.lit(-tail_level))
-    if decay_left is not None:
-        left = F.when(z < -tail_level, -slope_left * tail_level * F.exp((z + tail_level) * decay_left)).otherwise(slope_left * z)
-    return clip(F.when(z >= 0, right).otherwise(left), -1.0, 1.0)
+def exp_tail_weight(x: Column, loc: float = 0.0, scale: float = 1.0, slope_right: float = 0.5, slope_left: float = 0.5, tail_level: float = 1.0, decay_right: float | None = None, decay_left: float | None = None) -> Column:
+    """Rises from the location to the tail level as 1 - exp(-z^2 / s) on either side; beyond the level, exponential decay where both are given."""
+    if tail_level <= slope_right or tail_level <= slope_left:
+        raise ValueError("the tail level must be above both slopes")
+    width = lambda slope: 1.5625 * scale / math.log(tail_level / (tail_level - slope))
+    z2 = (x - loc) * (x - loc)
+    rise = lambda slope: tail_level * (1 - F.exp(-z2 / width(slope)))
+    out = F.when(x < loc, -rise(slope_left)).otherwise(rise(slope_right))
+    if decay_right is None or decay_left is None:
+        return out
+    left, right = x + (tail_level - min(loc, 0.0)), x - (tail_level + max(loc, 0.0))
+    return out * F.when(right > 0, F.exp(-right / decay_right)).when(left < 0, F.exp(left / decay_left)).otherwise(1.0)
+
 
 
 def normal_weight(x: Column, loc: float = 0.0, scale: float = 1.0) -> Column:

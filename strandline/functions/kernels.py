@@ -153,29 +153,50 @@ def eigen_portfolios(c: np.ndarray) -> np.ndarray:
     return (v / np.sqrt(np.maximum(w, 1e-300))).T
 
 
-def winsor_markov(x: np.ndarray, lam: float, threshold: float = 5.0) -> np.ndarray:
-    """Values whose score against the running mean and variance is beyond the threshold are replaced by the mean; others update the state."""
-    out, mean, var, on = x.copy(), 0.0, 0.0, False
+def winsor_markov(x: np.ndarray, lam: float, threshold: float = 5.0, init: float = 0.0, init_var: float = 0.1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Clean values, mean, variance and score; the state starts at init and max(init^2, init_var).
+
+    The score is the distance from yesterday's mean over yesterday's deviation. From the threshold on, a value doesn't
+    change the state and the last clean value stands for it; nor does a gap, which has no score and no clean value.
+    Where the first row has a value it only starts the state: score 0, no clean value.
+    """
+    clean, means, variances, scores = (np.full(len(x), np.nan) for _ in range(4))
+    mean = var = np.nan
     for t, v in enumerate(x):
-        if not np.isfinite(v):
-            continue
-        if not on:
-            mean, var, on = v, 0.0, True
-            continue
-        dev = v - mean
-        if var > 0 and abs(dev) > threshold * math.sqrt(var):
-            out[t] = mean
+        if np.isnan(mean) and np.isfinite(v):
+            mean, var = init, max(init * init, init_var)
+            if t == 0:
+                means[t], variances[t], scores[t] = mean, var, 0.0
+                continue
+        if np.isfinite(v):
+            score = (v - mean) / math.sqrt(var) if var > 0 else np.nan
+            if abs(score) >= threshold:
+                clean[t] = clean[t - 1]
+            else:
+                mean = lam * mean + (1 - lam) * v
+                var = lam * var + (1 - lam) * (v - mean) ** 2
+                clean[t] = v
+            scores[t] = score
+        means[t], variances[t] = mean, var
+    return clean, means, variances, scores
+
+
+def up_down_vol(x: np.ndarray, lam: float, af: float = 1.0, init: str = "mean") -> tuple[np.ndarray, np.ndarray]:
+    """EWM volatility of gains and of losses, neither of which a zero is.
+
+    init: mean starts each side at its in-sample mean square; first at its first square, which looks at no later value.
+    """
+    out = []
+    for side in (np.where(x > 0, x * x, np.nan), np.where(x < 0, x * x, np.nan)):
+        if init == "first" or not np.isfinite(side).any():
+            out.append(np.sqrt(af * ewm(side, lam, "x0")))
             continue
-        mean = lam * mean + (1 - lam) * v
-        var = lam * var + (1 - lam) * dev * dev
-    return out
-
-
-def up_down_vol(x: np.ndarray, lam: float, af: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """EWM volatility of gains and of losses."""
-    up = ewm(np.where(x >= 0, x * x, np.nan), lam, "x0")
-    down = ewm(np.where(x < 0, x * x, np.nan), lam, "x0")
-    return np.sqrt(af * up), np.sqrt(af * down)
+        s, path = float(np.nanmean(side)), np.empty(len(x))
+        for t, v in enumerate(side):
+            s = lam * s + (1 - lam) * v if t and np.isfinite(v) else s
+            path[t] = s
+        out.append(np.sqrt(af * path))
+    return out[0], out[1]
 
 
 # --- portfolios ----------------------------------------------------------------------------------------------

@@ -62,11 +62,12 @@ def newey_west_vol(panel: DataFrame, span: float, lags: int = 2, af: float = 1.0
     return scan(panel, run, OUT + ", nw_ratio double")
 
 
-def up_down_vol(panel: DataFrame, span: float, af: float = 1.0) -> DataFrame:
+def up_down_vol(panel: DataFrame, span: float, af: float = 1.0, init: str = "mean") -> DataFrame:
+    """EWM volatility of gains (up) and of losses (down)."""
     d = k.decay(span)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        up, down = k.up_down_vol(g["value"].to_numpy(float), d, af)
+        up, down = k.up_down_vol(g["value"].to_numpy(float), d, af, init)
         return g.assign(up=up, down=down)
 
     return scan(panel, run, "ts date, asset string, up double, down double")
@@ -125,21 +126,29 @@ def beta_alpha(pairs: DataFrame, span: float) -> DataFrame:
     return scan(pairs, run, "ts date, asset string, beta double, alpha double, prediction double, r2 double")
 
 
-def ewm_sharpe(returns: DataFrame, span: float, norm: int = 1) -> DataFrame:
-    """EWM mean over EWM volatility; norm 1 plain, 2 times the unit-variance load, 0 the mean of ratios."""
+def ewm_sharpe(returns: DataFrame, span: float, norm: int = 1, af: float = 1.0, initial: float | None = None) -> DataFrame:
+    """Annualised EWM Sharpe ratio: norm 0 the mean alone, 1 over the root of the mean square, 2 over the deviation from the EWM mean.
+
+    Gaps count as 0. initial: a Sharpe ratio at 10 % volatility to start from; without one, mean and variance start at 0.
+    """
+    if norm not in (0, 1, 2):
+        raise ValueError(f"unknown norm {norm}")
     d = k.decay(span)
+    mean0, var0 = (0.0, 0.0) if initial is None else (0.1 * initial / af, 0.01 / af)
 
     def f(x: np.ndarray) -> np.ndarray:
-        m, v = k.ewm(x, d, 0.0), k.ewm_vol(x, d)
+        x = np.nan_to_num(x, nan=0.0)
+        m = k.ewm(x, d, mean0)
         if norm == 0:
-            return k.ewm(np.divide(x, v, out=np.full(len(x), np.nan), where=v > 0), d, 0.0)
-        return np.divide(m, v, out=np.full(len(x), np.nan), where=v > 0) * (k.unit_vol_load(d) if norm == 2 else 1.0)
+            return af * m
+        v = np.sqrt(k.ewm((x - m if norm == 2 else x) ** 2, d, var0))
+        return np.sqrt(af) * np.divide(m, v, out=np.full(len(x), np.nan), where=v > 0)
 
     return one(returns, f)
 
 
-def ewm_sharpe_of_prices(prices: DataFrame, freq: str, span: float) -> DataFrame:
-    return ewm_sharpe(to_returns(resample_last(prices, freq), "log"), span)
+def ewm_sharpe_of_prices(prices: DataFrame, freq: str, span: float, norm: int = 1, af: float = 1.0) -> DataFrame:
+    return ewm_sharpe(to_returns(resample_last(prices, freq), "log"), span, norm, af)
 
 
 def unit_std(panel: DataFrame, span: float) -> DataFrame:
@@ -183,9 +192,15 @@ def winsorise(panel: DataFrame, span: float, quantile: float = 0.025, replace: s
     return one(panel, f)
 
 
-def winsorise_markov(panel: DataFrame, span: float, threshold: float = 5.0) -> DataFrame:
+def winsorise_markov(panel: DataFrame, span: float, threshold: float = 5.0, init: float = 0.0, init_var: float = 0.1) -> DataFrame:
+    """The clean value, with the mean, variance and score that judge it."""
     d = k.decay(span)
-    return one(panel, lambda x: k.winsor_markov(x, d, threshold))
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        clean, mean, var, score = k.winsor_markov(g["value"].to_numpy(float), d, threshold, init, init_var)
+        return g.assign(value=clean, mean=mean, variance=var, score=score)
+
+    return scan(panel, run, OUT + ", mean double, variance double, score double")
 
 
 def filter_outliers(panel: DataFrame, abs_ceil: float | None = None, abs_floor: float | None = None, sigmas: float | None = None) -> DataFrame:

@@ -92,7 +92,7 @@ register("excess_returns", lambda sp, d: returns.excess_returns(p.monthly_return
 register("delever", lambda sp, d: returns.delever(p.monthly_returns(sp, d), 0.5, 0.03, 12), s.q(s.PX, s.ME, s.MR, f"SELECT ts, asset, {s.r('(value + 0.5 * 0.03 / 12) / 1.5')} AS value FROM mr"))
 register("lever", lambda sp, d: returns.lever(p.monthly_returns(sp, d), 0.5, 0.03, 12), s.q(s.PX, s.ME, s.MR, f"SELECT ts, asset, {s.r('1.5 * value - 0.5 * 0.03 / 12')} AS value FROM mr"))
 register("implied_leverage", lambda sp, d: returns.implied_leverage(returns.lever(p.monthly_returns(sp, d), 0.5, 0.03, 12), p.monthly_returns(sp, d)), s.q(s.PX, s.ME, s.MR, f"SELECT asset, {s.r('regr_slope(1.5 * value - 0.00125, value) - 1')} AS leverage FROM mr GROUP BY 1"))
-register("fees_hwm", lambda sp, d: returns.net_of_fees(p.monthly_returns(sp, d)))
+register("fees_hwm", lambda sp, d: returns.net_of_fees(p.monthly_returns(sp, d)), s.RECURSIONS["fees_hwm"])
 register("sampled_vols", lambda sp, d: returns.sampled_vols(returns.to_returns(p.px(sp, d), "log", drop_first=True), cal.sample_windows(cal.schedule(cal.date_range(p.px(sp, d)), "QE")), 365.0).drop("sample"), s.q(s.PX, s.calendar("QE"), "wd AS (SELECT lag(ts) OVER (ORDER BY ts) AS b, ts AS e FROM cal), lr AS (SELECT ts, asset, ln(value) - ln(lag(value) OVER (PARTITION BY asset ORDER BY ts)) AS v FROM px)", f"SELECT asset, e AS ts, {s.r('sqrt(365.0::DOUBLE) * CASE WHEN count(*) >= 20 THEN stddev_samp(v) ELSE sqrt(avg(v * v)) END')} AS value FROM lr JOIN wd ON lr.ts BETWEEN wd.b AND wd.e WHERE v IS NOT NULL GROUP BY 1, 2"))
 
 # --- performance ---------------------------------------------------------------------------------------------
@@ -213,11 +213,13 @@ for key, f in {
     "ewm_long_short": lambda sp, d: ewm.long_short(p.monthly_returns(sp, d), 24, 6),
     "ewm_newey_west": lambda sp, d: ewm.newey_west_vol(p.monthly_returns(sp, d), 12, 2, 12.0),
     "ewm_up_down": lambda sp, d: ewm.up_down_vol(p.monthly_returns(sp, d), 12, 12.0),
-    "ewm_sharpe": lambda sp, d: ewm.ewm_sharpe(p.monthly_returns(sp, d), 12),
+    "ewm_sharpe": lambda sp, d: ewm.ewm_sharpe(p.monthly_returns(sp, d), 12, af=12.0),
+    "ewm_sharpe_mean": lambda sp, d: ewm.ewm_sharpe(p.monthly_returns(sp, d), 12, 0, 12.0),
+    "ewm_sharpe_deviation": lambda sp, d: ewm.ewm_sharpe(p.monthly_returns(sp, d), 12, 2, 12.0),
     "ewm_unit_std": lambda sp, d: ewm.unit_std(p.monthly_returns(sp, d), 12),
     "ewm_score": lambda sp, d: ewm.ewm_score(p.monthly_returns(sp, d), 12),
     "ewm_winsorise": lambda sp, d: ewm.winsorise(p.monthly_returns(sp, d), 12),
-    "ewm_winsor_markov": lambda sp, d: ewm.winsorise_markov(p.monthly_returns(sp, d), 12, 2.0),
+    "ewm_winsor_markov": lambda sp, d: ewm.winsorise_markov(p.monthly_returns(sp, d), 12, 2.0, 0.0, 0.0004),
     "ewm_covariance": lambda sp, d: ewm.covariance_tensor(p.monthly_returns(sp, d), 12, every=12),
     "ewm_correlation": lambda sp, d: ewm.covariance_tensor(p.monthly_returns(sp, d), 12, corr=True, every=12),
     "ewm_covariance_vol_norm": lambda sp, d: ewm.covariance_tensor(p.monthly_returns(sp, d), 12, vol_norm=True, every=12),
@@ -241,7 +243,7 @@ for key, f in {
     "bootstrap_price_paths": lambda sp, d: bs.price_paths(p.monthly_returns(sp, d), bs.index_table(sp, "stationary", 60, 5, block=6)),
     "bootstrap_ar1_paths": lambda sp, d: bs.ar1_paths(p.monthly_returns(sp, d), bs.index_table(sp, "iid", 60, 5)),
 }.items():
-    register(key, f)
+    register(key, f, s.RECURSIONS.get(key))
 register("filter_outliers", lambda sp, d: ewm.filter_outliers(p.monthly_returns(sp, d), 0.2, -0.2, 2.0), s.q(s.PX, s.ME, s.MR, "f AS (SELECT ts, asset, CASE WHEN value BETWEEN -0.2 AND 0.2 THEN value END AS v FROM mr), z AS (SELECT *, avg(v) OVER w AS mu, stddev_pop(v) OVER w AS sd FROM f WINDOW w AS (PARTITION BY asset))", f"SELECT ts, asset, CASE WHEN abs(v - mu) <= 2 * sd THEN {s.r('v')} END AS value FROM z"))
 register("demeaned_insample", lambda sp, d: ewm.rolling_demeaned(p.monthly_returns(sp, d), "insample"), s.q(s.PX, s.ME, s.MR, f"SELECT ts, asset, {s.r('value - avg(value) OVER (PARTITION BY asset)')} AS value FROM mr"))
 register("demeaned_expanding", lambda sp, d: ewm.rolling_demeaned(p.monthly_returns(sp, d), "expanding"), s.q(s.PX, s.ME, s.MR, f"SELECT ts, asset, {s.r('value - avg(value) OVER (PARTITION BY asset ORDER BY ts)')} AS value FROM mr"))
@@ -364,7 +366,7 @@ register("format_strings", lambda sp, d: p.monthly_returns(sp, d).select("ts", "
 register("date_functions", lambda sp, d: p.px(sp, d).select("ts").distinct().select("ts", F.weekday("ts").alias("weekday"), x.is_leap(F.year("ts")).alias("leap"), x.month_days(F.year("ts"), F.month("ts")).alias("days"), x.shift_year(F.col("ts")).alias("next_year")), s.q(s.PX, "SELECT DISTINCT ts, CAST(isodow(ts) - 1 AS INTEGER) AS weekday, (year(ts) % 4 = 0 AND (year(ts) % 100 <> 0 OR year(ts) % 400 = 0)) AS leap, CAST(day(last_day(ts)) AS INTEGER) AS days, CAST(ts + INTERVAL 12 MONTH AS DATE) AS next_year FROM px"))
 register("signal_map_laplace", lambda sp, d: p.monthly_returns(sp, d).withColumn("value", x.laplace_weight(F.col("value"), 0.0, 0.1)), s.q(s.PX, s.ME, s.MR, f"SELECT ts, asset, CASE WHEN value < 0 THEN {s.r('exp(value / 0.1) - 1')} ELSE {s.r('1 - exp(-value / 0.1)')} END AS value FROM mr"))
 register("signal_map_normal", lambda sp, d: p.monthly_returns(sp, d).withColumn("value", x.normal_weight(F.col("value"), 0.0, 0.1)))
-register("signal_map_exp_tail", lambda sp, d: p.monthly_returns(sp, d).withColumn("value", x.exp_tail_weight(F.col("value"), 0.0, 0.1, 5.0, 5.0, 2.0, 2.0)), s.q(s.PX, s.ME, s.MR, f"SELECT ts, asset, {s.r('greatest(-1, least(1, CASE WHEN value > 0.1 THEN 0.5 * exp(-(value - 0.1) * 2) WHEN value < -0.1 THEN -0.5 * exp((value + 0.1) * 2) ELSE 5 * value END))')} AS value FROM mr"))
+register("signal_map_exp_tail", lambda sp, d: p.monthly_returns(sp, d).withColumn("value", x.exp_tail_weight(F.col("value") * 40, 0.01, 0.05, 0.5, 0.3, 1.0, 2.0, 3.0)), s.q(s.PX, s.ME, s.MR, "v40 AS (SELECT ts, asset, value * 40 AS value FROM mr)", f"SELECT ts, asset, {s.r(s.EXP_TAIL)} AS value FROM v40"))
 
 # --- figures and reports -------------------------------------------------------------------------------------
 
@@ -452,7 +454,7 @@ register("backfill_prices", lambda sp, d: panel.backfill_prices(p.monthly(sp, d)
 register("append_series", lambda sp, d: panel.append_series(p.monthly(sp, d).filter("ts >= date '1996-01-01'"), p.monthly(sp, d).filter("ts < date '1996-06-01'")), s.q(s.PX, s.ME, f"SELECT ts, asset, {s.r('value')} AS value FROM m"))
 register("fixed_maturity_rolls", lambda sp, d: cal.roll_schedule(p.px(sp, d).select("ts").distinct(), cal.schedule(cal.date_range(p.px(sp, d)), "Q-3FRI"), 5), s.q(s.PX, s.calendar("Q-3FRI"), "SELECT px.ts, min(cal.ts) AS expiry FROM (SELECT DISTINCT ts FROM px) px JOIN cal ON date_diff('day', px.ts, cal.ts) >= 5 GROUP BY 1"))
 register("train_live_samples", lambda sp, d: cal.train_live(cal.schedule(cal.date_range(p.px(sp, d)), "QE"), 4), s.q(s.PX, s.calendar("QE"), "z AS (SELECT lag(ts, 4) OVER w AS start, ts AS train_end, lead(ts) OVER w AS live_end FROM cal WINDOW w AS (ORDER BY ts))", "SELECT * FROM z WHERE start IS NOT NULL AND live_end IS NOT NULL"))
-register("net_nav_of_prices", lambda sp, d: returns.net_of_fees(returns.to_returns(p.monthly(sp, d), zero_first=True), 0.01, 0.1, "QE"))
+register("net_nav_of_prices", lambda sp, d: returns.net_of_fees(returns.to_returns(p.monthly(sp, d), zero_first=True), 0.01, 0.1, "QE"), s.RECURSIONS["net_nav_of_prices"])
 
 # --- streams: the events table read as a stream to its end ---------------------------------------------------
 

@@ -93,3 +93,100 @@ BRINSON = (
     "gw AS (SELECT ts, grp, sum(w) AS ws, sum(0.2::DOUBLE) AS wb FROM lw GROUP BY 1, 2), gp AS (SELECT lw.ts, grp, sum(ls * v) AS ps, sum(0.2::DOUBLE * v) AS pb FROM lw JOIN pr ON pr.ts = lw.ts AND pr.asset = lw.asset WHERE ls IS NOT NULL AND v IS NOT NULL GROUP BY 1, 2), "
     "gb AS (SELECT gw.ts, gw.grp, ws, wb, ps, pb FROM gw JOIN gp ON gp.ts = gw.ts AND gp.grp = gw.grp)"
 )
+
+
+def rows_of(name: str, select: str) -> str:
+    """Rows of select(ts, asset, …) numbered in time."""
+    return f"{name} AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY ts) AS k FROM ({select}))"
+
+
+def scan_of(name: str, rows: str, first: dict[str, str], step: dict[str, str]) -> str:
+    """A recursion over numbered rows: columns of the first row (n), then from the row (n) and the state (e)."""
+    a, b = (", ".join(f"{e} AS {c}" for c, e in x.items()) for x in (first, step))
+    return f"{name} AS (SELECT n.ts, n.asset, n.k, {a} FROM {rows} n WHERE n.k = 1 UNION ALL SELECT n.ts, n.asset, n.k, {b} FROM {name} e JOIN {rows} n ON n.asset = e.asset AND n.k = e.k + 1)"
+
+
+def lam(span: float) -> str:
+    return f"(1 - 2.0::DOUBLE / {span + 1})"
+
+
+def ewm_of(name: str, rows: str, span: float, **values: tuple[str, str]) -> str:
+    """EWM means of expressions over n, each with its seed."""
+    return scan_of(name, rows, {c: seed for c, (_, seed) in values.items()}, {c: f"{lam(span)} * e.{c} + (1 - {lam(span)}) * {v}" for c, (v, _) in values.items()})
+
+
+ZERO = "0.0::DOUBLE"
+XY = "bm1 AS (SELECT c.ts, v.value FROM cal c ASOF JOIN bench v ON c.ts >= v.ts), br AS (SELECT ts, value / lag(value) OVER (ORDER BY ts) - 1 AS x FROM bm1), xy AS (SELECT mr.ts, mr.asset, br.x, mr.value AS y FROM mr JOIN br ON br.ts = mr.ts WHERE br.x IS NOT NULL)"
+
+
+def _over_returns(*parts: str) -> str:
+    return q(PX, ME, MR, *parts, recursive=True)
+
+
+def _over_pairs(value: str) -> str:
+    return q(PX, BENCH, ME, MR, XY, rows_of("n0", "SELECT * FROM xy"), ewm_of("ew", "n0", 12, a=("n.x * n.y", ZERO), b=("n.x * n.x", ZERO), c=("n.y * n.y", ZERO)), f"SELECT ts, asset, {r(value)} AS value FROM ew", recursive=True)
+
+
+_ROWS = rows_of("n0", "SELECT * FROM mr")
+_VOL = ewm_of("vol", "n0", 12, v=("n.value * n.value", "n.value * n.value"))
+_RA = f"{_VOL}, ra AS (SELECT n0.ts, n0.asset, n0.k, n0.value / lag(sqrt(v)) OVER (PARTITION BY n0.asset ORDER BY n0.k) AS value FROM n0 JOIN vol ON vol.asset = n0.asset AND vol.k = n0.k)"
+_SCORE = "((n.value - e.m) / sqrt(e.v))"
+_MEAN = f"({lam(12)} * e.m + (1 - {lam(12)}) * n.value)"
+
+
+def _sharpe(value: str, deviation: str) -> str:
+    steps = scan_of("ew", "n0", {"m": ZERO, "v": ZERO}, {"m": _MEAN, "v": f"{lam(12)} * e.v + (1 - {lam(12)}) * {deviation}"})
+    return _over_returns(_ROWS, steps, f"SELECT ts, asset, {r(value)} AS value FROM ew")
+
+
+def _fees(rows: str, man: float, perf: float, period: str) -> str:
+    own = "PARTITION BY asset ORDER BY ts"
+    flagged = f"f0 AS (SELECT ts, asset, coalesce(value, 0) AS value, coalesce(date_trunc('{period}', lead(ts) OVER ({own})) <> date_trunc('{period}', ts), true) AS c, coalesce(date_diff('day', lag(ts) OVER ({own}), ts) / 365.0::DOUBLE, 0) AS dt FROM {rows}), {rows_of('f', 'SELECT * FROM f0')}"
+    gross = lambda nav: f"({nav} * (1 + n.value) * (1 - {man} * n.dt))"
+    paid = lambda nav, mark: f"CASE WHEN n.c AND {gross(nav)} > {mark} THEN {gross(nav)} - {perf} * ({gross(nav)} - {mark}) ELSE {gross(nav)} END"
+    raised = lambda nav, mark: f"CASE WHEN n.c AND {gross(nav)} > {mark} THEN {gross(nav)} - {perf} * ({gross(nav)} - {mark}) ELSE {mark} END"
+    steps = scan_of("path", "f", {"nav": paid("1.0::DOUBLE", "1.0::DOUBLE"), "mark": raised("1.0::DOUBLE", "1.0::DOUBLE")}, {"nav": paid("e.nav", "e.mark"), "mark": raised("e.nav", "e.mark")})
+    return f"{flagged}, {steps}"
+
+
+#: The SQL of ordered recursions, from their definitions.
+RECURSIONS = {
+    "ewm_beta": _over_pairs("CASE WHEN b > 0 THEN a / b END"),
+    "ewm_corr": _over_pairs("CASE WHEN b * c > 0 THEN a / sqrt(b * c) END"),
+    "ewm_long_short": _over_returns(
+        _ROWS, ewm_of("fast", "n0", 6, v=("n.value", ZERO)), ewm_of("slow", "n0", 24, v=("n.value", ZERO)), f"w AS (SELECT {lam(6)} AS b, {lam(24)} AS a)",
+        f"SELECT fast.ts, fast.asset, {r('(fast.v - slow.v) / sqrt((1 - b) / (1 + b) + (1 - a) / (1 + a) - 2 * (1 - a) * (1 - b) / (1 - a * b))')} AS value FROM fast JOIN slow ON slow.asset = fast.asset AND slow.k = fast.k, w",
+    ),
+    "ewm_sharpe": _sharpe("CASE WHEN v > 0 THEN sqrt(12.0::DOUBLE) * m / sqrt(v) END", "n.value ** 2"),
+    "ewm_sharpe_mean": _sharpe("12 * m", "n.value ** 2"),
+    "ewm_sharpe_deviation": _sharpe("CASE WHEN v > 0 THEN sqrt(12.0::DOUBLE) * m / sqrt(v) END", f"(n.value - {_MEAN}) ** 2"),
+    "ewm_up_down": _over_returns(
+        rows_of("n0", "SELECT *, avg(value * value) FILTER (value > 0) OVER (PARTITION BY asset) AS u, avg(value * value) FILTER (value < 0) OVER (PARTITION BY asset) AS d FROM mr"),
+        scan_of("ew", "n0", {"u": "n.u", "d": "n.d"}, {c: f"CASE WHEN n.value {sign} 0 THEN {lam(12)} * e.{c} + (1 - {lam(12)}) * n.value ** 2 ELSE e.{c} END" for c, sign in (("u", ">"), ("d", "<"))}),
+        f"SELECT ts, asset, {r('sqrt(12 * u)')} AS up, {r('sqrt(12 * d)')} AS down FROM ew",
+    ),
+    "ewm_unit_std": _over_returns(
+        _ROWS, _VOL, rows_of("z", "SELECT n0.ts, n0.asset, n0.value / sqrt(v) AS value FROM n0 JOIN vol ON vol.asset = n0.asset AND vol.k = n0.k"), ewm_of("ew", "z", 12, v=("n.value", ZERO)),
+        f"SELECT ts, asset, {r(f'v * sqrt((1 + {lam(12)}) / (1 - {lam(12)}))')} AS value FROM ew",
+    ),
+    "ewm_winsor_markov": _over_returns(
+        _ROWS,
+        scan_of("ew", "n0", {"m": ZERO, "v": "0.0004::DOUBLE", "c": "NULL::DOUBLE", "z": ZERO}, {
+            "m": f"CASE WHEN abs({_SCORE}) >= 2 THEN e.m ELSE {_MEAN} END", "v": f"CASE WHEN abs({_SCORE}) >= 2 THEN e.v ELSE {lam(12)} * e.v + (1 - {lam(12)}) * (n.value - {_MEAN}) ** 2 END",
+            "c": f"CASE WHEN abs({_SCORE}) >= 2 THEN e.c ELSE n.value END", "z": _SCORE,
+        }),
+        f"SELECT ts, asset, {r('c')} AS value, {r('m')} AS mean, {r('v')} AS variance, {r('z')} AS score FROM ew",
+    ),
+    "ra_returns": _over_returns(_ROWS, _RA, f"SELECT ts, asset, {r('value * 0.1 / sqrt(12.0::DOUBLE)')} AS value FROM ra"),
+    "ra_momentum": _over_returns(
+        _ROWS, _RA, rows_of("z", "SELECT ts, asset, value FROM ra WHERE value IS NOT NULL"), ewm_of("ew", "z", 6, v=("n.value", ZERO)),
+        f"SELECT n0.ts, n0.asset, {r(f'v * sqrt((1 + {lam(6)}) / (1 - {lam(6)}))')} AS value FROM n0 LEFT JOIN ew ON ew.asset = n0.asset AND ew.ts = n0.ts",
+    ),
+    "rolling_ra": _over_returns(_ROWS, _RA, f"SELECT ts, asset, {r('CASE WHEN count(value) OVER w = 6 THEN sum(value) OVER w / sqrt(6.0::DOUBLE) END')} AS value FROM ra WINDOW w AS (PARTITION BY asset ORDER BY ts ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)"),
+    "fees_hwm": _over_returns(_fees("mr", 0.02, 0.2, "year"), f"SELECT ts, asset, {r('nav')} AS value FROM path"),
+    "net_nav_of_prices": q(PX, ME, "zr AS (SELECT ts, asset, value / lag(value) OVER (PARTITION BY asset ORDER BY ts) - 1 AS value FROM m)", _fees("zr", 0.01, 0.1, "quarter"), f"SELECT ts, asset, {r('nav')} AS value FROM path", recursive=True),
+}
+EXP_TAIL = (
+    "CASE WHEN value < 0.01 THEN -1 ELSE 1 END * (1 - exp(-((value - 0.01) ** 2) / (1.5625 * 0.05 / ln(1.0::DOUBLE / (1 - CASE WHEN value < 0.01 THEN 0.3 ELSE 0.5 END)))))"
+    " * CASE WHEN value - 1 - 0.01 > 0 THEN exp(-(value - 1 - 0.01) / 2) WHEN value + 1 < 0 THEN exp((value + 1) / 3) ELSE 1 END"
+)
