@@ -315,7 +315,7 @@ for key, f in {
     "discrete_replay": lambda sp, d: replay.daily_positions(_replay(sp, d)),
     "realised_tracking_error": lambda sp, d: risk.realised_tracking_error(p.monthly(sp, d), cal.resample_last(p.bench(sp, d), "ME"), 12, 12.0),
 }.items():
-    register(key, f)
+    register(key, f, s.LEDGERS.get(key))
 
 
 class BuyAndTrim:
@@ -410,7 +410,7 @@ def _two(sp: SparkSession, d: str) -> DataFrame:
 for name in ("performance", "regimes", "correlation", "rolling_sharpe", "periods", "scatter"):
     register(f"factsheet_{name}", lambda sp, d, name=name: reports.factsheet(p.px(sp, d), p.bench(sp, d), "monthly")[name])
 for name in ("attribution", "turnover", "performance", "group_exposures"):
-    register(f"strategy_factsheet_{name}", lambda sp, d, name=name: reports.strategy(_ledger(sp, d), _prio_groups(sp, d), _prio_bench(sp, d), reports.make_config("monthly"))[name])
+    register(f"strategy_factsheet_{name}", lambda sp, d, name=name: reports.strategy(_ledger(sp, d), _prio_groups(sp, d), _prio_bench(sp, d), reports.make_config("monthly"))[name], s.LEDGERS.get(f"strategy_factsheet_{name}"))
 for name in ("brinson_totals", "tracking", "ewm_tracking", "active_weights"):
     register(f"strategy_benchmark_{name}", lambda sp, d, name=name: reports.strategy_benchmark(_two(sp, d), "a", "b", _prio_groups(sp, d), reports.make_config("monthly"))[name])
 register("multi_strategy_performance", lambda sp, d: reports.multi_strategy(_two(sp, d), _prio_bench(sp, d), reports.make_config("monthly"))["performance"])

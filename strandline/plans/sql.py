@@ -190,3 +190,53 @@ EXP_TAIL = (
     "CASE WHEN value < 0.01 THEN -1 ELSE 1 END * (1 - exp(-((value - 0.01) ** 2) / (1.5625 * 0.05 / ln(1.0::DOUBLE / (1 - CASE WHEN value < 0.01 THEN 0.3 ELSE 0.5 END)))))"
     " * CASE WHEN value - 1 - 0.01 > 0 THEN exp(-(value - 1 - 0.01) / 2) WHEN value + 1 < 0 THEN exp((value + 1) / 3) ELSE 1 END"
 )
+
+
+_VALUE = "(e.v * d.sh + e.cash)"
+_PAID = f"(0.001::DOUBLE * list_sum([abs({_VALUE} * x[1] - e.v * x[2]) for x in list_zip(d.w, d.h)]))"
+#: The ledger of monthly rebalancing to wprio at 0.1 % of the traded value: v is the value before costs, h an old position's value over v.
+LEDGER = (
+    "gd AS (SELECT t.ts, a.asset, last_value(prio.value IGNORE NULLS) OVER (PARTITION BY a.asset ORDER BY t.ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS price, coalesce(wprio.value, 0) AS w FROM (SELECT DISTINCT ts FROM prio) t CROSS JOIN (SELECT DISTINCT asset FROM prio) a LEFT JOIN prio ON prio.ts = t.ts AND prio.asset = a.asset LEFT JOIN wprio ON wprio.ts = t.ts AND wprio.asset = a.asset), "
+    "gh AS (SELECT *, coalesce(lag(w) OVER o * price / lag(price) OVER o, 0) AS h FROM gd WINDOW o AS (PARTITION BY asset ORDER BY ts)), "
+    "dy AS (SELECT *, row_number() OVER (ORDER BY ts) AS k FROM (SELECT ts, list(w ORDER BY asset) AS w, list(h ORDER BY asset) AS h, sum(w) AS sw, sum(h) AS sh FROM gh GROUP BY ts)), "
+    f"path AS (SELECT ts, k, 100.0::DOUBLE AS v, 0.0::DOUBLE AS paid, 100 * (1 - sw) AS cash, NULL::DOUBLE AS before FROM dy WHERE k = 1 UNION ALL SELECT d.ts, d.k, {_VALUE}, {_PAID}, {_VALUE} * (1 - d.sw) - {_PAID}, e.v FROM path e JOIN dy d ON d.k = e.k + 1), "
+    "ledger AS (SELECT 'p' AS portfolio, gh.ts, asset, price, w * v / (v - paid) AS weight, coalesce(v * w / price, 0) AS units, CASE WHEN before IS NULL THEN 0 ELSE 0.001::DOUBLE * abs(v * w - before * h) END AS cost, v - paid AS nav, cash FROM gh JOIN path ON path.ts = gh.ts), "
+    "pnl AS (SELECT portfolio, ts, asset, coalesce(lag(weight) OVER o * (price / lag(price) OVER o - 1), 0) AS value FROM ledger WINDOW o AS (PARTITION BY asset ORDER BY ts))"
+)
+
+
+def _of_ledger(*parts: str) -> str:
+    return q(PRIO, WPRIO, LEDGER, *parts, recursive=True)
+
+
+def _rolled(value: str) -> str:
+    return f"SELECT portfolio, ts, {r(f'CASE WHEN count({value}) OVER o = 12 THEN sum({value}) OVER o END')} AS value FROM byd WINDOW o AS (ORDER BY ts ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)"
+
+
+_EXPOSURES = f"{r('sum(weight)')} AS net, {r('coalesce(sum(weight) FILTER (weight > 0), 0)')} AS long, {r('coalesce(sum(weight) FILTER (weight < 0), 0)')} AS short, {r('sum(abs(weight))')} AS gross"
+_ATTRIBUTION = _of_ledger(f"SELECT portfolio, coalesce(asset, 'Total') AS asset, {r('sum(value)')} AS value FROM pnl GROUP BY GROUPING SETS ((portfolio, asset), (portfolio))")
+_TURNOVER = _of_ledger(
+    "tr AS (SELECT *, abs(units - coalesce(lag(units) OVER (PARTITION BY asset ORDER BY ts), 0)) * price AS traded FROM ledger), byd AS (SELECT portfolio, ts, sum(traded) / sum(abs(units * price)) AS t FROM tr GROUP BY 1, 2)", _rolled("t")
+)
+LEDGERS = {
+    "backtest_ledger": _of_ledger("SELECT portfolio, ts, asset, " + ", ".join(f"{r(c)} AS {c}" for c in ("price", "weight", "units", "cost", "nav", "cash")) + ", true AS is_rebalancing FROM ledger"),
+    "backtest_nav": _of_ledger(f"SELECT DISTINCT ts, portfolio AS asset, {r('nav')} AS value FROM ledger"),
+    "turnover": _TURNOVER,
+    "costs": _of_ledger("byd AS (SELECT portfolio, ts, sum(cost) / any_value(nav) AS c FROM ledger GROUP BY 1, 2)", _rolled("c")),
+    "instrument_pnl": _of_ledger(f"SELECT portfolio, ts, asset, {r('value')} AS value FROM pnl"),
+    "attribution": _ATTRIBUTION,
+    "attribution_tails": _of_ledger(
+        "a AS (SELECT asset, sum(value) AS value FROM pnl GROUP BY 1), b AS (SELECT *, row_number() OVER (ORDER BY value DESC, asset) AS u, row_number() OVER (ORDER BY value, asset DESC) AS d, min(value) OVER () >= 0 AS pos, max(value) OVER () <= 0 AS neg FROM a)",
+        f"SELECT CASE WHEN CASE WHEN pos THEN u <= 2 WHEN neg THEN d <= 2 ELSE u <= 1 OR d <= 1 END THEN asset ELSE 'Other' END AS asset, {r('sum(value)')} AS value FROM b GROUP BY 1",
+    ),
+    "instrument_navs": _of_ledger(f"SELECT portfolio, ts, asset, {r('product(1 + value) OVER (PARTITION BY asset ORDER BY ts)')} AS value FROM pnl"),
+    "exposures": _of_ledger(f"SELECT portfolio, ts, {_EXPOSURES} FROM ledger GROUP BY 1, 2"),
+    "investable": _of_ledger("SELECT portfolio, ts, count(price) AS priced, count(*) FILTER (abs(weight) > 1e-6) AS held FROM ledger GROUP BY 1, 2"),
+    "instrument_table": _of_ledger(
+        "i AS (SELECT portfolio, asset, avg(weight) AS w, arg_max(price, ts) / arg_min(price, ts) - 1 AS t FROM ledger WHERE price IS NOT NULL GROUP BY 1, 2)", f"SELECT portfolio, asset, {r('w')} AS mean_weight, {r('t')} AS total_return, {r('w * t')} AS contribution FROM i"
+    ),
+    "pnl_risk_attribution": _of_ledger("i AS (SELECT portfolio, asset, stddev_pop(value) FILTER (value <> 0) AS std FROM pnl GROUP BY 1, 2)", f"SELECT portfolio, asset, {r('std')} AS std, {r('std / sum(std) OVER ()')} AS share FROM i"),
+    "strategy_factsheet_attribution": _ATTRIBUTION,
+    "strategy_factsheet_turnover": _TURNOVER,
+    "strategy_factsheet_group_exposures": _of_ledger(f"SELECT portfolio, ts, CASE WHEN asset < '3' THEN 'high' ELSE 'low' END AS grp, {_EXPOSURES} FROM ledger GROUP BY 1, 2, 3"),
+}
