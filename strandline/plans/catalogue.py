@@ -407,14 +407,17 @@ def _two(sp: SparkSession, d: str) -> DataFrame:
     return portfolio.backtest(p.px_prio(sp, d), a.unionByName(b).select("portfolio", "ts", "asset", "value"))
 
 
+#: A monthly factsheet has the monthly tables above, and quarterly ones of the same form.
+_QUARTERLY = {key: SQL[key].replace(s.calendar("ME"), s.calendar("QE")).replace("sqrt(12.0::DOUBLE)", "sqrt(4.0::DOUBLE)") for key in ("regime_sharpe", "figure_periodic_table", "figure_scatter")}
+_SHEET_SQL = {"performance": SQL["ra_perf_table"], "regimes": _QUARTERLY["regime_sharpe"], "correlation": SQL["corr_pairs"], "rolling_sharpe": SQL["rolling_sharpe"], "periods": _QUARTERLY["figure_periodic_table"], "scatter": _QUARTERLY["figure_scatter"]}
 for name in ("performance", "regimes", "correlation", "rolling_sharpe", "periods", "scatter"):
-    register(f"factsheet_{name}", lambda sp, d, name=name: reports.factsheet(p.px(sp, d), p.bench(sp, d), "monthly")[name])
+    register(f"factsheet_{name}", lambda sp, d, name=name: reports.factsheet(p.px(sp, d), p.bench(sp, d), "monthly")[name], _SHEET_SQL[name])
 for name in ("attribution", "turnover", "performance", "group_exposures"):
     register(f"strategy_factsheet_{name}", lambda sp, d, name=name: reports.strategy(_ledger(sp, d), _prio_groups(sp, d), _prio_bench(sp, d), reports.make_config("monthly"))[name], s.LEDGERS.get(f"strategy_factsheet_{name}"))
 for name in ("brinson_totals", "tracking", "ewm_tracking", "active_weights"):
     register(f"strategy_benchmark_{name}", lambda sp, d, name=name: reports.strategy_benchmark(_two(sp, d), "a", "b", _prio_groups(sp, d), reports.make_config("monthly"))[name])
 register("multi_strategy_performance", lambda sp, d: reports.multi_strategy(_two(sp, d), _prio_bench(sp, d), reports.make_config("monthly"))["performance"])
-register("weight_changes", lambda sp, d: reports.weight_changes(_ledger(sp, d)))
+register("weight_changes", lambda sp, d: reports.weight_changes(_ledger(sp, d)), s.LEDGERS["weight_changes"])
 
 # --- factor models, signals, further risk --------------------------------------------------------------------
 

@@ -236,6 +236,9 @@ LEDGERS = {
         "i AS (SELECT portfolio, asset, avg(weight) AS w, arg_max(price, ts) / arg_min(price, ts) - 1 AS t FROM ledger WHERE price IS NOT NULL GROUP BY 1, 2)", f"SELECT portfolio, asset, {r('w')} AS mean_weight, {r('t')} AS total_return, {r('w * t')} AS contribution FROM i"
     ),
     "pnl_risk_attribution": _of_ledger("i AS (SELECT portfolio, asset, stddev_pop(value) FILTER (value <> 0) AS std FROM pnl GROUP BY 1, 2)", f"SELECT portfolio, asset, {r('std')} AS std, {r('std / sum(std) OVER ()')} AS share FROM i"),
+    "weight_changes": _of_ledger(
+        "c AS (SELECT *, lag(weight) OVER (PARTITION BY asset ORDER BY ts) AS b FROM ledger)", f"SELECT portfolio, asset, {r('b')} AS before, {r('weight')} AS now, {r('weight - coalesce(b, 0)')} AS change FROM c WHERE ts = (SELECT max(ts) FROM ledger)"
+    ),
     "strategy_factsheet_attribution": _ATTRIBUTION,
     "strategy_factsheet_turnover": _TURNOVER,
     "strategy_factsheet_group_exposures": _of_ledger(f"SELECT portfolio, ts, CASE WHEN asset < '3' THEN 'high' ELSE 'low' END AS grp, {_EXPOSURES} FROM ledger GROUP BY 1, 2, 3"),
