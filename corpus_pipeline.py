@@ -20,31 +20,31 @@ from strandline.session import ship
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found."""
+    """Documents that a set of languages explains better than noise; a null text, or one without a letter, goes."""
     ship(spark)
     return keep_identified(docs, Model.learn(docs.filter(~held_out()).select("text", "lang")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five words, similarity 0.8."""
+    """One document of each group of near copies: five words, similarity 0.8. Null and empty texts stay, and rows with a null doc_id that are no copies."""
     ship(spark)
     return keep_one(docs, k=5, percent=80)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without what an earlier one has too."""
+    """Documents without what an earlier one has too (a null doc_id comes last); one of which nothing is left goes, null texts stay."""
     ship(spark)
     return remove_repeats(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them; a null source is one like others."""
     ship(spark)
     return mixed_documents(docs, WEIGHTS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 4096 tokens."""
+    """The pieces of all documents in sequences of 4096 tokens; a null text has the end mark only."""
     ship(spark)
     return pack_documents(docs, tokenizer_path())
 
