@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,6 +42,54 @@ class TimePeriod:
             out = out | (F.col("ts") >= F.lit(self.end).cast("date"))
         return panel.withColumn("value", F.when(out, F.lit(fill)).otherwise(F.col("value")))
 
+    def shifted(self, start_days: int = 0, end_days: int = 0) -> TimePeriod:
+        """Sides moved by days, back if negative; an open side stays open."""
+        return TimePeriod(_moved(self.start, start_days), _moved(self.end, end_days))
+
+    def years_to_end(self, n: int) -> TimePeriod:
+        """The n years up to the end (29 February counts as the 28th); the same period if the end is open."""
+        if not self.end:
+            return self
+        end = date.fromisoformat(self.end)
+        day = 28 if (end.month, end.day) == (2, 29) else end.day
+        return TimePeriod(end.replace(year=end.year - n, day=day).isoformat(), self.end)
+
+    def years(self, today: date | None = None) -> float:
+        """Length in years of 365 days; an open end is today."""
+        if not self.start:
+            raise ValueError("the start is open")
+        end = date.fromisoformat(self.end) if self.end else today or date.today()
+        return (end - date.fromisoformat(self.start)).days / 365.0
+
+    def label(self, separator: str = " - ", next_day: bool = False, pattern: str = "%d%b%Y") -> str:
+        """Both sides as text, nothing for an open one; next_day: from the day after the start."""
+        sides = (_moved(self.start, int(next_day)), self.end)
+        return separator.join(date.fromisoformat(x).strftime(pattern) if x else "" for x in sides)
+
+
+def _moved(day: str | None, days: int) -> str | None:
+    return (date.fromisoformat(day) + timedelta(days)).isoformat() if day else None
+
+
+def year_to_date(today: date, offset: int = -1) -> TimePeriod:
+    """From the last day of the year before to today plus the offset in days."""
+    end = today + timedelta(offset)
+    return TimePeriod(date(end.year - 1, 12, 31).isoformat(), end.isoformat())
+
+
+def period_label(panel: DataFrame, separator: str = ":", pattern: str = "ddMMMyyyy") -> DataFrame:
+    """label: the first and the last date of a panel, in one row."""
+    ends = date_range(panel)
+    return ends.select(F.concat(F.date_format("start", pattern), F.lit(separator), F.date_format("end", pattern)).alias("label"))
+
+
+def with_tail(resampled: DataFrame, panel: DataFrame, agg: str = "last") -> DataFrame:
+    """A resampled panel, and one row an asset, on the panel's last date, of what comes after the resampled dates: its last value, sum, avg, min or max."""
+    ends = panel.agg(F.max("ts").alias("_last")).crossJoin(resampled.agg(F.max("ts").alias("_done")))
+    rest = panel.crossJoin(ends).filter("ts > _done")
+    value = F.max_by("value", "ts") if agg == "last" else getattr(F, agg)("value")
+    return resampled.select("ts", "asset", "value").unionByName(rest.groupBy("asset").agg(F.max("_last").alias("ts"), value.alias("value")).select("ts", "asset", "value"))
+
 
 def truncate_before(panel: DataFrame, start: str) -> DataFrame:
     """Rows from start on, and the last row before it if start itself is no row."""

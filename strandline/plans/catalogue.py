@@ -54,6 +54,8 @@ for kind, expr in (("relative", "value / lag(value) OVER w - 1"), ("log", "ln(va
     register(f"returns_{kind}", lambda sp, d, kind=kind: returns.to_returns(p.px(sp, d), kind), s.q(s.PX, f"SELECT ts, asset, {s.r(expr)} AS value FROM px WINDOW w AS (PARTITION BY asset ORDER BY ts)"))
 for key, freq in (("month_end", "ME"), ("quarter", "QE"), ("w_fri", "W-FRI"), ("year_end", "YE"), ("half_year", "SE"), ("business_day", "B"), ("last_friday", "M-FRI"), ("third_friday", "Q-3FRI")):
     register(f"resample_{key}", lambda sp, d, freq=freq: cal.resample_last(p.px(sp, d), freq), s.q(s.PX, s.calendar(freq), s.asof("px", "cal", "m"), f"SELECT ts, asset, {s.r('value')} AS value FROM m"))
+register("period_label", lambda sp, d: cal.period_label(p.px(sp, d)), s.q(s.PX, "SELECT strftime(min(ts), '%d%b%Y') || ':' || strftime(max(ts), '%d%b%Y') AS label FROM px"))
+register("resample_with_tail", lambda sp, d: cal.with_tail(cal.resample_last(p.px(sp, d), "QE"), p.px(sp, d), "avg"), s.q(s.PX, s.calendar("QE"), s.asof("px", "cal", "m"), f"SELECT ts, asset, {s.r('value')} AS value FROM m UNION ALL SELECT (SELECT max(ts) FROM px), asset, {s.r('avg(value)')} FROM px WHERE ts > (SELECT max(ts) FROM m) GROUP BY asset"))
 for agg, expr in (("sum", "sum(value)"), ("avg", "avg(value)"), ("last", "arg_max(value, ts)"), ("min", "min(value)"), ("max", "max(value)")):
     register(f"resample_{agg}_month", lambda sp, d, agg=agg: cal.resample_agg(p.px(sp, d), "ME", agg), s.q(s.PX, f"SELECT last_day(ts) AS ts, asset, {s.r(expr)} AS value FROM px GROUP BY 1, 2"))
 register("resample_every_n", lambda sp, d: cal.resample_every(p.px(sp, d), 10), s.q(s.PX, "n AS (SELECT *, (row_number() OVER (PARTITION BY asset ORDER BY ts DESC) - 1) // 10 AS b FROM px)", f"SELECT max(ts) AS ts, asset, {s.r('sum(value)')} AS value FROM n GROUP BY asset, b"))
