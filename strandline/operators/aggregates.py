@@ -44,7 +44,7 @@ def clipped(panel: DataFrame, axis: str, low: float, high: float, drop: bool = F
 
 def weighted_mean(panel: DataFrame, weights: DataFrame, axis: str = "ts") -> DataFrame:
     """Weights (asset, weight) are renormalised over what is observed."""
-    both = panel.join(F.broadcast(weights), "asset")
+    both = panel.join(weights, "asset")
     seen = F.when(F.col("value").isNotNull(), F.col("weight"))
     return both.groupBy(axis).agg(F.try_divide(F.sum(F.col("weight") * F.col("value")), F.sum(seen)).alias("value"), F.sum(F.col("weight") * F.col("value")).alias("sum"))
 

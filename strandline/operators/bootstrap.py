@@ -29,7 +29,7 @@ def index_table(spark: SparkSession, kind: str, n: int, samples: int, length: in
 def positions(panel: DataFrame) -> DataFrame:
     """The panel with src_pos: the number of its date, from 0."""
     dates = panel.select("ts").distinct().withColumn("src_pos", F.row_number().over(Window.orderBy("ts")) - 1)
-    return panel.join(F.broadcast(dates), "ts")
+    return panel.join(dates, "ts")
 
 
 def resample(panel: DataFrame, index: DataFrame) -> DataFrame:
@@ -59,14 +59,14 @@ def ar1_fit(panel: DataFrame) -> DataFrame:
 
 def ar1_residuals(panel: DataFrame) -> DataFrame:
     x = F.lag("value").over(Window.partitionBy("asset").orderBy("ts"))
-    out = panel.withColumn("x", x).filter("x is not null and value is not null").join(F.broadcast(ar1_fit(panel)), "asset")
+    out = panel.withColumn("x", x).filter("x is not null and value is not null").join(ar1_fit(panel), "asset")
     return out.select("ts", "asset", (F.col("value") - F.col("intercept") - F.col("beta") * F.col("x")).alias("value"))
 
 
 def ar1_paths(panel: DataFrame, index: DataFrame, positive: bool = False) -> DataFrame:
     """AR(1) paths of resampled residuals, from each asset's first value."""
     fit = ar1_fit(panel).join(panel.groupBy("asset").agg(F.min_by("value", "ts").alias("first")), "asset")
-    draws = resample(ar1_residuals(panel), index).join(F.broadcast(fit), "asset")
+    draws = resample(ar1_residuals(panel), index).join(fit, "asset")
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("pos")

@@ -214,7 +214,7 @@ def rebalance_flags(panel: DataFrame, freq: str, warmup: int = 0) -> DataFrame:
     """ts, flag: is a date of the panel the first on or after a scheduled one? The first `warmup` flags are off."""
     dates = panel.select("ts").distinct()
     hits = asof_forward(schedule(date_range(panel), freq), dates).select("ts").distinct().withColumn("_n", F.row_number().over(Window.orderBy("ts"))).filter(F.col("_n") > warmup)
-    return dates.join(F.broadcast(hits), "ts", "left").select("ts", F.col("_n").isNotNull().alias("flag"))
+    return dates.join(hits, "ts", "left").select("ts", F.col("_n").isNotNull().alias("flag"))
 
 
 def roll_schedule(dates: DataFrame, expiries: DataFrame, min_days: int = 0) -> DataFrame:

@@ -42,7 +42,7 @@ def regularised(cov: DataFrame, cut: float = 1e-5) -> DataFrame:
 def with_pivot(returns: DataFrame, pivot: str, normalised: bool = True) -> DataFrame:
     """asset, corr of each asset with one of them, without demeaning; over joint dates."""
     p = returns.filter(F.col("asset") == pivot).select("ts", F.col("value").alias("p"))
-    both = returns.join(F.broadcast(p), "ts").filter("p is not null and value is not null")
+    both = returns.join(p, "ts").filter("p is not null and value is not null")
     num = F.sum(F.col("p") * F.col("value"))
     den = F.sqrt(F.sum(F.col("p") * F.col("p")) * F.sum(F.col("value") * F.col("value"))) if normalised else F.count("*").cast("double")
     return both.groupBy("asset").agg(F.try_divide(num, den).alias("corr"))

@@ -290,7 +290,7 @@ def factor_betas(returns: DataFrame, factors: DataFrame, span: float, warmup: in
     """ts, asset, factor, beta: rolling multi-factor betas; the factor panel rides along with each asset as an array."""
     d = k.decay(span)
     wide = factors.groupBy("ts").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("asset", "value")))).alias("f"))
-    both = returns.join(F.broadcast(wide), "ts")
+    both = returns.join(wide, "ts")
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         names = sorted({n for m in g["f"] for n in m})

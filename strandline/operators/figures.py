@@ -21,7 +21,7 @@ def box(df: DataFrame, value: str, *keys: str) -> DataFrame:
     q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     stats = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), q.alias("_q"))
     stats = stats.select(*keys, "n", "mean", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
-    both = df.join(F.broadcast(stats), list(keys)) if keys else df.crossJoin(F.broadcast(stats))
+    both = df.join(stats, list(keys)) if keys else df.crossJoin(F.broadcast(stats))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
     cols = ["n", "mean", "q1", "median", "q3"]
@@ -44,7 +44,7 @@ def density(panel: DataFrame, points: int = 50, floor_zero: bool = False) -> Dat
     s = s.withColumn("h", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).withColumn("lo", F.greatest("lo", F.lit(0.0)) if floor_zero else F.col("lo"))
     grid = s.select("asset", "h", "n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("lo") + i * (F.col("hi") - F.col("lo")) / (points - 1))).alias("x"))
     z = (F.col("x") - F.col("value")) / F.col("h")
-    out = panel.filter("value is not null").join(F.broadcast(grid), "asset").groupBy("asset", "x", "h", "n").agg(F.sum(F.exp(-0.5 * z * z)).alias("s"))
+    out = panel.filter("value is not null").join(grid, "asset").groupBy("asset", "x", "h", "n").agg(F.sum(F.exp(-0.5 * z * z)).alias("s"))
     return out.select("asset", "x", F.try_divide(F.col("s"), F.col("n") * F.col("h") * math.sqrt(2 * math.pi)).alias("y"))
 
 
@@ -99,7 +99,7 @@ def scatter(df: DataFrame, *keys: str) -> DataFrame:
     fit = ols(df, *keys).join(df.groupBy(*keys).agg(F.avg("x").alias("_mx"), F.var_pop("x").alias("_vx"), F.regr_syy("y", "x").alias("_syy")), list(keys)) if keys else None
     if fit is None:
         return scatter(df.withColumn("_all", F.lit(1)), "_all").drop("_all")
-    both = df.join(F.broadcast(fit), list(keys))
+    both = df.join(fit, list(keys))
     s = F.sqrt(F.col("_syy") * (1 - F.col("r2")) / (F.col("n") - 2))
     dx = F.col("x") - F.col("_mx")
     out = both.withColumn("fit", F.col("alpha") + F.col("beta") * F.col("x")).withColumn("band", 1.96 * s * F.sqrt(1 / F.col("n") + F.try_divide(dx * dx, F.col("n") * F.col("_vx"))))
@@ -144,7 +144,7 @@ def best_worst(prices: DataFrame, freq: str, n: int = 10) -> DataFrame:
 def drawdown_paths(prices: DataFrame, top: int = 5) -> DataFrame:
     """asset, position, day, value: drawdowns of the deepest episodes by days since their start."""
     ep = drawdown_episodes(prices, top).select("asset", "position", "start", "end")
-    both = drawdowns(prices).join(F.broadcast(ep), "asset").filter(F.col("ts").between(F.col("start"), F.col("end")))
+    both = drawdowns(prices).join(ep, "asset").filter(F.col("ts").between(F.col("start"), F.col("end")))
     return both.select("asset", "position", F.datediff("ts", "start").alias("day"), "value")
 
 
@@ -182,7 +182,7 @@ def annual_matrix(prices: DataFrame) -> DataFrame:
 
 def regime_regressions(returns: DataFrame, benchmark: DataFrame, regimes: DataFrame) -> DataFrame:
     """Regression of assets on the benchmark in each regime."""
-    both = returns.withColumnRenamed("value", "y").join(F.broadcast(benchmark.select("ts", F.col("value").alias("x"))), "ts").join(F.broadcast(regimes.select("ts", "regime")), "ts")
+    both = returns.withColumnRenamed("value", "y").join(benchmark.select("ts", F.col("value").alias("x")), "ts").join(regimes.select("ts", "regime"), "ts")
     return ols(both.filter("regime is not null"), "asset", "regime")
 
 

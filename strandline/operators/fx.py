@@ -68,7 +68,7 @@ class FxRates:
         spots = asof_backward(self.spots, dates)
         base = spots.filter(F.col("asset") == reference).select("ts", F.col("value").alias("b"))
         local = spots.select("ts", F.col("asset").alias("ccy"), F.col("value").alias("a"))
-        out = prices.join(F.broadcast(currencies), "asset").join(local, ["ts", "ccy"]).join(base, "ts")
+        out = prices.join(currencies, "asset").join(local, ["ts", "ccy"]).join(base, "ts")
         return out.select("ts", "asset", (F.col("value") * F.try_divide(F.col("a"), F.col("b"))).alias("value"))
 
 

@@ -126,9 +126,9 @@ def overlap_difference(newer: DataFrame, older: DataFrame) -> DataFrame:
 def backfill_prices(newer: DataFrame, older: DataFrame) -> DataFrame:
     """Older prices put before the newer ones of each asset, scaled to meet the first newer price."""
     first = newer.filter("value is not null").groupBy("asset").agg(F.min("ts").alias("_first"), F.min_by("value", "ts").alias("_new"))
-    joined = older.join(F.broadcast(first), "asset").filter("ts <= _first and value is not null")
+    joined = older.join(first, "asset").filter("ts <= _first and value is not null")
     anchor = joined.groupBy("asset").agg(F.max_by("value", "ts").alias("_old"))
-    back = joined.join(F.broadcast(anchor), "asset").filter("ts < _first").select("ts", "asset", (F.col("value") * F.try_divide(F.col("_new"), F.col("_old"))).alias("value"))
+    back = joined.join(anchor, "asset").filter("ts < _first").select("ts", "asset", (F.col("value") * F.try_divide(F.col("_new"), F.col("_old"))).alias("value"))
     return newer.unionByName(back)
 
 

@@ -97,7 +97,7 @@ def benchmark_table(prices: DataFrame, benchmark: DataFrame, freq: str = "QE", a
     """alpha (annual), beta, r2, observations and the two-sided p-value of alpha by regression on the benchmark's returns."""
     r = to_returns(resample_last(prices, freq)).filter("value is not null").withColumnRenamed("value", "y")
     b = to_returns(resample_last(benchmark, freq)).filter("value is not null").select("ts", F.col("value").alias("x"))
-    fit = r.join(F.broadcast(b), "ts").groupBy("asset").agg(
+    fit = r.join(b, "ts").groupBy("asset").agg(
         F.regr_slope("y", "x").alias("beta"), F.regr_intercept("y", "x").alias("_a"), F.regr_r2("y", "x").alias("r2"), F.regr_count("y", "x").alias("n"),
         F.regr_sxx("y", "x").alias("_sxx"), F.regr_syy("y", "x").alias("_syy"), F.avg("x").alias("_mx"),
     )

@@ -44,7 +44,7 @@ def placed_weights(prices: DataFrame, weights: DataFrame, lag: int = 0) -> DataF
     both = grid.select("ts", F.col("n").alias("traded")).unionByName(marks)
     found = both.withColumn("at", F.first("traded", ignorenulls=True).over(Window.orderBy("ts", F.col("traded").asc_nulls_first()).rowsBetween(0, Window.unboundedFollowing)))
     snap = found.select("ts", (F.col("at") + lag).alias("n")).groupBy("ts").agg(F.max("n").alias("n"))
-    on = weights.join(F.broadcast(snap), "ts").join(F.broadcast(grid.withColumnRenamed("ts", "traded_ts")), "n")
+    on = weights.join(snap, "ts").join(grid.withColumnRenamed("ts", "traded_ts"), "n")
     return on.select("portfolio", F.col("traded_ts").alias("ts"), "asset", "value")
 
 
@@ -81,7 +81,7 @@ def backtest(prices: DataFrame, weights: DataFrame, costs: Costs | None = None,
 def backtest_fixed(prices: DataFrame, weights: DataFrame, freq: str, costs: Costs | None = None, nav0: float = 100.0) -> DataFrame:
     """Fixed weights (portfolio, asset, weight) put on again at a frequency."""
     dates = rebalance_flags(prices, freq).filter("flag").select("ts")
-    return backtest(prices, dates.crossJoin(F.broadcast(weights)).select("portfolio", "ts", "asset", F.col("weight").alias("value")), costs, nav0)
+    return backtest(prices, dates.crossJoin(weights).select("portfolio", "ts", "asset", F.col("weight").alias("value")), costs, nav0)
 
 
 def portfolio_nav(ledger: DataFrame) -> DataFrame:
@@ -205,7 +205,7 @@ def benchmark_betas(ledger: DataFrame, benchmark: DataFrame, span: float) -> Dat
     px = ledger.select("ts", "asset", F.col("price").alias("value")).distinct()
     x = to_returns(benchmark).select("ts", F.col("value").alias("x"))
     y = to_returns(px).select("ts", "asset", F.col("value").alias("y"))
-    beta = cross_xy(y.join(F.broadcast(x), "ts").filter("x is not null and y is not null"), span).withColumnRenamed("value", "_b")
+    beta = cross_xy(y.join(x, "ts").filter("x is not null and y is not null"), span).withColumnRenamed("value", "_b")
     return ledger.join(beta, ["ts", "asset"]).groupBy("portfolio", "ts").agg(F.sum(F.col("weight") * F.col("_b")).alias("value"))
 
 
@@ -215,7 +215,7 @@ def beta_attribution(portfolio_returns: DataFrame, benchmark_returns: DataFrame,
     b = betas.withColumn("b", F.lag("value").over(w)).select("portfolio", "ts", "b")
     r = portfolio_returns.select(F.col("asset").alias("portfolio"), "ts", F.col("value").alias("r"))
     x = benchmark_returns.select("ts", F.col("value").alias("x"))
-    out = r.join(b, ["portfolio", "ts"]).join(F.broadcast(x), "ts").withColumn("explained", F.col("b") * F.col("x"))
+    out = r.join(b, ["portfolio", "ts"]).join(x, "ts").withColumn("explained", F.col("b") * F.col("x"))
     return out.select("portfolio", "ts", "explained", (F.col("r") - F.col("explained")).alias("residual"))
 
 

@@ -39,7 +39,7 @@ def volatility_regimes(vols: DataFrame, q: Sequence[float] = (0.0, 0.33, 0.66, 1
 
 
 def in_regimes(returns: DataFrame, regimes: DataFrame) -> DataFrame:
-    return returns.join(F.broadcast(regimes.select("ts", "regime")), "ts").filter("regime is not null and value is not null")
+    return returns.join(regimes.select("ts", "regime"), "ts").filter("regime is not null and value is not null")
 
 
 def regime_means(sampled: DataFrame) -> DataFrame:
@@ -54,7 +54,7 @@ def regime_pa(sampled: DataFrame, af: float, total: DataFrame | None = None) ->
     if total is None:
         return out
     gap = F.col("pa_return") - F.sum("pa").over(Window.partitionBy("asset"))
-    return out.join(F.broadcast(total.select("asset", "pa_return")), "asset").withColumn("pa", F.col("pa") + F.col("frequency") * gap).drop("pa_return")
+    return out.join(total.select("asset", "pa_return"), "asset").withColumn("pa", F.col("pa") + F.col("frequency") * gap).drop("pa_return")
 
 
 def regime_sharpe(sampled: DataFrame, af: float) -> DataFrame:

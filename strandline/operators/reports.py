@@ -140,7 +140,7 @@ def weight_changes(ledger: DataFrame, rows: int = 1) -> DataFrame:
 
     w = Window.partitionBy("portfolio", "asset").orderBy("ts")
     last = ledger.groupBy("portfolio").agg(F.max("ts").alias("_last"))
-    out = ledger.withColumn("before", F.lag("weight", rows).over(w)).join(F.broadcast(last), "portfolio").filter("ts = _last")
+    out = ledger.withColumn("before", F.lag("weight", rows).over(w)).join(last, "portfolio").filter("ts = _last")
     return out.select("portfolio", "asset", "before", F.col("weight").alias("now"), (F.col("weight") - F.coalesce("before", F.lit(0.0))).alias("change"))
 
 

@@ -56,7 +56,7 @@ def nav(returns: DataFrame, additive: bool = False, init_value: float = 1.0, ter
     out = returns.withColumn("value", path * init_value)
     if terminal is not None:
         last = F.max_by("value", "ts").over(Window.partitionBy("asset"))
-        out = out.withColumn("_last", last).join(F.broadcast(terminal), "asset").withColumn("value", F.col("value") * F.try_divide(F.col("terminal"), F.col("_last"))).drop("_last", "terminal")
+        out = out.withColumn("_last", last).join(terminal, "asset").withColumn("value", F.col("value") * F.try_divide(F.col("terminal"), F.col("_last"))).drop("_last", "terminal")
     return out
 
 
@@ -96,7 +96,7 @@ def summed_nav(returns: DataFrame, name: str = "portfolio") -> DataFrame:
 def excess_returns(returns: DataFrame, rates: DataFrame) -> DataFrame:
     """Returns less the lagged annual rate for the days since the date before."""
     dt = rates_by_days(rates, returns.select("ts").distinct()).withColumnRenamed("value", "_rf")
-    return returns.join(F.broadcast(dt), "ts").withColumn("value", F.col("value") - F.col("_rf")).drop("_rf")
+    return returns.join(dt, "ts").withColumn("value", F.col("value") - F.col("_rf")).drop("_rf")
 
 
 def excess_nav(prices: DataFrame, rates: DataFrame) -> DataFrame:
@@ -153,7 +153,7 @@ def returns_by_frequency(prices: DataFrame, freqs: DataFrame, calendars: dict[st
     """ts, asset, freq, value: returns of each asset at its own frequency (freqs: asset, freq)."""
     out = None
     for freq, dates in calendars.items():
-        own = prices.join(F.broadcast(freqs.filter(F.col("freq") == freq).select("asset")), "asset", "left_semi")
+        own = prices.join(freqs.filter(F.col("freq") == freq).select("asset"), "asset", "left_semi")
         part = to_returns(asof_backward(own, dates), kind, drop_first=True).withColumn("freq", F.lit(freq))
         out = part if out is None else out.unionByName(part)
     return out

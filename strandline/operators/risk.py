@@ -85,7 +85,7 @@ def benchmark_loadings(cov: DataFrame, benchmark: DataFrame) -> DataFrame:
     b = benchmark.select("ts", F.col("asset").alias("asset_j"), F.col("value").alias("b"))
     s = cov.join(b, ["ts", "asset_j"]).groupBy("ts", F.col("asset_i").alias("asset")).agg(F.sum(F.col("cov") * F.col("b")).alias("s"))
     var = quadratic(cov, benchmark, benchmark).withColumnRenamed("value", "v")
-    return s.join(F.broadcast(var), "ts").select("ts", "asset", F.try_divide(F.col("s"), F.col("v")).alias("value"))
+    return s.join(var, "ts").select("ts", "asset", F.try_divide(F.col("s"), F.col("v")).alias("value"))
 
 
 def factor_exposures(loadings: DataFrame, weights: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ def marginal_active_risk(loadings: DataFrame, factor_cov: DataFrame, residual_va
     fe = factor_cov.join(e.select("ts", F.col("asset").alias("asset_j"), F.col("value").alias("b")), ["ts", "asset_j"]).groupBy("ts", F.col("asset_i").alias("factor")).agg(F.sum(F.col("cov") * F.col("b")).alias("fe"))
     f = loadings.join(fe, ["ts", "factor"]).groupBy("ts", "asset").agg(F.sum(F.col("beta") * F.col("fe")).alias("f"))
     total = factor_risk(loadings, factor_cov, residual_var, d).select("ts", "total")
-    out = f.join(d, ["ts", "asset"]).join(residual_var, ["ts", "asset"]).join(F.broadcast(total), "ts")
+    out = f.join(d, ["ts", "asset"]).join(residual_var, ["ts", "asset"]).join(total, "ts")
     return out.select("ts", "asset", F.try_divide(F.col("f"), F.col("total")).alias("factor_part"), F.try_divide(F.col("value") * F.col("var"), F.col("total")).alias("residual_part"))
 
 

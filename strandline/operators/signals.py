@@ -18,7 +18,7 @@ def signal_pairs(returns: DataFrame, signal: DataFrame, horizon: int = 1, normal
     fwd = returns.withColumn("r", F.when(n == horizon, F.product(1 + F.col("value")).over(ahead) - 1)).select("ts", "asset", "r")
     lagged = signal.withColumn("z", F.lag("value").over(w)).select("ts", "asset", "z")
     dates = returns.select("ts").distinct().withColumn("_n", F.row_number().over(Window.orderBy("ts"))).filter((F.col("_n") - 1) % horizon == 0).select("ts")
-    both = lagged.join(fwd, ["ts", "asset"]).join(F.broadcast(dates), "ts", "left_semi").filter("z is not null and r is not null")
+    both = lagged.join(fwd, ["ts", "asset"]).join(dates, "ts", "left_semi").filter("z is not null and r is not null")
     if not normalise:
         return both
     d = Window.partitionBy("ts")

@@ -54,7 +54,7 @@ def glm(returns: DataFrame, order: int = 1) -> DataFrame:
 
 
 def dimson_betas(returns: DataFrame, market: DataFrame, lags: int = 2, least: int = 20) -> DataFrame:
-    both = returns.join(F.broadcast(market.select("ts", F.col("value").alias("m"))), "ts")
+    both = returns.join(market.select("ts", F.col("value").alias("m")), "ts")
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([{"asset": g["asset"].iloc[0], **k.dimson(g["value"].to_numpy(float), g["m"].to_numpy(float), lags, least)}])
@@ -69,7 +69,7 @@ def _lagged(m: np.ndarray, lags: int) -> np.ndarray:
 def factor_lag(returns: DataFrame, factor: DataFrame, span: float = 40, lags: int = 1, warmup: int = 10, top: float = 2.0) -> DataFrame:
     """Moves the response to lagged factor returns to the date itself: r + sum b_l (F_t - F_{t-l}), b of yesterday."""
     d = k.decay(span)
-    both = returns.join(F.broadcast(factor.select("ts", F.col("value").alias("m"))), "ts")
+    both = returns.join(factor.select("ts", F.col("value").alias("m")), "ts")
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         r, x = g["value"].to_numpy(float), _lagged(g["m"].to_numpy(float), lags)
@@ -87,7 +87,7 @@ def factor_lag(returns: DataFrame, factor: DataFrame, span: float = 40, lags: in
 def joint(returns: DataFrame, factor: DataFrame, span: float = 40, warmup: int = 10, top: float = 0.75) -> DataFrame:
     """Own lag and lagged factor together: (r - p r_{t-1} + b (F_t - F_{t-1})) / (1 - p), estimates of yesterday."""
     d = k.decay(span)
-    both = returns.join(F.broadcast(factor.select("ts", F.col("value").alias("m"))), "ts")
+    both = returns.join(factor.select("ts", F.col("value").alias("m")), "ts")
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         r, m = g["value"].to_numpy(float), g["m"].to_numpy(float)

@@ -31,9 +31,9 @@ def long_only(panel: DataFrame) -> DataFrame:
 
 def scaled_by(panel: DataFrame, factors: DataFrame, norm: bool = False, groups: DataFrame | None = None) -> DataFrame:
     """Values times factors (asset, factor); with norm divided by the date's (and the group's) sum."""
-    out = panel.join(F.broadcast(factors), "asset").withColumn(V, F.col(V) * F.col("factor")).drop("factor")
+    out = panel.join(factors, "asset").withColumn(V, F.col(V) * F.col("factor")).drop("factor")
     if groups is not None:
-        out = out.join(F.broadcast(groups), "asset")
+        out = out.join(groups, "asset")
     keys = ("ts",) if groups is None else ("ts", "grp")
     return out.withColumn(V, F.try_divide(F.col(V), F.sum(V).over(DATE(*keys)))) if norm else out
 
@@ -87,7 +87,7 @@ def select_top(scores: list[DataFrame], quantile: float = 0.75) -> DataFrame:
 def static_schedule(prices: DataFrame, weights: DataFrame, dates: DataFrame, rescale: bool = True) -> DataFrame:
     """Static weights (asset, weight) on each date, over the assets that have a price by then; rescaled to the full exposure."""
     live = asof_backward(prices, dates)
-    out = live.join(F.broadcast(weights), "asset").select("ts", "asset", F.col("weight").alias(V))
+    out = live.join(weights, "asset").select("ts", "asset", F.col("weight").alias(V))
     if not rescale:
         return out
     whole = weights.agg(F.sum("weight").alias("_whole"))
