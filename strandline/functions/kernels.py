@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 
 import numpy as np
@@ -65,10 +66,15 @@ def demeaned(x: np.ndarray, how: str, lam: float) -> np.ndarray:
 def ewm_vol(x: np.ndarray, lam: float, mean: str = "none", init: str | float = "x0", af: float = 1.0, warmup: int = 0, floor_quantile: float | None = None) -> np.ndarray:
     var = ewm(demeaned(x, mean, lam) ** 2, lam, init)
     if floor_quantile is not None:
-        for t in range(len(var)):
-            past = var[: t + 1][np.isfinite(var[: t + 1])]
-            if len(past):
-                var[t] = max(var[t], np.quantile(past, floor_quantile, method="lower"))
+        past: list[float] = []
+        for t in np.flatnonzero(np.isfinite(var)):
+            at = bisect.bisect(past, var[t])
+            past.insert(at, var[t])
+            floor = past[int(floor_quantile * (len(past) - 1))]
+            if floor > var[t]:  # its floored value counts from here on
+                del past[at]
+                bisect.insort(past, floor)
+                var[t] = floor
     out = np.sqrt(af * var)
     if warmup:
         out[np.flatnonzero(np.isfinite(out))[:warmup]] = np.nan

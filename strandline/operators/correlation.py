@@ -77,6 +77,46 @@ def acf_bands(panel: DataFrame, lags: list[int]) -> DataFrame:
     return autocorrelations(panel, lags).groupBy("lag").agg(F.avg("corr").alias("mean"), F.stddev_samp("corr").alias("std"))
 
 
+def path_autocorrelations(panel: DataFrame, n_lags: int, partial: bool = False) -> DataFrame:
+    """asset, lag, corr for lags 1 to n_lags of the values around their mean; NULL for a path of 2 * n_lags values or fewer.
+
+    Autocovariances are sums over all rows, divided by the number of rows, or by that of products for partial ones,
+    which solve the Yule-Walker equations lag by lag (Durbin-Levinson, as columns of one row an asset).
+    """
+    w, ks = over_asset(), range(1, n_lags + 1)
+    seen = panel.filter("value is not null").withColumn("v", F.col("value") - F.avg("value").over(Window.partitionBy("asset")))
+    wide = seen.select("asset", "v", *(F.lag("v", k).over(w).alias(f"l{k}") for k in ks))
+    sums = wide.groupBy("asset").agg(F.count("*").alias("n"), F.sum(F.col("v") * F.col("v")).alias("s"), *(F.sum(F.col("v") * F.col(f"l{k}")).alias(f"s{k}") for k in ks))
+    share = lambda k: F.try_divide(F.col("n"), F.col("n") - k) if partial else F.lit(1.0)
+    enough = F.col("n") > 2 * n_lags
+    out = sums.select("asset", *(F.when(enough, F.try_divide(F.col(f"s{k}"), F.col("s")) * share(k)).alias(f"r{k}") for k in ks))
+    last = {k: f"r{k}" for k in ks}
+    if partial:
+        last[1] = "p1_1"
+        out = out.withColumn("p1_1", F.col("r1"))
+        for k in range(2, n_lags + 1):
+            before = [F.col(f"p{k - 1}_{j}") for j in range(1, k)]
+            up = F.col(f"r{k}") - sum((b * F.col(f"r{k - j}") for j, b in enumerate(before, 1)), F.lit(0.0))
+            down = 1 - sum((b * F.col(f"r{j}") for j, b in enumerate(before, 1)), F.lit(0.0))
+            last[k] = f"p{k}_{k}"
+            out = out.withColumn(last[k], F.try_divide(up, down))
+            out = out.withColumns({f"p{k}_{j}": before[j - 1] - F.col(last[k]) * before[k - j - 1] for j in range(1, k)})
+    found = out.select("asset", *(F.col(last[k]).alias(str(k)) for k in ks))
+    return found.unpivot("asset", [str(k) for k in ks], "lag", "corr").withColumn("lag", F.col("lag").cast("int"))
+
+
+def path_bands(autocorrelations: DataFrame) -> DataFrame:
+    """lag, mean and deviation (over all assets) of path_autocorrelations."""
+    return autocorrelations.groupBy("lag").agg(F.avg("corr").alias("mean"), F.stddev_pop("corr").alias("std"))
+
+
+def upper_lower(upper: DataFrame, lower: DataFrame, diagonal: DataFrame) -> DataFrame:
+    """asset_i, asset_j, value: one matrix above the diagonal, another below it, and (asset, value) on it."""
+    cells = lambda m, which: m.filter(which).select("asset_i", "asset_j", "value")
+    own = diagonal.select(F.col("asset").alias("asset_i"), F.col("asset").alias("asset_j"), "value")
+    return cells(upper, "asset_i < asset_j").unionByName(cells(lower, "asset_i > asset_j")).unionByName(own)
+
+
 def ols(df: DataFrame, *keys: str) -> DataFrame:
     """Per keys: alpha, beta, r2, n of y on x."""
     good = df.filter("x is not null and y is not null")

@@ -103,12 +103,14 @@ def attribution(ledger: DataFrame, total: str = "Total") -> DataFrame:
 
 
 def attribution_tails(rows: DataFrame, most: int) -> DataFrame:
-    """The extremes of (asset, value), and everything between as one row. With one sign only: the largest by size."""
-    one_sided = rows.agg((F.min("value") >= 0).alias("_pos"), (F.max("value") <= 0).alias("_neg"))
+    """The extremes of (asset, value), one row an asset, and everything between as one row. With one sign only: the largest by size."""
+    sides = rows.agg((F.min("value") >= 0).alias("_pos"), (F.max("value") <= 0).alias("_neg"))
     n_up = most // 2
-    w = Window.orderBy(F.col("value").desc(), "asset")
-    up, down = F.row_number().over(w), F.row_number().over(Window.orderBy("value", F.col("asset").desc()))
-    ranked = rows.crossJoin(F.broadcast(one_sided)).withColumns({"_u": up, "_d": down})
+    high, low = [F.col("value").desc(), F.col("asset")], [F.col("value"), F.col("asset").desc()]
+    # Only as many rows as asked for are ever ordered on one task; the rest is aggregated where it lies.
+    top = rows.orderBy(*high).limit(most).withColumn("_u", F.row_number().over(Window.orderBy(*high))).select("asset", "_u")
+    bottom = rows.orderBy(*low).limit(most).withColumn("_d", F.row_number().over(Window.orderBy(*low))).select("asset", "_d")
+    ranked = rows.join(top, "asset", "left").join(bottom, "asset", "left").crossJoin(F.broadcast(sides))
     keep = F.when(F.col("_pos"), F.col("_u") <= most).when(F.col("_neg"), F.col("_d") <= most).otherwise((F.col("_u") <= n_up) | (F.col("_d") <= most - n_up))
     return ranked.groupBy(F.when(keep, F.col("asset")).otherwise(F.lit("Other")).alias("asset")).agg(F.sum("value").alias("value"))
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators.calendars import asof_backward
-from strandline.operators.ewm import ewm_vol, one
+from strandline.operators.correlation import cov_to_corr
+from strandline.operators.ewm import covariance_last, ewm_mean, ewm_vol, one
 from strandline.operators.returns import to_returns
 
 VAR99 = 2.3263  # fixed value: normal quantile
@@ -93,6 +94,40 @@ def factor_exposures(loadings: DataFrame, weights: DataFrame) -> DataFrame:
     return loadings.join(weights, ["ts", "asset"]).groupBy("ts", F.col("factor").alias("asset")).agg(F.sum(F.col("beta") * F.col("value")).alias("value"))
 
 
+def loadings_at(loadings: DataFrame, dates: DataFrame, lag: int = 0) -> DataFrame:
+    """ts, asset, factor, beta: the loadings known so many of the dates before each of them; NULL before the first."""
+    w = Window.partitionBy("asset", "factor").orderBy("ts")
+    keys = loadings.select("asset", "factor").distinct()
+    asked = dates.select("ts").distinct().crossJoin(keys).withColumn("asked", F.lit(True))
+    both = loadings.select("ts", "asset", "factor", "beta").join(asked, ["ts", "asset", "factor"], "full")
+    known = both.withColumn("beta", F.last("beta", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("asked")
+    return known.select("ts", "asset", "factor", (F.lag("beta", lag).over(w) if lag else F.col("beta")).alias("beta"))
+
+
+def factor_alpha(loadings: DataFrame, factors: DataFrame, returns: DataFrame, lag: int = 1, span: float | None = None) -> DataFrame:
+    """ts, asset, alpha, explained: returns less the sum of loadings (a lag ago) times factor returns (ts, asset, value); with a span, alpha is averaged.
+
+    NULL where a factor's loading or return is missing.
+    """
+    beta = loadings_at(loadings, returns.select("ts"), lag)
+    x = factors.select("ts", F.col("asset").alias("factor"), F.col("value").alias("x"))
+    part = beta.join(x, ["ts", "factor"], "left").withColumn("part", F.col("beta") * F.col("x")).groupBy("ts", "asset")
+    explained = part.agg(F.when(F.count("part") == F.count("*"), F.sum("part")).alias("explained"))
+    out = returns.join(explained, ["ts", "asset"], "left").select("ts", "asset", (F.col("value") - F.col("explained")).alias("alpha"), "explained")
+    if span is None:
+        return out
+    mean = ewm_mean(out.select("ts", "asset", F.col("alpha").alias("value")), span).withColumnRenamed("value", "alpha")
+    return mean.join(out.drop("alpha"), ["ts", "asset"])
+
+
+def residual_correlations(loadings: DataFrame, factors: DataFrame, returns: DataFrame, span: float) -> DataFrame:
+    """asset_i, asset_j, corr of residuals at the last date, and mean_corr: half the mean of asset_i's row without its diagonal's one."""
+    alpha = factor_alpha(loadings, factors, returns, lag=0).select("ts", "asset", F.col("alpha").alias("value")).filter("value is not null")
+    corr = cov_to_corr(covariance_last(alpha, span)).select("asset_i", "asset_j", "corr")
+    row = Window.partitionBy("asset_i")
+    return corr.withColumn("mean_corr", 0.5 * F.avg(F.col("corr") - (F.col("asset_i") == F.col("asset_j")).cast("double")).over(row))
+
+
 def factor_risk(loadings: DataFrame, factor_cov: DataFrame, residual_var: DataFrame, weights: DataFrame) -> DataFrame:
     """ts, systematic, residual, total volatility. residual_var: ts, asset, var."""
     e = factor_exposures(loadings, weights)

@@ -150,6 +150,23 @@ register("regime_table", lambda sp, d: regimes.regime_table(_sampled(sp, d), 12.
 # --- correlation ---------------------------------------------------------------------------------------------
 
 register("corr_pairs", lambda sp, d: co.pairwise(p.monthly_returns(sp, d)), s.q(s.PX, s.ME, s.MR, f"SELECT a.asset AS asset_i, b.asset AS asset_j, count(*) AS n, {s.r('covar_samp(a.value, b.value)')} AS cov, {s.r('covar_pop(a.value, b.value)')} AS cov_pop, {s.r('corr(a.value, b.value)')} AS corr FROM mr a JOIN mr b ON a.ts = b.ts AND a.asset <= b.asset GROUP BY 1, 2"))
+_PATH = "v AS (SELECT ts, asset, value - avg(value) OVER (PARTITION BY asset) AS v FROM mr), l AS (SELECT asset, v, lag(v, 1) OVER w AS l1, lag(v, 2) OVER w AS l2, lag(v, 3) OVER w AS l3 FROM v WINDOW w AS (PARTITION BY asset ORDER BY ts))"
+_ACF = _PATH + ", a AS (SELECT asset, sum(v * l1) / sum(v * v) AS r1, sum(v * l2) / sum(v * v) AS r2, sum(v * l3) / sum(v * v) AS r3 FROM l GROUP BY 1 HAVING count(*) > 6)"
+# Of the equations of three lags, by determinants.
+_PACF = _PATH + ", a AS (SELECT asset, sum(v * l1) / sum(v * v) * count(*) / (count(*) - 1) AS r1, sum(v * l2) / sum(v * v) * count(*) / (count(*) - 2) AS r2, sum(v * l3) / sum(v * v) * count(*) / (count(*) - 3) AS r3 FROM l GROUP BY 1 HAVING count(*) > 6), b AS (SELECT asset, r1 AS p1, (r2 - r1 ** 2) / (1 - r1 ** 2) AS p2, (r3 - 2 * r1 * r2 - r1 ** 2 * r3 + r1 * r2 ** 2 + r1 ** 3) / (1 - 2 * r1 ** 2 + 2 * r1 ** 2 * r2 - r2 ** 2) AS p3 FROM a)"
+register("autocorr_path", lambda sp, d: co.path_autocorrelations(p.monthly_returns(sp, d), 3), s.q(s.PX, s.ME, s.MR, _ACF, " UNION ALL ".join(f"SELECT asset, {k} AS lag, {s.r(f'r{k}')} AS corr FROM a" for k in (1, 2, 3))))
+register("partial_autocorr", lambda sp, d: co.path_autocorrelations(p.monthly_returns(sp, d), 3, partial=True), s.q(s.PX, s.ME, s.MR, _PACF, " UNION ALL ".join(f"SELECT asset, {k} AS lag, {s.r(f'p{k}')} AS corr FROM b" for k in (1, 2, 3))))
+register("partial_autocorr_bands", lambda sp, d: co.path_bands(co.path_autocorrelations(p.monthly_returns(sp, d), 3, partial=True)), s.q(s.PX, s.ME, s.MR, _PACF, " UNION ALL ".join(f"SELECT {k} AS lag, {s.r(f'avg(p{k})')} AS mean, {s.r(f'stddev_pop(p{k})')} AS std FROM b" for k in (1, 2, 3))))
+
+
+@query(s.q(s.PX, s.ME, s.MR, f"SELECT a.asset AS asset_i, b.asset AS asset_j, {s.r('CASE WHEN a.asset < b.asset THEN corr(a.value, b.value) WHEN a.asset > b.asset THEN covar_samp(a.value, b.value) ELSE stddev_samp(a.value) END')} AS value FROM mr a JOIN mr b ON a.ts = b.ts GROUP BY a.asset, b.asset"))
+def upper_lower_matrix(sp: SparkSession, d: str) -> DataFrame:
+    r = p.monthly_returns(sp, d)
+    both = co.mirrored(co.pairwise(r))
+    cells = lambda c: both.select("asset_i", "asset_j", F.col(c).alias("value"))
+    return co.upper_lower(cells("corr"), cells("cov"), r.groupBy("asset").agg(F.stddev_samp("value").alias("value")))
+
+
 register("autocorr_lags", lambda sp, d: co.autocorrelations(p.monthly_returns(sp, d), [1, 2, 3]), s.q(s.PX, s.ME, s.MR, "l AS (SELECT asset, value, lag(value, 1) OVER w AS l1, lag(value, 2) OVER w AS l2, lag(value, 3) OVER w AS l3 FROM mr WINDOW w AS (PARTITION BY asset ORDER BY ts))", " UNION ALL ".join(f"SELECT asset, {k} AS lag, {s.r(f'corr(value, l{k})')} AS corr FROM l GROUP BY 1" for k in (1, 2, 3))))
 register("corr_with_pivot", lambda sp, d: co.with_pivot(p.monthly_returns(sp, d), "A"), s.q(s.PX, s.ME, s.MR, f"SELECT b.asset, {s.r('sum(a.value * b.value) / sqrt(sum(a.value * a.value) * sum(b.value * b.value))')} AS corr FROM mr a JOIN mr b ON a.ts = b.ts WHERE a.asset = 'A' GROUP BY 1"))
 register("ols_on_benchmark", lambda sp, d: co.ols(panel.against(p.monthly_returns(sp, d), _bench_returns(sp, d)).withColumnRenamed("value", "y"), "asset"), s.q(s.PX, s.BENCH, s.calendar("ME"), s.asof("px", "cal", "m"), s.asof("bench", "cal", "bm"), s.MR, s.REGIME, f"SELECT asset, {s.r('regr_intercept(value, x)')} AS alpha, {s.r('regr_slope(value, x)')} AS beta, {s.r('regr_r2(value, x)')} AS r2, count(*) AS n FROM mr JOIN reg ON reg.ts = mr.ts GROUP BY 1"))
@@ -442,6 +459,28 @@ def _residual(sp: SparkSession, d: str) -> DataFrame:
 
 
 _FACTOR = (s.PRIO, s.WPRIO, "wn AS (SELECT ts, asset, value AS w, CAST(asset[1] AS DOUBLE) AS k FROM wprio WHERE ts = (SELECT max(ts) FROM wprio)), e AS (SELECT any_value(ts) AS ts, sum(w * (1 + 0.1 * k)) AS e1, sum(w * (0.5 - 0.1 * k)) AS e2, sum(w * w * 0.01 * k) AS rv FROM wn)")
+def _moving(sp: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Loadings by quarter ends, returns of two factors (the mean of all assets, a rate) and monthly returns."""
+    r = p.monthly_returns(sp, d)
+    at = r.filter(F.month("ts") % 3 == 0).select("ts", "asset")
+    beta = lambda f, b: at.select("ts", "asset", F.lit(f).alias("factor"), b.alias("beta"))
+    loadings = beta("market", 1 + 0.01 * F.month("ts")).unionByName(beta("rate", 0.5 - 0.02 * F.month("ts")))
+    market = r.groupBy("ts").agg(F.avg("value").alias("value")).select("ts", F.lit("market").alias("asset"), "value")
+    return loadings, market.unionByName(p.rate(sp, d)), r
+
+
+def _alpha_sql(lag: int) -> str:
+    """al: returns less what loadings known before explain."""
+    return (
+        f"dt AS (SELECT ts, lag(ts, {lag}) OVER (ORDER BY ts) AS known FROM (SELECT DISTINCT ts FROM mr)), ld AS (SELECT DISTINCT ts, 1 + 0.01 * month(ts) AS b1, 0.5 - 0.02 * month(ts) AS b2 FROM mr WHERE month(ts) % 3 = 0), "
+        "bt AS (SELECT dt.ts, arg_max(b1, ld.ts) AS b1, arg_max(b2, ld.ts) AS b2 FROM dt LEFT JOIN ld ON ld.ts <= dt.known GROUP BY 1), "
+        "al AS (SELECT mr.ts, mr.asset, mr.value - (b1 * f.m + b2 * rate.value) AS alpha, b1 * f.m + b2 * rate.value AS explained FROM mr JOIN bt ON bt.ts = mr.ts JOIN (SELECT ts, avg(value) AS m FROM mr GROUP BY 1) f ON f.ts = mr.ts JOIN rate ON rate.ts = mr.ts)"
+    )
+
+
+for lag in (0, 1):
+    register(f"factor_alpha_lag{lag}", lambda sp, d, lag=lag: risk.factor_alpha(*_moving(sp, d), lag=lag), s.q(s.PX, s.ME, s.MR, s.RATE, _alpha_sql(lag), f"SELECT ts, asset, {s.r('alpha')} AS alpha, {s.r('explained')} AS explained FROM al"))
+register("residual_correlations", lambda sp, d: risk.residual_correlations(*_moving(sp, d), span=12))
 register("factor_exposures", lambda sp, d: risk.factor_exposures(_loadings(sp, d), _weights_now(sp, d)), s.q(*_FACTOR, f"SELECT ts, 'f1' AS asset, {s.r('e1')} AS value FROM e UNION ALL SELECT ts, 'f2', {s.r('e2')} FROM e"))
 register("factor_risk", lambda sp, d: risk.factor_risk(_loadings(sp, d), _factor_cov(sp, d), _residual(sp, d), _weights_now(sp, d)), s.q(*_FACTOR, "v AS (SELECT ts, 0.04::DOUBLE * e1 * e1 + 0.02 * e1 * e2 + 0.02 * e2 * e2 AS sv, rv FROM e)", f"SELECT ts, {s.r('sqrt(sv)')} AS systematic, {s.r('sqrt(rv)')} AS residual, {s.r('sqrt(sv + rv)')} AS total FROM v"))
 register("factor_contributions", lambda sp, d: risk.factor_contributions(_loadings(sp, d), _factor_cov(sp, d), _residual(sp, d), _weights_now(sp, d)), s.q(*_FACTOR, "v AS (SELECT ts, e1 * (0.04::DOUBLE * e1 + 0.01 * e2) AS a, e2 * (0.01::DOUBLE * e1 + 0.02 * e2) AS b, rv FROM e)", f"SELECT ts, 'f1' AS factor, {s.r('a / (a + b + rv)')} AS value FROM v UNION ALL SELECT ts, 'f2', {s.r('b / (a + b + rv)')} FROM v UNION ALL SELECT ts, 'idiosyncratic', {s.r('rv / (a + b + rv)')} FROM v"))

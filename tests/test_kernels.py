@@ -106,3 +106,13 @@ def test_annualisation():
     assert annualisation_factor("B", calendar_days=True) == 365 and conversion_factor("ME", "QE") == 3
     with pytest.raises(ValueError):
         annualisation_factor("nope")
+
+
+def test_floored_volatility_counts_floored_values():
+    x = np.random.default_rng(3).standard_normal(300) * np.linspace(1, 0.1, 300)
+    x[[0, 50, 51]] = np.nan
+    var = k.ewm(x**2, 0.9, "x0")
+    for t in np.flatnonzero(np.isfinite(var)):
+        seen = var[: t + 1][np.isfinite(var[: t + 1])]
+        var[t] = max(var[t], np.quantile(seen, 0.3, method="lower"))
+    np.testing.assert_array_equal(k.ewm_vol(x, 0.9, floor_quantile=0.3), np.sqrt(var))
