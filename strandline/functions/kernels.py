@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import bisect
 import math
 
 import numpy as np
+import pandas as pd
 
 LAMBDA = 0.94
 
@@ -63,18 +63,12 @@ def demeaned(x: np.ndarray, how: str, lam: float) -> np.ndarray:
     raise ValueError(how)
 
 
-def ewm_vol(x: np.ndarray, lam: float, mean: str = "none", init: str | float = "x0", af: float = 1.0, warmup: int = 0, floor_quantile: float | None = None) -> np.ndarray:
+def ewm_vol(x: np.ndarray, lam: float, mean: str = "none", init: str | float = "x0", af: float = 1.0, warmup: int = 0, floor_quantile: float | None = None, floor_rows: int = 1300) -> np.ndarray:
+    """floor_quantile: no less than this quantile of itself over the last floor_rows rows, once a fifth of them is there."""
     var = ewm(demeaned(x, mean, lam) ** 2, lam, init)
     if floor_quantile is not None:
-        past: list[float] = []
-        for t in np.flatnonzero(np.isfinite(var)):
-            at = bisect.bisect(past, var[t])
-            past.insert(at, var[t])
-            floor = past[int(floor_quantile * (len(past) - 1))]
-            if floor > var[t]:  # its floored value counts from here on
-                del past[at]
-                bisect.insort(past, floor)
-                var[t] = floor
+        floor = pd.Series(var).rolling(floor_rows, min_periods=int(0.2 * floor_rows)).quantile(floor_quantile, interpolation="lower").to_numpy()
+        var = np.where(var < floor, floor, var)
     out = np.sqrt(af * var)
     if warmup:
         out[np.flatnonzero(np.isfinite(out))[:warmup]] = np.nan

@@ -47,9 +47,9 @@ def ewm_mean_sql(panel: DataFrame, span: float) -> DataFrame:
     return rows.select("asset", F.inline(F.aggregate("rows", start, step))).select("ts", "asset", "value")
 
 
-def ewm_vol(panel: DataFrame, span: float | None = None, lam: float | None = None, mean: str = "none", init: str | float = "x0", af: float = 1.0, warmup: int = 0, floor_quantile: float | None = None) -> DataFrame:
+def ewm_vol(panel: DataFrame, span: float | None = None, lam: float | None = None, mean: str = "none", init: str | float = "x0", af: float = 1.0, warmup: int = 0, floor_quantile: float | None = None, floor_rows: int = 1300) -> DataFrame:
     d = k.decay(span, lam)
-    return one(panel, lambda x: k.ewm_vol(x, d, mean, init, af, warmup, floor_quantile))
+    return one(panel, lambda x: k.ewm_vol(x, d, mean, init, af, warmup, floor_quantile, floor_rows))
 
 
 def newey_west_vol(panel: DataFrame, span: float, lags: int = 2, af: float = 1.0) -> DataFrame:
@@ -349,14 +349,15 @@ def vector_autocorr(returns: DataFrame, span: float, lag: int = 1) -> DataFrame:
 # --- risk-adjusted returns -----------------------------------------------------------------------------------
 
 
-def ra_returns(returns: DataFrame, span: float, vol_target: float | None = None, af: float = 260.0, lag: int = 1) -> DataFrame:
-    """Returns times yesterday's 1 / volatility (or target / annualised volatility)."""
+def ra_returns(returns: DataFrame, span: float, vol_target: float | None = None, af: float = 260.0, lag: int = 1, logs: bool = False) -> DataFrame:
+    """Returns times yesterday's 1 / volatility (or target / annualised volatility). logs: log returns in, simple ones weighted."""
     d = k.decay(span)
 
     def f(x: np.ndarray) -> np.ndarray:
         v = k.ewm_vol(x, d, af=af if vol_target else 1.0)
         w = np.divide(vol_target or 1.0, v, out=np.full(len(x), np.nan), where=v > 0)
-        return x * np.concatenate([np.full(lag, np.nan), w[:-lag]]) if lag else x * w
+        r = np.expm1(x) if logs else x
+        return r * np.concatenate([np.full(lag, np.nan), w[:-lag]]) if lag else r * w
 
     return one(returns, f)
 
@@ -373,6 +374,16 @@ def rolling_ra(returns: DataFrame, n: int, span: float, norm: bool = True) -> Da
     return ra_returns(returns, span).withColumn("value", F.when(F.count("value").over(w) == n, total / (n**0.5 if norm else 1.0)))
 
 
+def returns_transform(returns: DataFrame, how: str = "rolling", span: int = 31, momentum_span: float = 31, vol_span: float = 33) -> DataFrame:
+    """rolling: log returns summed over span rows, simple again, over their volatility of the same span; momentum: ra_momentum."""
+    if how not in ("rolling", "momentum"):
+        raise ValueError(how)
+    if how == "momentum":
+        return ra_momentum(returns, momentum_span, vol_span)
+    w = over_asset().rowsBetween(1 - span, 0)
+    return ra_returns(returns.withColumn("value", F.when(F.count("value").over(w) == span, F.sum("value").over(w))), span, logs=True)
+
+
 def signal_convolution(signals: DataFrame, returns: DataFrame, n: int, span: float, what: str = "corr") -> DataFrame:
     """EWM correlation or beta of rolling-sum returns on signals shifted by the sum's length."""
     w = over_asset()

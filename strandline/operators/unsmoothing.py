@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import kernels as k
-from strandline.operators.ewm import OUT, scan
+from strandline.functions.expressions import over_asset
+from strandline.operators.ewm import OUT, ewm_mean, ewm_vol, scan
 from strandline.operators.returns import nav, to_returns
 
 
@@ -99,3 +100,30 @@ def joint(returns: DataFrame, factor: DataFrame, span: float = 40, warmup: int =
         return g.assign(value=np.where(np.isfinite(out), out, r))
 
     return scan(both, run)
+
+
+def bridged(reported: DataFrame, pivot: DataFrame, span: float, af: float = 260.0, logs: bool = False, vol_adjustment: float = 1.15) -> DataFrame:
+    """Returns on a frequent grid that add up to the reported ones: a Brownian bridge whose innovations are a pivot's.
+
+    reported: ts, asset, value, with gaps between reports. pivot: the same for one asset; its returns, less their EWM
+    mean and over their EWM volatility, standardised from an asset's first report on, are the innovations (0 until it has one). Rows: the
+    pivot's dates since the first report, and all dates of reports. NULL at the first report and after the last one.
+    logs: simple returns in and out, bridged as logarithms. af: periods of the pivot a year.
+    """
+    own = Window.partitionBy("asset")
+    order = over_asset()
+    rep = reported.filter("value is not null").select("ts", "asset", (F.log1p("value") if logs else F.col("value")).alias("value"))
+    rep = rep.withColumn("x", F.sum("value").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rep = rep.select("ts", "asset", F.struct("x", F.lead("x").over(order).alias("to"), F.col("ts").alias("since"), F.lead("ts").over(order).alias("until"), F.stddev_pop("value").over(own).alias("sd")).alias("report"))
+    first = rep.groupBy("asset").agg(F.min("ts").alias("_first"))
+    mean, vol = ewm_mean(pivot, span).withColumnRenamed("value", "m"), ewm_vol(pivot, span).withColumnRenamed("value", "s")
+    path = pivot.join(mean, ["ts", "asset"]).join(vol, ["ts", "asset"]).select("ts", F.try_divide(F.col("value") - F.col("m"), F.col("s")).alias("b"))
+    path = first.join(path, F.col("ts") >= F.col("_first")).select("ts", "asset", F.try_divide(F.col("b") - F.avg("b").over(own), F.stddev_pop("b").over(own)).alias("b"))
+    known = order.rowsBetween(Window.unboundedPreceding, 0)
+    both = path.join(rep, ["ts", "asset"], "full").select("ts", "asset", *(F.last(c, ignorenulls=True).over(known).alias(c) for c in ("b", "report")))
+    both = both.select("ts", "asset", "b", "report.*")
+    gone, left, whole = F.datediff("ts", "since"), F.datediff("until", "ts"), F.datediff("until", "since")
+    inside = F.col("x") + (F.col("to") - F.col("x")) * gone / whole + vol_adjustment * F.col("sd") * F.sqrt(left * gone / whole / af) * F.coalesce("b", F.lit(0.0))
+    level = F.when(F.col("ts") == F.col("since"), F.col("x")).when(F.col("until").isNotNull(), inside)
+    step = F.col("level") - F.lag("level").over(order)
+    return both.withColumn("level", level).select("ts", "asset", (F.expm1(step) if logs else step).alias("value"))

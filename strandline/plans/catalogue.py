@@ -154,6 +154,9 @@ _PATH = "v AS (SELECT ts, asset, value - avg(value) OVER (PARTITION BY asset) AS
 _ACF = _PATH + ", a AS (SELECT asset, sum(v * l1) / sum(v * v) AS r1, sum(v * l2) / sum(v * v) AS r2, sum(v * l3) / sum(v * v) AS r3 FROM l GROUP BY 1 HAVING count(*) > 6)"
 # Of the equations of three lags, by determinants.
 _PACF = _PATH + ", a AS (SELECT asset, sum(v * l1) / sum(v * v) * count(*) / (count(*) - 1) AS r1, sum(v * l2) / sum(v * v) * count(*) / (count(*) - 2) AS r2, sum(v * l3) / sum(v * v) * count(*) / (count(*) - 3) AS r3 FROM l GROUP BY 1 HAVING count(*) > 6), b AS (SELECT asset, r1 AS p1, (r2 - r1 ** 2) / (1 - r1 ** 2) AS p2, (r3 - 2 * r1 * r2 - r1 ** 2 * r3 + r1 * r2 ** 2 + r1 ** 3) / (1 - 2 * r1 ** 2 + 2 * r1 ** 2 * r2 - r2 ** 2) AS p3 FROM a)"
+register("bridged_returns", lambda sp, d: unsmoothing.bridged(returns.to_returns(p.monthly(sp, d).filter(F.month("ts") % 3 == 0)), returns.to_returns(cal.resample_last(p.bench(sp, d), "ME")).filter("value is not null"), 12, 12.0), s.BRIDGE)
+register("ewm_vol_floored", lambda sp, d: ewm.ewm_vol(p.monthly_returns(sp, d), 12, floor_quantile=0.3, floor_rows=24), s.VOL_FLOOR)
+register("returns_transform_rolling", lambda sp, d: ewm.returns_transform(p.monthly_returns(sp, d, "log"), "rolling", 6), s.ROLLED)
 register("autocorr_path", lambda sp, d: co.path_autocorrelations(p.monthly_returns(sp, d), 3), s.q(s.PX, s.ME, s.MR, _ACF, " UNION ALL ".join(f"SELECT asset, {k} AS lag, {s.r(f'r{k}')} AS corr FROM a" for k in (1, 2, 3))))
 register("partial_autocorr", lambda sp, d: co.path_autocorrelations(p.monthly_returns(sp, d), 3, partial=True), s.q(s.PX, s.ME, s.MR, _PACF, " UNION ALL ".join(f"SELECT asset, {k} AS lag, {s.r(f'p{k}')} AS corr FROM b" for k in (1, 2, 3))))
 register("partial_autocorr_bands", lambda sp, d: co.path_bands(co.path_autocorrelations(p.monthly_returns(sp, d), 3, partial=True)), s.q(s.PX, s.ME, s.MR, _PACF, " UNION ALL ".join(f"SELECT {k} AS lag, {s.r(f'avg(p{k})')} AS mean, {s.r(f'stddev_pop(p{k})')} AS std FROM b" for k in (1, 2, 3))))

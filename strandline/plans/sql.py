@@ -243,3 +243,28 @@ LEDGERS = {
     "strategy_factsheet_turnover": _TURNOVER,
     "strategy_factsheet_group_exposures": _of_ledger(f"SELECT portfolio, ts, CASE WHEN asset < '3' THEN 'high' ELSE 'low' END AS grp, {_EXPOSURES} FROM ledger GROUP BY 1, 2, 3"),
 }
+BRIDGE = q(
+    PX, ME, BENCH, asof("bench", "cal", "bm"),
+    rows_of("pn", "SELECT * FROM (SELECT ts, asset, value / lag(value) OVER (ORDER BY ts) - 1 AS value FROM bm) WHERE value IS NOT NULL"),
+    scan_of("pe", "pn", {"v": "value", "mu": "value", "q": "value * value"}, {"v": "n.value", "mu": f"{lam(12)} * e.mu + (1 - {lam(12)}) * n.value", "q": f"{lam(12)} * e.q + (1 - {lam(12)}) * n.value * n.value"}),
+    "rp AS (SELECT * FROM (SELECT ts, asset, value / lag(value) OVER (PARTITION BY asset ORDER BY ts) - 1 AS v FROM m WHERE month(ts) % 3 = 0) WHERE v IS NOT NULL)",
+    "rx AS (SELECT ts, asset, sum(v) OVER (PARTITION BY asset ORDER BY ts) AS x FROM rp), rc AS (SELECT ts, asset, x, lead(x) OVER w AS nx, lead(ts) OVER w AS nt FROM rx WINDOW w AS (PARTITION BY asset ORDER BY ts))",
+    "st AS (SELECT asset, min(ts) AS t0, stddev_pop(v) AS sd FROM rp GROUP BY 1), z AS (SELECT pe.ts, st.asset, sd, (v - mu) / sqrt(q) AS b FROM pe JOIN st ON pe.ts >= t0)",
+    "zb AS (SELECT ts, asset, sd, (b - avg(b) OVER (PARTITION BY asset)) / stddev_pop(b) OVER (PARTITION BY asset) AS b FROM z)",
+    "j AS (SELECT zb.ts, zb.asset, sd, b, x, nx, nt, date_diff('day', rc.ts, zb.ts) AS gone, date_diff('day', zb.ts, nt) AS rest FROM zb ASOF JOIN rc ON rc.asset = zb.asset AND zb.ts >= rc.ts)",
+    "c AS (SELECT ts, asset, CASE WHEN gone = 0 THEN x WHEN nt IS NOT NULL THEN (rest * x + gone * nx) / (gone + rest) + 1.15::DOUBLE * sd * sqrt(gone * rest / 12.0::DOUBLE / (gone + rest)) * b END AS c FROM j)",
+    f"SELECT ts, asset, {r('c - lag(c) OVER (PARTITION BY asset ORDER BY ts)')} AS value FROM c", recursive=True,
+)
+VOL_FLOOR = q(
+    PX, ME, MR, rows_of("vn", "SELECT * FROM mr"),
+    scan_of("ve", "vn", {"q": "value * value"}, {"q": f"{lam(12)} * e.q + (1 - {lam(12)}) * n.value * n.value"}),
+    "vl AS (SELECT ts, asset, q, list_sort(list(q) OVER (PARTITION BY asset ORDER BY ts ROWS 23 PRECEDING)) AS l FROM ve)",
+    f"SELECT ts, asset, {r('sqrt(CASE WHEN len(l) >= 4 THEN greatest(q, l[1 + CAST(floor(0.3::DOUBLE * (len(l) - 1)) AS INT)]) ELSE q END)')} AS value FROM vl", recursive=True,
+)
+ROLLED = q(
+    PX, ME, MLR, "ro AS (SELECT ts, asset, sum(value) OVER w AS v, count(*) OVER w AS c FROM mlr WINDOW w AS (PARTITION BY asset ORDER BY ts ROWS 5 PRECEDING))",
+    rows_of("rn", "SELECT ts, asset, v FROM ro WHERE c = 6"),
+    scan_of("re", "rn", {"v": "v", "q": "v * v"}, {"v": "n.v", "q": f"{lam(6)} * e.q + (1 - {lam(6)}) * n.v * n.v"}),
+    "rw AS (SELECT ts, asset, (exp(v) - 1) / lag(sqrt(q)) OVER (PARTITION BY asset ORDER BY ts) AS value FROM re)",
+    f"SELECT mlr.ts, mlr.asset, {r('rw.value')} AS value FROM mlr LEFT JOIN rw ON rw.ts = mlr.ts AND rw.asset = mlr.asset", recursive=True,
+)
