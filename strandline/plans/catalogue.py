@@ -242,7 +242,6 @@ for key, f in {
     "ewm_score": lambda sp, d: ewm.ewm_score(p.monthly_returns(sp, d), 12),
     "ewm_winsorise": lambda sp, d: ewm.winsorise(p.monthly_returns(sp, d), 12),
     "ewm_winsor_markov": lambda sp, d: ewm.winsorise_markov(p.monthly_returns(sp, d), 12, 2.0, 0.0, 0.0004),
-    "ewm_covariance": lambda sp, d: ewm.covariance_tensor(p.monthly_returns(sp, d), 12, every=12),
     "ewm_correlation": lambda sp, d: ewm.covariance_tensor(p.monthly_returns(sp, d), 12, corr=True, every=12),
     "ewm_covariance_vol_norm": lambda sp, d: ewm.covariance_tensor(p.monthly_returns(sp, d), 12, vol_norm=True, every=12),
     "ewm_covariance_newey_west": lambda sp, d: ewm.covariance_last(p.monthly_returns(sp, d), 12, 2),
@@ -335,7 +334,6 @@ for key, f in {
     "portfolio_benchmark_betas": lambda sp, d: portfolio.benchmark_betas(_ledger(sp, d), p.px_prio(sp, d).groupBy("ts").agg(F.avg("value").alias("value")).select("ts", F.lit("b").alias("asset"), "value"), 12),
     "overlay_curve": lambda sp, d: portfolio.overlay_curve(p.px(sp, d), "A", "N", "QE", 5),
     "discrete_replay": lambda sp, d: replay.daily_positions(_replay(sp, d)),
-    "realised_tracking_error": lambda sp, d: risk.realised_tracking_error(p.monthly(sp, d), cal.resample_last(p.bench(sp, d), "ME"), 12, 12.0),
 }.items():
     register(key, f, s.LEDGERS.get(key))
 
@@ -483,14 +481,19 @@ def _alpha_sql(lag: int) -> str:
 
 for lag in (0, 1):
     register(f"factor_alpha_lag{lag}", lambda sp, d, lag=lag: risk.factor_alpha(*_moving(sp, d), lag=lag), s.q(s.PX, s.ME, s.MR, s.RATE, _alpha_sql(lag), f"SELECT ts, asset, {s.r('alpha')} AS alpha, {s.r('explained')} AS explained FROM al"))
-register("residual_correlations", lambda sp, d: risk.residual_correlations(*_moving(sp, d), span=12))
+register("ewm_covariance", lambda sp, d: ewm.covariance_tensor(p.monthly_returns(sp, d), 12, every=12), s.EWM_COV)
+register("realised_tracking_error", lambda sp, d: risk.realised_tracking_error(p.monthly(sp, d), cal.resample_last(p.bench(sp, d), "ME"), 12, 12.0), s.REALISED_TE)
+register(
+    "residual_correlations", lambda sp, d: risk.residual_correlations(*_moving(sp, d), span=12),
+    s.q(s.PX, s.ME, s.MR, s.RATE, _alpha_sql(0), "an AS (SELECT * FROM al WHERE alpha IS NOT NULL)", s.weighted_products("an", "alpha", "rc", 12), "lc AS (SELECT * FROM rc WHERE ts = (SELECT max(ts) FROM rc))", "rr AS (SELECT a.i, a.j, a.c / sqrt(x.c * y.c) AS corr FROM lc a JOIN lc x ON x.i = a.i AND x.j = a.i JOIN lc y ON y.i = a.j AND y.j = a.j)", f"SELECT i AS asset_i, j AS asset_j, {s.r('corr')} AS corr, {s.r('0.5 * avg(corr - CASE WHEN i = j THEN 1 ELSE 0 END) OVER (PARTITION BY i)')} AS mean_corr FROM rr"),
+)
 register("factor_exposures", lambda sp, d: risk.factor_exposures(_loadings(sp, d), _weights_now(sp, d)), s.q(*_FACTOR, f"SELECT ts, 'f1' AS asset, {s.r('e1')} AS value FROM e UNION ALL SELECT ts, 'f2', {s.r('e2')} FROM e"))
 register("factor_risk", lambda sp, d: risk.factor_risk(_loadings(sp, d), _factor_cov(sp, d), _residual(sp, d), _weights_now(sp, d)), s.q(*_FACTOR, "v AS (SELECT ts, 0.04::DOUBLE * e1 * e1 + 0.02 * e1 * e2 + 0.02 * e2 * e2 AS sv, rv FROM e)", f"SELECT ts, {s.r('sqrt(sv)')} AS systematic, {s.r('sqrt(rv)')} AS residual, {s.r('sqrt(sv + rv)')} AS total FROM v"))
 register("factor_contributions", lambda sp, d: risk.factor_contributions(_loadings(sp, d), _factor_cov(sp, d), _residual(sp, d), _weights_now(sp, d)), s.q(*_FACTOR, "v AS (SELECT ts, e1 * (0.04::DOUBLE * e1 + 0.01 * e2) AS a, e2 * (0.01::DOUBLE * e1 + 0.02 * e2) AS b, rv FROM e)", f"SELECT ts, 'f1' AS factor, {s.r('a / (a + b + rv)')} AS value FROM v UNION ALL SELECT ts, 'f2', {s.r('b / (a + b + rv)')} FROM v UNION ALL SELECT ts, 'idiosyncratic', {s.r('rv / (a + b + rv)')} FROM v"))
-register("marginal_active_risk", lambda sp, d: risk.marginal_active_risk(_loadings(sp, d), _factor_cov(sp, d), _residual(sp, d), _weights_now(sp, d), _equal(sp, d)))
+register("marginal_active_risk", lambda sp, d: risk.marginal_active_risk(_loadings(sp, d), _factor_cov(sp, d), _residual(sp, d), _weights_now(sp, d), _equal(sp, d)), s.MARGINAL_ACTIVE)
 register("group_tracking_error", lambda sp, d: risk.group_tracking_error(_cov(sp, d), _weights_now(sp, d), _equal(sp, d), _prio_groups(sp, d)), s.q(*_COV, "gg AS (SELECT *, CASE WHEN asset < '3' THEN 'high' ELSE 'low' END AS grp FROM wn)", f"SELECT (SELECT max(ts) FROM prio) AS ts, a.grp, {s.r('sqrt(greatest(sum(a.d * c * b.d), 0))')} AS value FROM cv JOIN gg a ON a.asset = i JOIN gg b ON b.asset = j AND b.grp = a.grp GROUP BY 2"))
 register("benchmark_loadings", lambda sp, d: risk.benchmark_loadings(_cov(sp, d), _equal(sp, d)), s.q(*_COV, "z AS (SELECT i AS asset, sum(c * b.q) AS s FROM cv JOIN wn b ON b.asset = j GROUP BY 1), v AS (SELECT sum(a.q * c * b.q) AS v FROM cv JOIN wn a ON a.asset = i JOIN wn b ON b.asset = j)", f"SELECT (SELECT max(ts) FROM prio) AS ts, asset, {s.r('s / v')} AS value FROM z, v"))
-register("independent_var", lambda sp, d: risk.independent_var(returns.to_returns(p.px_prio(sp, d)).filter("value is not null"), p.w_prio(sp, d), 12))
+register("independent_var", lambda sp, d: risk.independent_var(returns.to_returns(p.px_prio(sp, d)).filter("value is not null"), p.w_prio(sp, d), 12), s.INDEPENDENT_VAR)
 register("information_ratio", lambda sp, d: risk.information_ratio(p.monthly_returns(sp, d), 12.0), s.q(s.PX, s.ME, s.MR, f"SELECT asset, {s.r('stddev_samp(value) * sqrt(12.0::DOUBLE)')} AS te, {s.r('avg(value) * sqrt(12.0::DOUBLE) / stddev_samp(value)')} AS ir FROM mr GROUP BY 1"))
 register("signal_changes", lambda sp, d: co.ols(signals.signal_changes(p.px_prio(sp, d), p.w_prio(sp, d)), "asset"), s.q(s.PRIO, s.WPRIO, "c AS (SELECT prio.asset, prio.value - lag(prio.value) OVER w AS x, wprio.value - lag(wprio.value) OVER w AS y FROM prio JOIN wprio ON wprio.ts = prio.ts AND wprio.asset = prio.asset WINDOW w AS (PARTITION BY prio.asset ORDER BY prio.ts))", f"SELECT asset, {s.r('regr_intercept(y, x)')} AS alpha, {s.r('regr_slope(y, x)')} AS beta, {s.r('regr_r2(y, x)')} AS r2, CAST(regr_count(y, x) AS BIGINT) AS n FROM c GROUP BY 1"))
 register("current_signal_by_group", lambda sp, d: signals.current_by_group(p.px_supp(sp, d), p.groups(sp, d)), s.q(s.SUPP, s.GROUPS, f"SELECT supp.asset, {s.r('arg_max(value, ts)')} AS value, any_value(grp) AS grp FROM supp JOIN g ON g.asset = supp.asset GROUP BY 1"))

@@ -268,3 +268,32 @@ ROLLED = q(
     "rw AS (SELECT ts, asset, (exp(v) - 1) / lag(sqrt(q)) OVER (PARTITION BY asset ORDER BY ts) AS value FROM re)",
     f"SELECT mlr.ts, mlr.asset, {r('rw.value')} AS value FROM mlr LEFT JOIN rw ON rw.ts = mlr.ts AND rw.asset = mlr.asset", recursive=True,
 )
+
+
+def weighted_products(source: str, value: str, name: str, span: float) -> str:
+    """name(ts, i, j, c): the zero-seeded EWM covariance at every twelfth date from the last back, as a weighted sum of products."""
+    return (
+        f"{name}_d AS (SELECT ts FROM (SELECT ts, row_number() OVER (ORDER BY ts DESC) - 1 AS back FROM (SELECT DISTINCT ts FROM {source})) WHERE back % 12 = 0), {name}_a AS (SELECT DISTINCT asset FROM {source}), "
+        f"{name}_p AS (SELECT a.ts, a.asset AS i, b.asset AS j, a.{value} * b.{value} AS v, row_number() OVER (PARTITION BY a.asset, b.asset ORDER BY a.ts) AS k FROM {source} a JOIN {source} b ON b.ts = a.ts), "
+        f"{name} AS (SELECT d.ts, x.asset AS i, y.asset AS j, coalesce((1 - {lam(span)}) * {lam(span)} ** max(k) * sum(v / {lam(span)} ** k), 0) AS c FROM {name}_d d CROSS JOIN {name}_a x CROSS JOIN {name}_a y LEFT JOIN {name}_p p ON p.i = x.asset AND p.j = y.asset AND p.ts <= d.ts GROUP BY 1, 2, 3)"
+    )
+
+
+EWM_COV = q(PX, ME, MR, weighted_products("mr", "value", "ec", 12), f"SELECT ts, i AS asset_i, j AS asset_j, {r('c')} AS cov FROM ec")
+REALISED_TE = q(
+    PX, ME, MR, BENCH, asof("bench", "cal", "bm"),
+    rows_of("tn", "SELECT mr.ts, mr.asset, mr.value - b.value AS value FROM mr JOIN (SELECT ts, value / lag(value) OVER (ORDER BY ts) - 1 AS value FROM bm) b ON b.ts = mr.ts WHERE b.value IS NOT NULL"),
+    scan_of("te", "tn", {"q": "value * value"}, {"q": f"{lam(12)} * e.q + (1 - {lam(12)}) * n.value * n.value"}),
+    f"SELECT ts, asset, {r('sqrt(12.0::DOUBLE * q)')} AS value FROM te", recursive=True,
+)
+INDEPENDENT_VAR = q(
+    PRIO, WPRIO, rows_of("pn", "SELECT * FROM (SELECT ts, asset, value / lag(value) OVER (PARTITION BY asset ORDER BY ts) - 1 AS value FROM prio) WHERE value IS NOT NULL"),
+    scan_of("pv", "pn", {"q": "value * value"}, {"q": f"{lam(12)} * e.q + (1 - {lam(12)}) * n.value * n.value"}),
+    f"SELECT pv.ts, {r('2.3263::DOUBLE * sqrt(sum(q * w.value ** 2))')} AS value FROM pv JOIN wprio w ON w.ts = pv.ts AND w.asset = pv.asset GROUP BY 1", recursive=True,
+)
+MARGINAL_ACTIVE = q(
+    PRIO, WPRIO, "wn AS (SELECT ts, asset, value - 1.0::DOUBLE / count(*) OVER () AS d, CAST(asset[1] AS DOUBLE) AS k FROM wprio WHERE ts = (SELECT max(ts) FROM wprio))",
+    "ex AS (SELECT sum(d * (1 + 0.1 * k)) AS e1, sum(d * (0.5 - 0.1 * k)) AS e2, sum(d * d * 0.01 * k) AS rv FROM wn)",
+    "tv AS (SELECT 0.04::DOUBLE * e1 + 0.01 * e2 AS g1, 0.01::DOUBLE * e1 + 0.02 * e2 AS g2, sqrt(0.04::DOUBLE * e1 * e1 + 0.02 * e1 * e2 + 0.02 * e2 * e2 + rv) AS total FROM ex)",
+    f"SELECT ts, asset, {r('((1 + 0.1 * k) * g1 + (0.5 - 0.1 * k) * g2) / nullif(total, 0)')} AS factor_part, {r('d * 0.01 * k / nullif(total, 0)')} AS residual_part FROM wn, tv",
+)
