@@ -107,9 +107,14 @@ def bucket(x: Column, edges: Sequence[Column | float], names: Sequence[str], low
     return out
 
 
+def float_ln(x: Column) -> Column:
+    """Natural logarithm of a double as floating point has it: -inf at zero, NaN below, where Spark's is NULL."""
+    return F.when(x == 0, F.lit(-math.inf)).when(x < 0, F.lit(math.nan)).otherwise(F.ln(x))
+
+
 def ohlc_variance(kind: str, o: Column, h: Column, low: Column, c: Column, previous: Column | None = None) -> Column:
-    """Variance of a bar: parkinson, garman_klass, rogers_satchell or close_to_close."""
-    o, h, low, c = (F.ln(x) for x in (o, h, low, c))
+    """Variance of a bar: parkinson, garman_klass, rogers_satchell or close_to_close; infinite (or NaN) if a price in it is zero."""
+    o, h, low, c = (float_ln(x) for x in (o, h, low, c))
     if kind == "parkinson":
         return F.pow(h - low, F.lit(2)) / (4 * math.log(2))
     if kind == "garman_klass":
@@ -117,7 +122,7 @@ def ohlc_variance(kind: str, o: Column, h: Column, low: Column, c: Column, previ
     if kind == "rogers_satchell":
         return (h - c) * (h - o) + (low - c) * (low - o)
     if kind == "close_to_close":
-        return F.pow(c - F.ln(previous), F.lit(2))
+        return F.pow(c - float_ln(previous), F.lit(2))
     raise ValueError(kind)
 
 

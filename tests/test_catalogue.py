@@ -6,6 +6,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from strandline.plans import catalogue
 
@@ -53,3 +54,16 @@ def test_flagship(spark):
 
     assert entry.entry(spark).count() == 3
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", [q for q in sorted(catalogue.SQL) if q.startswith("ohlc_")])
+def test_bars_with_prices_of_zero_equal_sql(spark, tmp_path, name):
+    """Lows, opens, closes and whole bars of zero: the logarithms are infinite, not missing."""
+    bars = {"low": [2.0, 0.0, 3.0], "open": [0.0, 2.0, 3.0], "close": [2.0, 3.0, 0.0], "all": [0.0, 0.0, 0.0], "none": [2.0, 4.0, 3.0]}
+    rows = [(f"2024-01-{d:02d} 0{i}:00:00", asset, v if d == 2 else 1.0 + i) for asset, values in bars.items() for d in (1, 2, 3) for i, v in enumerate(values)]
+    spark.createDataFrame(rows, "ts string, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    df, want = catalogue.QUERIES[name](spark, str(tmp_path)), con.sql(catalogue.SQL[name])
+    exact = lambda columns, rows: sorted(tuple((c, str(v)[:10] if hasattr(v, "year") else v if v is None or isinstance(v, str) else str(float(v))) for c, v in sorted(zip(columns, r, strict=True))) for r in rows)
+    assert exact(df.columns, df.collect()) == exact(want.columns, want.fetchall())
