@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import os
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from strandline.session import shared_dir
+
 CHUNK_BYTES = 1 << 20
 
 
@@ -22,16 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the session names none (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found is None and re.match(r"local($|\[)", spark.sparkContext.master):
-        return "file://" + os.path.join(tempfile.gettempdir(), "strandline-shared")
-    if found is None:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return found
-
-
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,6 +18,7 @@ from strandline.operators import ewm, figures, fx, panel, portfolio, regimes, re
 from strandline.operators import performance as pf
 from strandline.plans import panels as p
 from strandline.plans import sql as s
+from strandline.session import shared_dir
 from strandline.streaming import stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -515,10 +517,25 @@ def _stream(sp: SparkSession, d: str) -> DataFrame:
 
 
 def drained(df: DataFrame, name: str) -> DataFrame:
-    """Runs a stream over what is there, into memory; for tables of test size."""
-    run = df.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    """Runs a stream over what is there, into files of the shared folder, and reads them.
+
+    Every partition has a state store, opened and written for every batch: there are two of them a core at most.
+    Rows are narrow, so Arrow batches may have more of them than those of texts (see session.BATCHES).
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    parts = "spark.sql.shuffle.partitions"
+    settings = {parts: min(int(spark.conf.get(parts)), 2 * spark.sparkContext.defaultParallelism), "spark.sql.execution.arrow.maxRecordsPerBatch": 1 << 16}
+    own = {k: spark.conf.get(k) for k in settings}
+    try:  # a stream keeps the settings that it starts with
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        run = df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(path)
+    finally:
+        for k, v in own.items():
+            spark.conf.set(k, v)
     run.awaitTermination()
-    return df.sparkSession.table(name)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 register("stream_bars", lambda sp, d: drained(stateful.bars(_stream(sp, d), "1 day", "1 hour"), "stream_bars").withColumn("ts", F.col("ts").cast("date")), s.q(s.BARS, f"SELECT ts, asset, {', '.join(f'{s.r(c)} AS {c}' for c in ('open', 'high', 'low', 'close'))}, n FROM bars WHERE ts + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"))

@@ -1,9 +1,10 @@
-"""Sessions: shipping this package to the executors, and batches that fit their memory."""
+"""Sessions: shipping this package to the executors, batches that fit their memory, the folder that all share."""
 
 from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import zipfile
@@ -41,3 +42,13 @@ def ship(spark: SparkSession) -> None:
                     out.write(full, os.path.relpath(full, _ROOT))
     context.addPyFile(path)
     _shipped.add(context.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share; a local one only where the session names none (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found is None and re.match(r"local($|\[)", spark.sparkContext.master):
+        return "file://" + os.path.join(tempfile.gettempdir(), "strandline-shared")
+    if found is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found

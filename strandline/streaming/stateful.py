@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,53 +33,72 @@ def sessions(ticks: DataFrame, gap: str, delay: str, key: str = "asset") -> Data
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n", "value")
 
 
-def _ordered(step: Callable[[tuple, float], tuple[tuple, dict]], start: tuple):
-    """Rows wait until the watermark has passed them and are then taken in time order, so that late ones do no harm."""
+#: Rows of a frame that goes out.
+_FRAME = 1 << 17
+
+
+def _ordered(many: Callable[[tuple, np.ndarray], tuple[tuple, dict]], start: tuple):
+    """Rows wait until the watermark has passed them and are then taken in time order (of one time: by value), so that late ones do no harm.
+
+    many: the state and values in order -> the state after them, and columns. Times are microseconds; waiting rows are kept as two arrays.
+    """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, core, at = pickle.loads(state.get[0]) if state.exists else ([], start, None)
+        times, values, core, at = pickle.loads(state.get[0]) if state.exists else (np.empty(0, np.int64), np.empty(0), start, None)
+        times, values = [times], [values]
         for f in frames:
-            held += [(t, v) for t, v in zip(f["ts"], f["value"], strict=True) if at is None or t > at]
-        mark = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
-        ready, rows = sorted(x for x in held if x[0] <= mark), []
-        held = [x for x in held if x[0] > mark]
-        for t, v in ready:
-            core, out = step(core, v)
-            at = t
-            rows.append({"ts": t, "asset": key[0], **out})
-        state.update((pickle.dumps((held, core, at)),))
-        if held:
-            state.setTimeoutTimestamp(max(int(min(x[0] for x in held).timestamp() * 1000), state.getCurrentWatermarkMs()) + 1)
-        if rows:
-            yield pd.DataFrame(rows)
+            t, v = f["at"].to_numpy(np.int64), f["value"].to_numpy(np.float64)
+            late = slice(None) if at is None else t > at
+            times.append(t[late])
+            values.append(v[late])
+        times, values = np.concatenate(times), np.concatenate(values)
+        passed = times <= state.getCurrentWatermarkMs() * 1000
+        ready = np.flatnonzero(passed)
+        ready = ready[np.lexsort((values[ready], times[ready]))]
+        out = {"at": times[ready], "asset": key[0]}
+        if len(ready):
+            core, columns = many(core, values[ready])
+            out, at = out | columns, int(times[ready[-1]])
+        times, values = times[~passed], values[~passed]
+        state.update((pickle.dumps((times, values, core, at)),))
+        if len(times):
+            state.setTimeoutTimestamp(max(int(times.min()) // 1000, state.getCurrentWatermarkMs()) + 1)
+        for i in range(0, len(ready), _FRAME):
+            yield pd.DataFrame({c: x if c == "asset" else x[i : i + _FRAME] for c, x in out.items()})
 
     return run
 
 
-def _applied(ticks: DataFrame, delay: str, step: Callable, start: tuple, schema: str) -> DataFrame:
-    marked = ticks.select("ts", "asset", "value").withWatermark("ts", delay)
-    return marked.groupBy("asset").applyInPandasWithState(_ordered(step, start), f"ts timestamp, asset string, {schema}", "state binary", "append", GroupStateTimeout.EventTimeTimeout)
+def _running(f: Callable[[float, float], float], before: float | None, values: np.ndarray) -> np.ndarray:
+    """The value after each one; before: that of earlier ones, if there were any."""
+    return np.array(list(accumulate(values.tolist(), f, initial=before))[before is not None :])
+
+
+def _applied(ticks: DataFrame, delay: str, many: Callable, start: tuple, schema: str) -> DataFrame:
+    marked = ticks.select("ts", "asset", "value").withWatermark("ts", delay).withColumn("at", F.unix_micros("ts"))
+    out = marked.groupBy("asset").applyInPandasWithState(_ordered(many, start), f"at long, asset string, {schema}", "state binary", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select(F.timestamp_micros("at").alias("ts"), *out.columns[1:])
 
 
 def ewm(ticks: DataFrame, span: float, delay: str = "0 seconds") -> DataFrame:
     """The EWM mean of each asset, seeded by its first value."""
     d = decay(span)
 
-    def step(core: tuple, v: float) -> tuple[tuple, dict]:
-        s = v if core[0] is None else d * core[0] + (1 - d) * v
-        return (s,), {"value": s}
+    def many(core: tuple, values: np.ndarray) -> tuple[tuple, dict]:
+        s = _running(lambda s, v: d * s + (1 - d) * v, core[0], values)
+        return (float(s[-1]),), {"value": s}
 
-    return _applied(ticks, delay, step, (None,), "value double")
+    return _applied(ticks, delay, many, (None,), "value double")
 
 
 def drawdown(ticks: DataFrame, delay: str = "0 seconds") -> DataFrame:
     """Running peak and drawdown."""
 
-    def step(core: tuple, v: float) -> tuple[tuple, dict]:
-        peak = v if core[0] is None else max(core[0], v)
-        return (peak,), {"peak": peak, "value": v / peak - 1}
+    def many(core: tuple, values: np.ndarray) -> tuple[tuple, dict]:
+        peak = _running(max, core[0], values)
+        return (float(peak[-1]),), {"peak": peak, "value": np.divide(values, peak, out=np.full(len(values), np.nan), where=peak != 0) - 1}
 
-    return _applied(ticks, delay, step, (None,), "peak double, value double")
+    return _applied(ticks, delay, many, (None,), "peak double, value double")
 
 
 def replay(ticks: DataFrame, strategy: Strategy, cash: float, execution: Execution | None = None, delay: str = "0 seconds") -> DataFrame:
@@ -95,4 +116,11 @@ def replay(ticks: DataFrame, strategy: Strategy, cash: float, execution: Executi
         pending = tuple(strategy.on_bar(None, {name: v}, State(None, money, nav, {name: units})))
         return (name, money, units, pending), {"cash": money, "units": units, "nav": nav}
 
-    return _applied(ticks, delay, step, ("asset", cash, 0.0, ()), "cash double, units double, nav double")
+    def many(core: tuple, values: np.ndarray) -> tuple[tuple, dict]:
+        rows = []
+        for v in values.tolist():
+            core, row = step(core, v)
+            rows.append(row)
+        return core, {c: np.array([x[c] for x in rows], np.float64) for c in rows[0]}
+
+    return _applied(ticks, delay, many, ("asset", cash, 0.0, ()), "cash double, units double, nav double")

@@ -82,3 +82,27 @@ def test_streaming_bars_equal_batch(spark, tmp_path):
     live = {r.ts: tuple(r) for r in finished(spark, stateful.bars(ticks(spark, tmp_path, [data[:20], data[20:]]), "1 hour", "10 minutes"), "bars_out").collect()}
     batch = {r.ts: tuple(r) for r in rolling.bars(spark.createDataFrame(data, "ts timestamp, asset string, value double"), "1 hour").collect()}
     assert live and all(batch[t] == v for t, v in live.items())
+
+
+def test_drained_streams_stay_out_of_the_driver_and_equal_a_loop(spark, tmp_path):
+    """Results are files, not the driver's memory; ties go by value; a peak of zero gives no drawdown instead of an error."""
+    from strandline.plans.catalogue import drained
+
+    data = [(T[0] + dt.timedelta(minutes=i // 2), f"a{i % 3}", 0.0 if i < 6 else 100.0 + (i * 7919) % 1009) for i in range(6000)]
+    settings = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    live = {name: drained(f(ticks(spark, tmp_path / name, [data])), name) for name, f in (("files_ewm", lambda t: stateful.ewm(t, 5, "30 minutes")), ("files_dd", lambda t: stateful.drawdown(t, "30 minutes")))}
+    assert {k: spark.conf.get(k) for k in settings} == settings
+    assert all(x.inputFiles() for x in live.values())
+    want, state, mark = {"files_ewm": [], "files_dd": []}, {}, data[-1][0] - dt.timedelta(minutes=30)
+    for t, a, v in sorted(data, key=lambda r: (r[1], r[0], r[2])):
+        if t <= mark:
+            s, peak = state.get(a, (v, v))
+            s, peak = (s if a not in state else (1 - 2 / 6) * s + 2 / 6 * v), max(peak, v)
+            state[a] = s, peak
+            want["files_ewm"].append((t, a, s))
+            want["files_dd"].append((t, a, peak, v / peak - 1 if peak else None))
+    for name, df in live.items():
+        got = sorted((tuple(r) for r in df.collect()), key=lambda r: r[:2])
+        assert [r[:2] for r in got] == [r[:2] for r in sorted(want[name], key=lambda r: r[:2])]
+        short = lambda rows: sorted((*r[:2], *("-" if x is None else f"{x:.9f}" for x in r[2:])) for r in rows)
+        assert short(got) == short(want[name])
