@@ -26,14 +26,14 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import byte_values, chunks, mix, powers, prefix_hash, stored_bytes, table
+from strandline.llm.common import byte_values, chunks, give_back, mix, powers, prefix_hash, stored_bytes, table
 
 L, K = 50, 25
 #: Bytes of input (as stored) for each bucket of the first and of the second round, and of the sample for frequent grams.
@@ -165,6 +165,7 @@ def _common_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for _, some, _ in pieces(byte_values(batch.column("text"))):
             gram, n = np.unique(runs_of(some)[3], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(gram[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["gram", "n"])
+    give_back()
 
 
 def frequent_grams(docs: DataFrame, size: int) -> Frequent:
@@ -200,10 +201,13 @@ def _first_round(buckets: int, frequent: Frequent):
                     held.append((keys, idents, ids[a + text]))
                     size += len(keys)
                 if size > FLUSH:
-                    yield flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                    held, size = [], 0
+                    out = flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held, size = [], 0  # nothing of it is kept while Spark takes it
+                    yield out
+                    del out
         if held:
             yield flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        give_back()
 
     return run
 
@@ -278,11 +282,13 @@ def _second_round(buckets: int, frequent: Frequent):
                         asked.append((k, doc, print_, offset + x, value[x : x + m + L - 1]))
                         size += m + L + 100
             if size > 32 << 20 or spans:
-                yield flush(asked if size > 32 << 20 else [], spans)
-            if size > 32 << 20:
-                asked, size = [], 0
+                out = flush(asked if size > 32 << 20 else [], spans)
+                asked, size = ([], 0) if size > 32 << 20 else (asked, size)
+                yield out
+                del out
         if asked:
             yield flush(asked, [])
+        give_back()
 
     return run
 
@@ -399,6 +405,17 @@ def merged(s: np.ndarray) -> np.ndarray:
     return np.stack([s[first, 0], reach[np.append(first[1:], len(s)) - 1]], axis=1)
 
 
+def _trimmed(answers: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """The answers of a bucket, after which its memory goes back to the system: the worker stays for the next bucket."""
+
+    def run(group: pa.Table) -> pa.Table:
+        out = answers(group)
+        give_back()
+        return out
+
+    return run
+
+
 def covered_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text, found (list of print and spans, or null) for docs(doc_id, text, print) with ids."""
     size = stored_bytes(docs)
@@ -406,10 +423,10 @@ def covered_spans(docs: DataFrame) -> DataFrame:
     frequent = frequent_grams(docs, size)
     # As many partitions as buckets: what a task reads is a few buckets, however large the input.
     runs = docs.mapInArrow(_first_round(few, frequent), _DEALT).repartition(min(few, MOST_PARTITIONS), "bucket")
-    live = runs.groupBy("bucket").applyInArrow(_first_answers, "doc_id long, runs binary")
+    live = runs.groupBy("bucket").applyInArrow(_trimmed(_first_answers), "doc_id long, runs binary")
     live = live.groupBy("doc_id").agg(F.collect_list("runs").alias("runs"))
     sent = docs.join(live, "doc_id").mapInArrow(_second_round(many, frequent), _DEALT).repartition(min(many, MOST_PARTITIONS), "bucket")
-    spans = sent.groupBy("bucket").applyInArrow(_second_answers, "doc_id long, print long, spans binary")
+    spans = sent.groupBy("bucket").applyInArrow(_trimmed(_second_answers), "doc_id long, print long, spans binary")
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("print", "spans")).alias("found"))
     return docs.join(spans, "doc_id", "left")
 
@@ -429,6 +446,7 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = list(zip(*rows, strict=True)) or [[]] * 4
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    give_back()
 
 
 def repeated_bytes(docs: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 
+from strandline.llm import suffix_dedup
 from strandline.llm.suffix_dedup import Frequent, previous_factors, repeated_bytes, runs_of, smaller_neighbours, suffix_order
 
 
@@ -95,3 +97,17 @@ def test_previous_factors_need_both_neighbours():
     _, before, _, after = smaller_neighbours(docs[order], lcp)
     full = np.array(want)[order] == 12
     assert (full & (before < 12)).any() and (full & (after < 12)).any()
+
+
+def test_nothing_that_was_sent_is_kept(monkeypatch):
+    """While Spark takes a batch of runs, the worker doesn't hold them as well, and it gives its memory back at the end."""
+    given = []
+    monkeypatch.setattr(suffix_dedup, "FLUSH", 1)
+    monkeypatch.setattr(suffix_dedup, "give_back", lambda: given.append(1), raising=False)
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2], pa.int64()), "text": ["abcdefghij" * 20, "klmnopqrst" * 20]})
+    rows = suffix_dedup._first_round(8, suffix_dedup.Frequent(np.empty(0, np.uint64)))(iter([batch, batch]))
+    sent = 0
+    for out in rows:
+        sent += out.num_rows
+        assert not rows.gi_frame.f_locals["held"]
+    assert sent and given
