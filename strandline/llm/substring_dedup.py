@@ -150,6 +150,7 @@ def frequent_digests(docs: DataFrame, by: str) -> tuple[np.ndarray, np.ndarray]:
             for a, b in chunks(texts):
                 digest, n = np.unique(Units(texts[a:b], by).hash, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(digest[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["digest", "n"])
+        give_back()
 
     share = max(1, stored_bytes(docs) // SAMPLE_BYTES)
     some = docs.filter(F.pmod(F.xxhash64("doc_id", "print"), F.lit(share)) == 0).select("text")
@@ -250,6 +251,7 @@ def substring_spans(docs: DataFrame, by: str = "words") -> DataFrame:
             cols = list(zip(*out, strict=True)) or [[]] * 4
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_units", "n_removed", "spans", "kept_sha256"])
+        give_back()
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _print().alias("print"))
     return _judged(docs, by).mapInArrow(run, "doc_id long, n_units long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string")
@@ -269,6 +271,7 @@ def remove_repeats(docs: DataFrame, by: str = "words") -> DataFrame:
         for i, j in chunks(texts):
             for k, (spans, *_) in zip(some[i:j], spans_of_all(texts[i:j], [later.iloc[x] for x in some[i:j]], by=by), strict=True):
                 out[k] = without(out[k].encode(), spans).decode()
+        give_back()
         return pd.Series(out)
 
     judged = _judged(docs.withColumn("print", _print()), by)
