@@ -13,6 +13,9 @@ probability below 1e-7). Within a cluster the full sets are compared, and that a
 in blocks of at most BLOCK classes, every two blocks of a bucket or cluster together, and walk from class to
 class, so a block returns what connects its classes and never its pairs. No bucket or cluster is capped.
 
+Components: each task contracts its links to stars, so a node comes once from a task and a hub's links are nobody's
+group. Nodes that no task has as a root point to one and are done; links between roots are left for the next round.
+
 Defined results: a null or wordless text has no shingles and its own component. A row with a null doc_id belongs to
 the component of its class (rows of one shingle set) and links nothing else; it is kept only if no row with an id is
 in its class. Rows that repeat a doc_id are one node and judged alike. Extra columns are ignored.
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import batch_words, byte_values, chunks, forget, give_back, mix, ragged, shingles, stage, table
+from strandline.llm.common import batch_words, byte_values, chunks, give_back, mix, ragged, shingles, stage, table
 
 T, BANDS, ROWS = 128, 32, 4
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -35,6 +38,8 @@ _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 LEAST_AGREEMENT = 77
 #: Classes in a block, and shingles at most (on average).
 BLOCK, BLOCK_GRAMS = 512, 1 << 21
+#: Links that a task contracts at once.
+LINKS = 1 << 18
 
 
 def distinct_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,16 +124,97 @@ def _sets(k: int):
     return run
 
 
-def _grouped(walk: Callable[[pa.Table], np.ndarray], keys: list[str]):
-    """Streams rows that are sorted by keys; walk gets each group of several rows and returns pairs (a, b) of nodes."""
+def stars(pairs: np.ndarray, seed: int = 0) -> np.ndarray:
+    """(node, root) of all nodes that pairs connect with their root: the smallest one, or with a seed the first in a hashed order."""
+    nodes, at = np.unique(pairs, return_inverse=True)
+    if seed:
+        order = np.argsort(mix(nodes.view(np.uint64) ^ mix(np.array([seed], np.uint64))[0]))
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        nodes, at = nodes[order], place[at]
+    low, high = at.reshape(-1, 2).T
+    up = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(up[low], up[high]), np.maximum(up[low], up[high])
+        open_ = low < high
+        if not open_.any():
+            break
+        low, high = low[open_], high[open_]
+        np.minimum.at(up, high, low)
+        while (up != (far := up[up])).any():
+            up = far
+    below = np.flatnonzero(up != np.arange(len(nodes)))
+    return np.column_stack([nodes[below], nodes[up[below]]])
+
+
+class Forest:
+    """The links of a task, held as stars."""
+
+    def __init__(self, seed: int = 0) -> None:
+        self.held: list[np.ndarray] = []
+        self.seed = seed
+
+    def add(self, pairs: list[np.ndarray]) -> np.ndarray:
+        """Takes pairs; returns stars that have become too many to be held, or none."""
+        self.held += pairs
+        if sum(map(len, self.held)) > LINKS:
+            self.held = [stars(np.concatenate(self.held), self.seed)]
+            if len(self.held[0]) > LINKS // 2:
+                return self.rest()
+        return np.empty((0, 2), np.int64)
+
+    def rest(self) -> np.ndarray:
+        held, self.held = self.held, []
+        return stars(np.concatenate(held), self.seed) if held else np.empty((0, 2), np.int64)
+
+
+def _starred(found: np.ndarray) -> pa.RecordBatch:
+    """Stars as rows, each root with a row of its own."""
+    roots = np.unique(found[:, 1])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([found[:, i], roots])) for i in (0, 1)], names=["node", "up"])
+
+
+def _contracted(seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest(seed)
+        for batch in batches:
+            yield _starred(forest.add([np.column_stack([c.to_numpy() for c in batch.columns])]))
+        yield _starred(forest.rest())
+        give_back()
+
+    return run
+
+
+def _settled(seed: int):
+    """From each node with all its roots: where it points (to itself if it is a root), and links between the roots."""
 
-    def pairs(groups: list[np.ndarray]) -> pa.RecordBatch:
-        both = np.concatenate(groups) if groups else np.empty((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+    def rows(pairs: np.ndarray, done: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.full(len(pairs), done))], names=["node", "up", "done"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest(seed)
+        for batch in batches:
+            node, least = batch.column("node").to_numpy(), batch.column("up").to_numpy()
+            ups = batch.column("ups")
+            row = np.repeat(np.arange(len(node)), ups.value_lengths().to_numpy())
+            up = ups.flatten().to_numpy()
+            root = np.zeros(len(node), bool)
+            root[row[up == node[row]]] = True
+            yield rows(np.column_stack([node, np.where(root, node, least)]), True)
+            more = up != least[row]
+            yield rows(forest.add([np.column_stack([up[more], least[row[more]]])]), False)
+        yield rows(forest.rest(), False)
+        give_back()
+
+    return run
+
+
+def _grouped(walk: Callable[[pa.Table], np.ndarray], keys: list[str]):
+    """Streams rows that are sorted by keys; walk gets each group of several rows and returns pairs of nodes, which are contracted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        last = None
+        last, forest = None, Forest()
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -148,9 +234,11 @@ def _grouped(walk: Callable[[pa.Table], np.ndarray], keys: list[str]):
                 elif b - a > 1:
                     found.append(walk(table_.slice(a, b - a)))
             last = tuple(k[-1])
-            yield pairs(found)
+            yield _starred(forest.add(found))
         if held:
-            yield pairs([walk(pa.Table.from_batches(held))])
+            yield _starred(forest.add([walk(pa.Table.from_batches(held))]))
+        yield _starred(forest.rest())
+        give_back()
 
     return run
 
@@ -228,29 +316,43 @@ def in_blocks(df: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
 
 
 def compared(df: DataFrame, key: str, walk: Callable[[pa.Table], np.ndarray], payload: list[str]) -> DataFrame:
-    """The pairs that walk finds in each (key, i, j)."""
+    """What walk finds in each (key, i, j), contracted to stars (node, up) by each task."""
     keys = [key, "i", "j"]
     dealt = df.select(*keys, "node", *payload).repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(_grouped(walk, keys), "a long, b long").distinct()
+    return dealt.mapInArrow(_grouped(walk, keys), "node long, up long")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, comp) for every node of links(a, b): comp is the smallest node reachable. Alternates large and small stars."""
-    edges = stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
-    before = None
+    """(node, comp) for every node of links(a, b): comp is the smallest node reachable."""
+    return settled(links.select("a", "b").filter("a <> b").mapInArrow(_contracted(0), "node long, up long"))
+
+
+def settled(found: DataFrame) -> DataFrame:
+    """(node, comp) for every node of the stars (node, up) of many tasks: comp is the smallest node reachable.
+
+    A round leaves links between roots only, for one task as long as they are at most LINKS. If more than half of them
+    were left once (as of a long chain dealt out over many tasks), roots are taken in another hashed order each time.
+    """
+    rounds, seed, before = [], 0, None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        nxt = stage(small, "links")
-        state = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        forget(edges)
-        edges = nxt
-        if state == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
-        before = state
+        ups = found.groupBy("node").agg(F.min("up").alias("up"), F.collect_set("up").alias("ups"))
+        rounds.append(stage(ups.mapInArrow(_settled(seed), "node long, up long, done boolean"), "links"))
+        links = rounds[-1].filter("not done").select("node", "up")
+        left = links.count()
+        if not left:
+            break
+        if seed or before is not None and left > before // 2:
+            seed = len(rounds)
+        before = left
+        found = links.coalesce(-(-left // LINKS)).mapInArrow(_contracted(seed), "node long, up long")
+    ends = rounds[-1].filter("done").select("node", F.col("up").alias("comp"))
+    for r in rounds[-2::-1]:  # a root of one round may point to another since the next
+        later = ends.withColumnRenamed("node", "up")
+        ends = stage(r.filter("done").join(later, "up", "left").select("node", F.coalesce("comp", "up").alias("comp")), "components")
+    if seed:
+        least = stage(ends.groupBy("comp").agg(F.min("node").alias("least")), "components")
+        ends = stage(ends.join(least, "comp").select("node", F.col("least").alias("comp")), "components")
+    return ends
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
@@ -265,14 +367,14 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     buckets = members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band", F.ceil(F.col("n") / BLOCK).alias("blocks"))
     placed = in_blocks(members, "band", buckets).join(nodes.select("node", "n_shingles", "marks"), "node")
     alike = compared(placed, "band", _by_sketch(percent), ["n_shingles", "marks"])
-    clusters = components(alike)
+    clusters = settled(alike)
 
     texts = docs.join(clusters.withColumnRenamed("node", "doc_id"), "doc_id")
     sets = texts.select("doc_id", "text").mapInArrow(_sets(k), "node long, grams array<long>").join(clusters, "node").join(nodes.select("node", "n_shingles"), "node")
     loads = clusters.join(nodes, "node").groupBy("comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("grams"))
     loads = loads.select("comp", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("grams") / BLOCK_GRAMS)).alias("blocks"))
     links = compared(in_blocks(sets.filter(F.size("grams") == F.col("n_shingles")), "comp", loads), "comp", _by_set(percent), ["grams"])
-    comp = components(links)
+    comp = settled(links)
 
     ids = classes.join(comp, "node", "left").select(*key, F.coalesce("comp", "node").alias("node"))
     out = rows.select("doc_id", "print", *key).join(ids.withColumnRenamed("node", "class_id"), key, "left")

@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from strandline.llm.minhash_dedup import components, keep_one, near_duplicates, sketch
+from strandline.llm.minhash_dedup import components, keep_one, near_duplicates, sketch, stars
 
 FOLD = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
 
@@ -97,3 +97,67 @@ def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r.node: r.comp for r in components(links).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def least_reached(pairs):
+    comp = {n: n for p in pairs for n in p}
+    while True:
+        new = dict(comp)
+        for a, b in pairs:
+            new[a] = new[b] = min(new[a], new[b])
+        if new == comp:
+            return comp
+        comp = new
+
+
+def written(monkeypatch, m):
+    """Names of what is staged from now on."""
+    names, put = [], m.stage
+    monkeypatch.setattr(m, "stage", lambda df, name: names.append(name) or put(df, name))
+    return names
+
+
+def test_components_of_a_hub_and_a_chain_take_two_rounds(spark, monkeypatch):
+    from strandline.llm import minhash_dedup as m
+
+    links = [(500, i) for i in range(300)] + [(i, i + 1) for i in range(600, 700)] + [(900, 901), (901, 900)]
+    names = written(monkeypatch, m)
+    got = components(spark.createDataFrame(links, "a long, b long").repartition(7))
+    assert names.count("links") <= 2
+    assert sorted((r.node, r.comp) for r in got.collect()) == sorted(least_reached(links).items())
+
+
+def test_components_when_a_task_holds_few_links(spark, monkeypatch):
+    from strandline.llm import minhash_dedup as m
+
+    rng = np.random.default_rng(5)
+    chain = rng.permutation(60)
+    links = [(int(a), int(b)) for a, b in zip(chain[:-1], chain[1:], strict=True)] + [(i, i + 1) for i in range(100, 160)] + [(300, i) for i in range(200, 220)]
+    frame = spark.createDataFrame(links, "a long, b long").repartition(9).localCheckpoint()
+    seeds, contracted = [], m._contracted
+    monkeypatch.setattr(m, "_contracted", lambda seed: seeds.append(seed) or contracted(seed))
+    monkeypatch.setattr(m, "LINKS", 4)
+    many = {"spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "1000"}
+    before = {key: spark.conf.get(key) for key in many}
+    try:
+        for key, value in many.items():
+            spark.conf.set(key, value)
+        got = dict(components(frame).collect())
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert got == least_reached(links)
+    assert any(seeds)  # more than half of the links were left once
+
+
+@pytest.mark.parametrize("seed", [0, 3])
+def test_stars_connect_what_pairs_connect(seed):
+    rng = np.random.default_rng(2)
+    pairs = rng.integers(-50, 50, (60, 2))
+    found = stars(pairs, seed)
+    assert len(set(found[:, 0])) == len(found) and not set(found[:, 0]) & set(found[:, 1])
+    reached = least_reached(pairs.tolist())
+    assert least_reached(found.tolist()).items() <= reached.items()
+    assert {n for n in reached} - set(found.ravel().tolist()) == {n for n, c in reached.items() if list(reached.values()).count(c) == 1}
+    if not seed:
+        assert all(reached[n] == r for n, r in found.tolist())
